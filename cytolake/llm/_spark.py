@@ -54,3 +54,8 @@ def n_words(text):
     """Words `[^\\x20\\x09-\\x0D]+` of a text column: white space collapses, its runs are counted."""
     body = F.trim(F.regexp_replace(text, f"[{WS_CLASS}]+", " "))
     return F.when(body == "", F.lit(0)).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def bind(value, f):
+    """f(value) with value computed once: a one-element array makes it a lambda variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import WS_CHARS, WS_CLASS, text_of, written
+from cytolake.llm._spark import WS_CHARS, WS_CLASS, bind, text_of, written
 
 # Frequent function words of each language.
 COMMON = {
@@ -31,27 +31,28 @@ COMMON = {
 WORDS = 12  # words a language
 CLASSES = ("small", "capital", "digit", "space", "symbol", "ascii", "other")
 WINDOW = 5
+SYMBOLS = "#*$%&|<>"
 
 #: Limits of the distances, and from how many characters or words on they are judged.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.30, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.80, 50
 
 
-def _count(t: Column, n: Column, inside: str) -> Column:
-    """Characters of a class: what is left when all runs of others go."""
-    return F.length(F.regexp_replace(t, f"[^{inside}]+", "")).cast("long")
+def _left(t: Column, pattern: str) -> Column:
+    """Characters left when what matches goes."""
+    return F.length(F.regexp_replace(t, pattern, "")).cast("long")
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
-    """Words inside k-word windows that occur twice or more in the array.
+    """Words inside k-word windows that occur twice or more in the array (a lambda variable).
 
     Windows are compared by 64-bit hash.  An array of distinct windows is done
     there; else the windows are sorted with their positions, and those equal to
     a neighbour cover min(k, gap to the next) words each.
     """
     n = F.size(words)
-    at = lambda i: F.get(words, i)
-    hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*(at(i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
+    shifted = F.arrays_zip(*(F.slice(words, F.lit(j + 1), n - k + 1).alias(str(j)) for j in range(k)))
+    hashes = F.when(n >= k, F.transform(shifted, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
     paired = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     same = lambda s, i, x: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
 
@@ -60,41 +61,47 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
         return F.aggregate(hits, start, lambda a, i: F.struct((i + k).alias("end"), (a["sum"] + i + k - F.greatest(a["end"], i)).alias("sum")), lambda a: a["sum"])
 
-    # let-bindings: a one-element array makes the sorted array a lambda variable, evaluated once
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), 0)
     return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bind(paired(h), covered))).cast("long")
 
 
+def _common_words(words: Column, lang: Column) -> Column:
+    """Counts of the language's common words: the words that are any are set apart by two spaces, then each is removed."""
+
+    def of(common: tuple[str, ...]) -> Column:
+        found = F.filter(words, lambda w: F.lower(w).isin(*common))
+        times = lambda s, w: F.floor((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2))
+        return bind(F.lower(F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))), lambda s: F.array(*(times(s, w) for w in common)))
+
+    out = F.lit(None).cast("array<long>")
+    for name, common in COMMON.items():
+        out = F.when(lang == name, of(common)).otherwise(out)
+    return out
+
+
 def counts(documents: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """`carry` columns, and the counts of each text: the rules' and the two histograms (language null: none of COMMON)."""
-    t = text_of(text)
     carry = documents.columns if carry is None else carry
-    body = F.trim(t, F.lit(WS_CHARS))
-    split = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"[{WS_CLASS}]+"))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(WS_CHARS)) != "")
     known = F.when(F.col(f"`{lang}`").isin(*COMMON), F.col(f"`{lang}`"))
-    base = documents.select(*[F.col(f"`{c}`") for c in carry], t.alias("_t"), known.alias("_lang"), split.alias("_words"), lines.alias("_lines"))
-    spaced = F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))
-    n = F.length("_t").cast("long")
-
-    def hits(word: str) -> Column:
-        return ((F.octet_length("_s") - F.octet_length(F.replace(F.col("_s"), F.lit(f" {word} "), F.lit("")))) / (len(word.encode()) + 2)).cast("long")
-
-    out = base.withColumns(
-        {
-            "_s": F.lower(spaced), "n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": n - F.length(F.regexp_replace("_t", "[#*$%&|<>]", "")), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")), "_small": _count(F.col("_t"), n, "a-z"), "_capital": _count(F.col("_t"), n, "A-Z"), "_digit": _count(F.col("_t"), n, "0-9"),
-        }
+
+    def of(t: Column, words: Column) -> Column:
+        lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(WS_CHARS)) != "")
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), F.length(t).cast("long").alias("n"), _left(t, f"[^{SYMBOLS}]+").alias("n_symbols"),
+            bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), repeated_words(words).alias("n_repeat_words"),
+            *(_left(t, f"[^{inside}]+").alias(name) for name, inside in (("small", "a-z"), ("capital", "A-Z"), ("digit", "0-9"))), _left(t, "[^\\x00-\\x7F]+").alias("all_ascii"), _common_words(words, known).alias("common"),
+        )
+
+    def split(t: Column) -> Column:
+        return bind(F.trim(t, F.lit(WS_CHARS)), lambda b: F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, f"[{WS_CLASS}]+")))
+
+    out = documents.select(*[F.col(f"`{c}`") for c in carry], known.alias("_lang"), bind(text_of(text), lambda t: bind(split(t), lambda w: of(t, w))).alias("_m"))
+    m = lambda x: F.col(f"_m.{x}")
+    space = m("n") - m("word_chars")
+    ascii_ = m("all_ascii") - m("small") - m("capital") - m("digit") - space - m("n_symbols")
+    return out.select(
+        *[F.col(f"`{c}`") for c in carry], m("n_words"), m("word_chars"), m("n_symbols"), m("n_dup_lines"), m("n_repeat_words"), "_lang",
+        F.array(m("small"), m("capital"), m("digit"), space, m("n_symbols"), ascii_, m("n") - m("all_ascii")).alias("_chars"), m("common").alias("_common"),
     )
-    ascii_ = n - F.length(F.regexp_replace("_t", "[\\x21\\x22\\x27-\\x29\\x2B-\\x2F\\x3A\\x3B\\x3D\\x3F\\x40\\x5B-\\x60\\x7B\\x7D\\x7E]", ""))
-    common = F.lit(None).cast("array<long>")
-    for name, words in COMMON.items():
-        common = F.when(F.col("_lang") == name, F.array(*map(hits, words))).otherwise(common)
-    chars = [F.col("_small"), F.col("_capital"), F.col("_digit"), n - F.col("word_chars"), F.col("n_symbols").cast("long"), F.col("_ascii")]
-    out = out.withColumns({"_ascii": ascii_.cast("long"), "_common": common})
-    rest = n - sum(chars[1:], chars[0])
-    return out.select(*[F.col(f"`{c}`") for c in carry], "n_words", "word_chars", F.col("n_symbols").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "_lang", F.array(*chars, rest).alias("_chars"), "_common")
 
 
 def base_failed() -> Column:

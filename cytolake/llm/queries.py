@@ -12,7 +12,7 @@ from cytolake.llm._spark import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return secrets.digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import text_of, written
+from cytolake.llm._spark import bind, text_of, written
 
 # The shapes, as the contract of the scan words them.
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -34,7 +34,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"  # 20 characters and more
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: name, what a token must match, its alphabet; the first that matches is inferred.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -51,11 +51,12 @@ GRID = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 SPAN = "array<struct<start:int,kind:int,stop:int,token:string>>"
 
 
-def _found(t: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+def _found(t: Column, pattern: str, kind: int, group: int = 0, least: int = 0, first: str = "") -> Column:
     """Spans of the leftmost non-overlapping matches whose `group` has `least` characters.
 
     A match comes with the gap before it: \\G ties each search to the end of
     the match before, so texts are read once however few matches they have.
+    first: what any match begins with, to pass over other places quickly.
     """
     gap = F.regexp_extract_all(t, F.lit(f"(?s)\\G(.*?)(?:{pattern})"), F.lit(1))
     full = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
@@ -70,7 +71,7 @@ def _found(t: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -
         return F.struct(e.alias("at"), F.when(F.length(x["j"]) >= least, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
 
     empty = F.array().cast(SPAN)
-    return F.when(t.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(empty)
+    return F.when(t.rlike(first + pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(empty)
 
 
 def normal_tail(z: Column) -> Column:
@@ -137,16 +138,22 @@ def _length_class(token: Column) -> Column:
     return out
 
 
-def scan_spans(documents: DataFrame, *, text: str = "text") -> DataFrame:
-    """All columns of `documents`, with `base` (spans of the fixed shapes) and `tested` (the other candidates and their p-values)."""
-    t = text_of(text)
-    base = F.array_sort(F.concat(_found(t, ASSIGN, 0, 2, 6), _found(t, ACCESS, 1), _found(t, HEX, 2)))
-    out = documents.withColumns({"base": base, "runs": _found(t, CANDIDATE, 3)})
-    free = F.filter("runs", lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    named = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["token"].alias("token"), _encoding(c["token"]).alias("encoding")))
-    named = F.filter(named, lambda c: c["encoding"].isNotNull())
-    tested = F.transform(named, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.concat(c["encoding"], F.lit(":"), _length_class(c["token"]).cast("string")).alias("class"), battery(c["token"], _alphabet(c["encoding"])).alias("p")))
-    return out.withColumn("tested", tested).drop("runs")
+def scan_spans(documents: DataFrame, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """`carry` columns with `base` (spans of the fixed shapes) and `tested` (the other candidates and their p-values)."""
+    carry = documents.columns if carry is None else carry
+    mixed = lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]")
+
+    def tested(runs: Column, base: Column) -> Column:
+        free = F.filter(runs, lambda c: mixed(c) & ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+        named = F.filter(F.transform(free, lambda c: F.struct(c.alias("c"), _encoding(c["token"]).alias("e"))), lambda x: x["e"].isNotNull())
+        return F.transform(named, lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["stop"].alias("stop"), F.concat(x["e"], F.lit(":"), _length_class(x["c"]["token"]).cast("string")).alias("class"), battery(x["c"]["token"], _alphabet(x["e"])).alias("p")))
+
+    def spans(t: Column) -> Column:
+        base = F.array_sort(F.concat(_found(t, ASSIGN, 0, 2, 6, "(?=[PpSsTtAa])"), _found(t, ACCESS, 1), _found(t, HEX, 2)))
+        return bind(base, lambda b: F.struct(b.alias("base"), tested(_found(t, CANDIDATE, 3), b).alias("tested")))
+
+    out = documents.select(*[F.col(f"`{c}`") for c in carry], bind(text_of(text), spans).alias("_s"))
+    return out.select(*[F.col(f"`{c}`") for c in carry], "_s.base", "_s.tested")
 
 
 def thresholds(scanned: DataFrame, q: float) -> DataFrame:
@@ -167,15 +174,16 @@ def thresholds(scanned: DataFrame, q: float) -> DataFrame:
     return found.agg(F.map_from_entries(F.collect_list(F.struct("class", "t"))).alias("accept"))
 
 
-def find_secrets(documents: DataFrame, *, text: str = "text", q: float = 0.05) -> DataFrame:
-    """All rows and columns of `documents` with `secrets`: array of (start, kind, stop), sorted by start, then kind.
+def find_secrets(documents: DataFrame, *, text: str = "text", carry: list[str] | None = None, q: float = 0.05) -> DataFrame:
+    """`carry` columns (all, if none are named) with `base` and `secrets`: arrays of spans, sorted by start, then kind.
 
     kind counts as in KINDS; positions are code points, the end exclusive.
+    `base` has the fixed shapes, `secrets` also the strings found random.
     Null and empty texts have no secrets.  Columns of the input called base,
-    tested, accept or secrets are replaced.
+    tested, accept, one or secrets are replaced.
     """
-    own = [c for c in documents.columns if c not in ("base", "tested", "accept", "secrets", "runs")]
-    scanned = written(scan_spans(documents.select(*[F.col(f"`{c}`") for c in own]), text=text), "secret-spans")
+    own = [c for c in (documents.columns if carry is None else carry) if c not in ("base", "tested", "accept", "one", "secrets")]
+    scanned = written(scan_spans(documents, text=text, carry=own), "secret-spans")
     one = thresholds(scanned, q)
     joined = scanned.withColumn("one", F.lit(1)).join(one.withColumn("one", F.lit(1)), "one")
     accepted = F.filter("tested", lambda c: c["p"] >= F.coalesce(F.col("accept")[c["class"]], F.lit(2.0)))
@@ -204,7 +212,7 @@ def redact(documents: DataFrame, *, text: str = "text", n_chars: str | None = "n
     """
     columns = documents.columns
     kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    found = find_secrets(kept, text="text", q=q)
+    found = find_secrets(kept, text="text", carry=["row", "text"], q=q)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:

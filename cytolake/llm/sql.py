@@ -33,10 +33,10 @@ ln as (select k, count(*) - count(distinct x) as n from (select k, unnest(string
 f as (select w.k, doc_id, case when lang in ({", ".join(f"'{x}'" for x in Q.COMMON)}) then lang end as lang, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(ln.n, 0) as bigint) as n_dup_lines, cast(coalesce(reps.n, 0) as bigint) as n_repeat_words,
  length(t) as n, {left("a-z")} as small, {left("A-Z")} as capital, {left("0-9")} as digit,
- cast(length(t) - length(regexp_replace(t, '[\\x21\\x22\\x27-\\x29\\x2B-\\x2F\\x3A\\x3B\\x3D\\x3F\\x40\\x5B-\\x60\\x7B\\x7D\\x7E]', '', 'g')) as double) as ascii,
+ cast(length(regexp_replace(t, '[^\\x00-\\x7F]+', '', 'g')) as double) as all_ascii,
  case lang {common} end as common from w left join reps using (k) left join ln using (k)),
 g as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
- [small, capital, digit, n - word_chars, n_symbols, ascii, n - small - capital - digit - (n - word_chars) - n_symbols - ascii] as chars from f),
+ [small, capital, digit, n - word_chars, n_symbols, all_ascii - small - capital - digit - (n - word_chars) - n_symbols, n - all_ascii] as chars from f),
 r as (select lang, {sums("chars", len(Q.CLASSES))} as rc, {sums("common", Q.WORDS)} as rw from g where lang is not null and not base_failed and n_words >= {Q.MIN_WORDS} group by lang),
 j as (select g.*, {distance("chars", "rc", len(Q.CLASSES))} as dc, {distance("common", "rw", Q.WORDS)} as dw from g left join r using (lang))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
