@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import chat, decontaminate, mixing, quality, secrets
+from cytolake.llm import chat, decontaminate, html, mixing, quality, secrets, toxicity
 from cytolake.llm._spark import table
 
 
@@ -21,6 +21,13 @@ def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    model = toxicity.fit(documents, labels, ~held_out)
+    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 #: The tree of the mix: which sources make a domain, and the weights; sources not named are "other".
 DOMAINS = {"web": [f"src{i}" for i in range(8)], "books": [f"src{i}" for i in range(8, 14)], "forum": [f"src{i}" for i in range(14, 20)]}
 WEIGHTS = {("web",): 0.5, ("books",): 0.3, ("forum",): 0.2} | {(d, x): w for d in DOMAINS for x, w in (("en", 0.6), ("de", 0.15), ("fr", 0.15), ("es", 0.1))}
@@ -46,5 +53,9 @@ def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
