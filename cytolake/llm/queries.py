@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import chat, decontaminate, html, mixing, quality, secrets, toxicity
+from cytolake.llm import chat, decontaminate, html, jaccard, mixing, quality, secrets, toxicity
 from cytolake.llm._spark import table
 
 
@@ -44,6 +44,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain_of(), WEIGHTS, budget_share=1.0, max_epochs=4, seed=17)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination(hits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
