@@ -10,11 +10,12 @@ at least `percent`/100.  Documents of one set are a class and are joined once.
 2. A pass emits each class's prefix: similar sets share an n-gram of their
    prefixes.  Lists of classes that share one are kept where a pair in them
    passes the length and the positional filter.
-3. The sets of the classes left are fetched in a third pass, past a bit table of
-   fixed size, with a histogram of each set for the suffix filter.
-4. In rounds, classes meet in blocks under one of their list's n-grams, drawn anew in each round,
-   and are verified there; links merge into components.  What matters is
-   connection, so a large group of near copies costs its blocks, not its pairs.
+3. The sets of the classes left (of each class's first document) are fetched in a
+   third pass, past a bit table of fixed size, with a histogram of each set for the suffix filter.
+4. Classes meet in blocks at the least of their n-grams under another order, in
+   large groups under several orders, and are verified there; links merge into
+   components.  What matters is connection, so a large group of near copies
+   costs its blocks, not its pairs.
 5. Every pair left, of different components, that passes the length, positional and
    suffix filters in a list is then verified exactly, once.
 
@@ -24,6 +25,7 @@ candidate.  Lists and blocks are cut to a bounded number of rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ BLOOM_BITS = 23
 BINS = 512
 LIST_ROWS = 1024
 BLOCK_ROWS = 512
+ROUNDS = 3  # homes of a set
+LARGE_HOME = 64
 
 
 def sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,44 +76,44 @@ def _signatures(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
         return cuts, a[cuts[1:]] - a[cuts[:-1]], b[cuts[1:]] - b[cuts[:-1]]
 
 
+def _nodes(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """A 64-bit name for the document's id together with its set."""
+    with np.errstate(over="ignore"):
+        return mix(mix(s1 + ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15)) ^ s2)
+
+
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     """ceil(percent * n / 100)"""
     return -(-percent * n // 100)
 
 
 def _classes_and_sketch(rows: DataFrame, k: int) -> DataFrame:
-    types = dict(rows.dtypes)
+    """id, n, s1, s2 and node of every row; and a task's sketch, a row for each block of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "s1", "s2", "n", "block", "dense", "counts"]
+        names = ["id", "s1", "s2", "n", "node", "block", "counts"]
         for b in batches:
-            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            parts = [(np.zeros(0, np.int64),) * 4]
+            ids = b.column(0).fill_null(0).to_numpy()
             for c in chunks(b.column(1)):
                 row, h = sets(c, k)
                 cuts, s1, s2 = _signatures(row, h, c.n)
-                parts.append((signed(s1), signed(s2), np.diff(cuts)))
+                parts.append((signed(s1), signed(s2), np.diff(cuts), signed(_nodes(ids[c.row : c.row + c.n], s1, s2))))
                 bucket, n = np.unique((h & U((1 << SKETCH_BITS) - 1)).astype(np.int64), return_counts=True)
                 sketch[bucket] += n.astype(np.uint32)
-            s1, s2, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            s1, s2, n, node = (np.concatenate(x) for x in zip(*parts, strict=True))
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1), pa.array(s2), pa.array(n), none.cast(pa.int32()), none.cast(pa.bool_()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1), pa.array(s2), pa.array(n), pa.array(node), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         size = 1 << SKETCH_BLOCK
         for at in range(0, len(sketch), size):
-            part = np.minimum(sketch[at : at + size], 65535).astype(np.uint16)
-            hit = np.flatnonzero(part).astype(np.uint16)
-            if not len(hit):
-                continue
-            dense = len(hit) * 4 > size * 2
-            data = part.tobytes() if dense else hit.tobytes() + part[hit].tobytes()
-            none = pa.nulls(1)
-            yield pa.RecordBatch.from_arrays([none.cast(_arrow(types["id"])), *[none.cast(pa.int64())] * 3, pa.array([at >> SKETCH_BLOCK], pa.int32()), pa.array([dense]), pa.array([data], pa.binary())], names=names)
-
-    return rows.mapInArrow(run, f"id {types['id']}, s1 long, s2 long, n long, block int, dense boolean, counts binary")
+            part = sketch[at : at + size]
+            if part.any():
+                part = part.astype(np.uint8) if part.max() < 256 else part
+                none = pa.nulls(1).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([at >> SKETCH_BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
+    return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, node long, block int, counts binary")
 
 
 def _rarity(sketch: DataFrame) -> np.ndarray:
@@ -118,17 +122,13 @@ def _rarity(sketch: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, sums = 1 << SKETCH_BLOCK, {}
         for b in batches:
-            for block, dense, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = np.frombuffer(data.as_buffer(), np.uint16)
-                own = sums.setdefault(block, np.zeros(size, np.int64))
-                if dense:
-                    own += raw
-                else:
-                    own[raw[: len(raw) // 2]] += raw[len(raw) // 2 :]
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = zlib.decompress(data.as_py())
+                sums.setdefault(block, np.zeros(size, np.int64))[:] += np.frombuffer(raw, np.uint8 if len(raw) == size else np.uint32)
         for block, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([int(own.sum())], pa.int64()), pa.array([np.log2(np.maximum(own, 1)).astype(np.float16).tobytes()], pa.binary())], names=["block", "total", "logs"])
 
-    found = sketch.select("block", "dense", "counts").repartition("block").mapInArrow(run, "block int, total long, logs binary").collect()
+    found = sketch.select("block", "counts").repartition("block").mapInArrow(run, "block int, total long, logs binary").collect()
     logs = np.zeros(1 << SKETCH_BITS, np.float16)
     for r in found:
         logs[r["block"] << SKETCH_BLOCK : (r["block"] + 1) << SKETCH_BLOCK] = np.frombuffer(r["logs"], np.float16)
@@ -137,15 +137,16 @@ def _rarity(sketch: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
-    """tok, s1, s2, n, pos: the prefix of each class, once a task."""
+    """tok, node, n, pos: the prefix of each class, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of, seen = rarity.value, set()
         for b in batches:
-            for c in chunks(b.column(0)):
+            ids = b.column(0).to_numpy()
+            for c in chunks(b.column(1)):
                 row, h = sets(c, k)
                 cuts, s1, s2 = _signatures(row, h, c.n)
-                n = np.diff(cuts)
+                node, n = signed(_nodes(ids[c.row : c.row + c.n], s1, s2)), np.diff(cuts)
                 new = np.zeros(c.n, bool)
                 for i, key in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
                     if n[i] and key not in seen:
@@ -159,9 +160,9 @@ def _prefixes(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
                 pos = np.arange(len(row)) - np.searchsorted(row, row)
                 keep = pos <= n[row] - _needed(n[row], percent)
                 row, h, pos = row[keep], h[keep], pos[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(s1)[row]), pa.array(signed(s2)[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["tok", "s1", "s2", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(node[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["tok", "node", "n", "pos"])
 
-    return rows.select("t").mapInArrow(run, "tok long, s1 long, s2 long, n int, pos int")
+    return rows.mapInArrow(run, "tok long, node long, n int, pos int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -244,9 +245,9 @@ def _with_partner(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _bloom(classes: DataFrame) -> np.ndarray:
-    """Bits of the classes' signatures; of fixed size."""
+    """Bits of the names of the classes' first documents; of fixed size."""
     mask = (1 << BLOOM_BITS) - 1
-    bits = classes.select(F.explode(F.array(F.col("s1").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("s1", BLOOM_BITS).bitwiseAND(F.lit(mask)))).alias("bit"))
+    bits = classes.select(F.explode(F.array(F.col("rep").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("rep", BLOOM_BITS).bitwiseAND(F.lit(mask)))).alias("bit"))
     words_ = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
     out = np.zeros(1 << (BLOOM_BITS - 6), U)
     got = words_.toArrow()
@@ -255,32 +256,34 @@ def _bloom(classes: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, k: int, bloom) -> DataFrame:
-    """s1, s2, grams and bins of the classes that hit the bit table, once a task."""
+    """rep, grams, bins and the homes of the documents that hit the bit table.
+
+    A home is the least n-gram under another order; sets that are similar have
+    the same with the probability of their similarity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, mask = bloom.value, set(), U((1 << BLOOM_BITS) - 1)
+        table, mask = bloom.value, U((1 << BLOOM_BITS) - 1)
 
         def has(bit: np.ndarray) -> np.ndarray:
             return (table[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) > 0
 
         for b in batches:
-            for c in chunks(b.column(0)):
+            ids = b.column(0).to_numpy()
+            for c in chunks(b.column(1)):
                 row, h = sets(c, k)
                 cuts, s1, s2 = _signatures(row, h, c.n)
-                hit = np.flatnonzero(has(s1 & mask) & has((s1 >> U(BLOOM_BITS)) & mask) & (np.diff(cuts) > 0))
+                node = _nodes(ids[c.row : c.row + c.n], s1, s2)
                 out = []
-                for i in hit:
-                    key = (int(s1[i]), int(s2[i]))
-                    if key not in seen:
-                        seen.add(key)
-                        own = h[cuts[i] : cuts[i + 1]]
-                        bins = np.minimum(np.bincount((own >> U(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
-                        out.append((signed(s1)[i], signed(s2)[i], own.tobytes(), bins.tobytes()))
+                for i in np.flatnonzero(has(node & mask) & has((node >> U(BLOOM_BITS)) & mask) & (np.diff(cuts) > 0)):
+                    own = h[cuts[i] : cuts[i + 1]]
+                    bins = np.minimum(np.bincount((own >> U(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+                    out.append((signed(node)[i], own.tobytes(), bins.tobytes(), [int(signed(mix(own ^ U(r * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))).min()) for r in range(1, ROUNDS + 1)]))
                 if out:
                     x = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.binary()), pa.array(x[3], pa.binary())], names=["s1", "s2", "grams", "bins"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.binary()), pa.array(x[2], pa.binary()), pa.array(x[3], pa.list_(pa.int64()))], names=["rep", "grams", "bins", "homes"])
 
-    return rows.select("t").mapInArrow(run, "s1 long, s2 long, grams binary, bins binary")
+    return rows.mapInArrow(run, "rep long, grams binary, bins binary, homes array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -325,12 +328,21 @@ def _block_links(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     return out
 
 
-def _round(lists: DataFrame, found: DataFrame, percent: int, r: int) -> DataFrame:
-    """Links among the classes that draw the same n-gram of their lists in this round."""
-    home = lists.groupBy("rep").agg(F.min_by("tok", F.xxhash64("tok", F.lit(r))).alias("home"))
-    many = home.groupBy("home").agg(F.count("*").alias("c")).filter("c > 1")
-    placed = home.join(many, "home").withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(r)), F.ceil(F.col("c") / BLOCK_ROWS)).cast("int"))
-    met = placed.join(found, "rep").select("home", "blk", "rep", "grams").repartition("home", "blk").sortWithinPartitions("home", "blk")
+def _met(found: DataFrame, percent: int) -> DataFrame:
+    """Links among the classes of one home.
+
+    Everyone goes to its first home.  Where that is a large one, so that its
+    classes meet in several blocks, they also go to their further homes.
+    """
+    own = found.select("rep", F.posexplode("homes").alias("r", "home"))
+    many = own.groupBy("r", "home").agg(F.count("*").alias("c")).filter("c > 1")
+    sized = own.join(many, ["r", "home"])
+    large = sized.filter((F.col("r") == 0) & (F.col("c") > LARGE_HOME)).select(F.col("rep").alias("_rep")).distinct()
+    placed = sized.join(large, F.col("rep") == F.col("_rep"), "left").filter("r = 0 or _rep is not null")
+    placed = placed.select("rep", F.xxhash64("r", "home").alias("home"), F.pmod(F.xxhash64("rep", "r"), F.ceil(F.col("c") / BLOCK_ROWS)).cast("int").alias("blk"))
+    placed = written(placed, "homes").withColumnRenamed("rep", "_rep")
+    grams = found.select("rep", "grams")
+    met = grams.join(placed, F.col("rep") == F.col("_rep")).select("home", "blk", "rep", "grams").repartition("home", "blk").sortWithinPartitions("home", "blk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _groups(batches, ["home", "blk"]):
@@ -354,7 +366,10 @@ def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Verified links of all pairs of different components that pass the three filters."""
+    """Verified links of all pairs of different components that pass the three filters.
+
+    The pairs are written, so that Spark sees how many there are when it picks the joins with the sets.
+    """
     rows = _in_blocks(lists, LIST_ROWS).join(found.select("rep", "bins"), "rep").select("tok", "i", "j", "blk", "rep", "n", "pos", "comp", "bins")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,6 +392,7 @@ def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["x", "y"])
 
     pairs = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j").mapInArrow(candidates, "x long, y long").distinct()
+    pairs = written(pairs, "pairs")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -388,7 +404,7 @@ def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "p", "q").mapInArrow(verified, "a long, b long")
 
 
-def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, rounds: int = 3) -> DataFrame:
+def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.  component_id is the
@@ -400,21 +416,29 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     first = written(_classes_and_sketch(rows, k), "classes")
-    docs = first.filter("block is null").select("id", "s1", "s2", "n")
-    reps = docs.filter("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    docs = first.filter("block is null").select("id", "s1", "s2", "n", "node")
+    reps = docs.filter("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min(F.struct("id", "node")).alias("m")).select("s1", "s2", F.col("m.id").alias("least"), F.col("m.node").alias("rep"))
     rarity = spark.sparkContext.broadcast(_rarity(first.filter("block is not null")))
     valid = rows.filter("id is not null")
-    prefixes = _prefixes(valid, k, percent, rarity).repartition("tok").groupBy("tok", "s1", "s2").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
-    shared = prefixes.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).filter("c > 1").drop("c")
-    lists = checkpointed(_with_partner(shared.join(reps, ["s1", "s2"]).select("tok", "rep", "n", "pos"), percent))
-    wanted = checkpointed(reps.join(lists.select("rep").distinct(), "rep", "left_semi"))
+    prefixes = _prefixes(valid, k, percent, rarity).repartition("tok")
+    shared = checkpointed(prefixes.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).filter("c > 1").drop("c"))
+    rep_of = docs.join(reps, ["s1", "s2"]).select("node", "rep").distinct()
+    named = shared.join(rep_of, "node").groupBy("tok", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    lists = checkpointed(_with_partner(checkpointed(named), percent))
+    wanted = lists.select("rep").distinct()
     bloom = spark.sparkContext.broadcast(_bloom(wanted))
-    found = written(_sets(valid, k, bloom).join(wanted, ["s1", "s2"]).dropDuplicates(["rep"]).select("rep", "grams", "bins"), "sets")
-    roots = spark.createDataFrame([], "a long, b long")
-    for r in range(rounds):
-        roots = components(roots.union(_round(lists, found, percent, r)))
-        lists = checkpointed(_open_lists(lists, roots))
-    roots = components(roots.union(_rest(lists, found, percent)))
-    labelled = reps.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("c"))
+    # rows that repeat have the same name and set
+    found = written(_sets(valid, k, bloom), "sets")
+    names = first.filter("block is null and id is not null").groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    again = written(names.join(wanted, F.col("node") == F.col("rep"), "left_semi"), "names")
+    if again.head(1):  # the same row twice: one of its sets is enough
+        twice = found.join(again, F.col("rep") == F.col("node"), "left_semi").dropDuplicates(["rep"])
+        found = written(found.join(again, F.col("rep") == F.col("node"), "left_anti").unionByName(twice), "sets")
+    roots = components(_met(found, percent))
+    lists = checkpointed(_open_lists(lists, roots))
+    roots = components(roots.unionByName(_rest(lists, found, percent)))
+    rooted = reps.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("c"))
+    labelled = rooted.join(least, "root").select("s1", "s2", "c")
     out = docs.join(labelled, ["s1", "s2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))).alias("component_id"))
