@@ -1,18 +1,24 @@
-"""The registry of queries over the given tables, each with its SQL."""
+"""All queries of the library; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cytolake.plans import provenance_queries as _provenance  # noqa: F401
+from cytolake.operators import (  # noqa: F401
+    expression_queries as _expression,
+    graph_queries as _graph,
+    ingest_queries as _ingest,
+    metadata_queries as _metadata,
+    qc_queries as _qc,
+    retrieval_queries as _retrieval,
+    stats_queries as _stats,
+)
+from cytolake.registry import QUERIES, SQL, Query
+from cytolake.streaming import event_queries as _events  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
