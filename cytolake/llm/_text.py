@@ -8,6 +8,7 @@ array passes and no Python object is made for it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -145,3 +146,25 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(h: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark longs."""
     return h.view(np.int64)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, compressed."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=U(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=U)

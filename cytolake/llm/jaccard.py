@@ -3,12 +3,12 @@
 Two documents link when the Jaccard similarity of their sets of word n-grams is
 at least `percent`/100.  Documents of one set are a class and are joined once.
 
-1. A pass over the texts gives the class of each document and a count sketch of
-   all n-grams (a table of fixed size).  Rarity is the sketch's order of magnitude
-   of an n-gram's bucket, then the n-gram's hash: one order for all documents,
-   rare ones first, common passages last.
-2. A pass emits each class's prefix: similar sets share an n-gram of their
-   prefixes.  Lists of classes that share one are kept where a pair in them
+1. A pass over the texts gives the class of each document and the n-grams of each
+   batch, which are counted.  Two tables of fixed size tell which n-grams several
+   sets have, and how many.  Those of one set come first, then rarer ones,
+   then more frequent ones, then by hash: one order for all documents.
+2. A pass emits what each class's prefix shares with others: similar sets share an
+   n-gram of their prefixes.  Lists of classes that share one are kept where a pair in them
    passes the length and the positional filter.
 3. The sets of the classes left (of each class's first document) are fetched in a
    third pass, past a bit table of fixed size, with a histogram of each set for the suffix filter.
@@ -25,7 +25,6 @@ candidate.  Lists and blocks are cut to a bounded number of rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.llm._spark import checkpointed, written
-from cytolake.llm._text import Chunk, U, chunks, mix, signed, windows, words
+from cytolake.llm._text import Chunk, U, chunks, mix, pack_sorted, signed, unpack_sorted, windows, words
 from cytolake.llm.components import components
 
-SKETCH_BITS = 22
-SKETCH_BLOCK = 16  # bits of the bucket number inside a block
+BUCKET_BITS = 8
+SHARED_BITS = 19  # of a bucket's places
+RANK_BITS = 12
 BLOOM_BITS = 23
 BINS = 512
 LIST_ROWS = 1024
@@ -87,60 +87,97 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _classes_and_sketch(rows: DataFrame, k: int) -> DataFrame:
-    """id, n, s1, s2 and node of every row; and a task's sketch, a row for each block of buckets."""
+def _classes_and_grams(rows: DataFrame, k: int) -> DataFrame:
+    """id, n, s1, s2 and node of every row; and the different n-grams of each Arrow batch, dealt into buckets.
+
+    For the counts 40 bits of an n-gram's hash do: what they confuse counts as more
+    frequent than it is, which only makes the order less sharp.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "s1", "s2", "n", "node", "block", "counts"]
+        names = ["id", "s1", "s2", "n", "node", "bucket", "grams"]
         for b in batches:
             parts = [(np.zeros(0, np.int64),) * 4]
+            seen: set[tuple[int, int]] = set()
+            grams = []
             ids = b.column(0).fill_null(0).to_numpy()
             for c in chunks(b.column(1)):
                 row, h = sets(c, k)
                 cuts, s1, s2 = _signatures(row, h, c.n)
                 parts.append((signed(s1), signed(s2), np.diff(cuts), signed(_nodes(ids[c.row : c.row + c.n], s1, s2))))
-                bucket, n = np.unique((h & U((1 << SKETCH_BITS) - 1)).astype(np.int64), return_counts=True)
-                sketch[bucket] += n.astype(np.uint32)
+                new = np.array([not (key in seen or seen.add(key)) for key in zip(s1.tolist(), s2.tolist(), strict=True)], bool)
+                grams.append(h[new[row]] >> U(24))
             s1, s2, n, node = (np.concatenate(x) for x in zip(*parts, strict=True))
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1), pa.array(s2), pa.array(n), pa.array(node), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        size = 1 << SKETCH_BLOCK
-        for at in range(0, len(sketch), size):
-            part = sketch[at : at + size]
-            if part.any():
-                part = part.astype(np.uint8) if part.max() < 256 else part
-                none = pa.nulls(1).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([at >> SKETCH_BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+            token, count = np.unique(np.concatenate(grams) if grams else np.zeros(0, U), return_counts=True)
+            token = (token << U(1)) | (count > 1).astype(U)  # the last bit: met twice in this batch
+            bucket = (token >> U(41 - BUCKET_BITS)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            if len(cut):
+                packed = [pack_sorted(token[x:y]) for x, y in zip(cut, [*cut[1:], len(token)], strict=True)]
+                none = pa.nulls(len(cut)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(bucket[cut].astype(np.int32)), pa.array(packed, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, node long, bucket int, grams binary")
+
 
-    return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, node long, block int, counts binary")
+def _slots(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of 40-bit tokens, and two places in the bucket's bits."""
+    mask = U((1 << SHARED_BITS) - 1)
+    m = mix(token)
+    return (token >> U(40 - BUCKET_BITS)).astype(np.int64), (m & mask).astype(np.int64), ((m >> U(SHARED_BITS)) & mask).astype(np.int64)
 
 
-def _rarity(sketch: DataFrame) -> np.ndarray:
-    """Order of magnitude of each bucket's count above the mean; of fixed size."""
+def _shared_grams(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket, bits of the n-grams that are in two sets or more, and the order of magnitude of the frequent ones by place.
+
+    Both tables have a fixed size; the more n-grams share a place, the less sharp is the order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, sums = 1 << SKETCH_BLOCK, {}
+        def finish(bucket: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            token, twice = np.concatenate(parts) >> U(1), np.concatenate(parts) & U(1)
+            u, at = np.unique(token, return_inverse=True)
+            df = np.bincount(at, 1 + twice, len(u))
+            u, df = u[df > 1], df[df > 1]
+            _, a, b = _slots(u)
+            bits, rank = np.zeros(1 << SHARED_BITS, bool), np.zeros(1 << RANK_BITS, np.uint8)
+            bits[a], bits[b] = True, True
+            np.maximum.at(rank, a >> (SHARED_BITS - RANK_BITS), np.log2(df).astype(np.uint8))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([rank.tobytes()], pa.binary())], names=["bucket", "bits", "rank"])
+
+        at, parts = None, []
         for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = zlib.decompress(data.as_py())
-                sums.setdefault(block, np.zeros(size, np.int64))[:] += np.frombuffer(raw, np.uint8 if len(raw) == size else np.uint32)
-        for block, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([int(own.sum())], pa.int64()), pa.array([np.log2(np.maximum(own, 1)).astype(np.float16).tobytes()], pa.binary())], names=["block", "total", "logs"])
-
-    found = sketch.select("block", "counts").repartition("block").mapInArrow(run, "block int, total long, logs binary").collect()
-    logs = np.zeros(1 << SKETCH_BITS, np.float16)
-    for r in found:
-        logs[r["block"] << SKETCH_BLOCK : (r["block"] + 1) << SKETCH_BLOCK] = np.frombuffer(r["logs"], np.float16)
-    mean = max(1.0, sum(r["total"] for r in found) / len(logs))
-    return np.maximum(0, np.floor(logs.astype(np.float32) - np.log2(mean))).astype(np.uint8)
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != at and at is not None:
+                    yield finish(at, parts)
+                    parts = []
+                at = bucket
+                parts.append(unpack_sorted(data.as_py()))
+        if at is not None:
+            yield finish(at, parts)
+
+    found = grams.select("bucket", "grams").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, bits binary, rank binary").toArrow()
+    bits, rank = np.zeros((1 << BUCKET_BITS, 1 << (SHARED_BITS - 3)), np.uint8), np.zeros((1 << BUCKET_BITS, 1 << RANK_BITS), np.uint8)
+    for bucket, x, y in zip(*(found[c].to_pylist() for c in ("bucket", "bits", "rank")), strict=True):
+        bits[bucket], rank[bucket] = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    return bits, rank
+
+
+def _rank(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for an n-gram of one set; else 1 and more, the more sets the higher."""
+    bits, rank = tables
+    bucket, a, b = _slots(h >> U(24))
+    has = lambda x: (bits[bucket, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
+    return np.where(has(a) & has(b), 1 + np.maximum(rank[bucket, a >> (SHARED_BITS - RANK_BITS)], 1), 0).astype(np.uint8)
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
-    """tok, node, n, pos: the prefix of each class, once a task."""
+    """tok, node, n, pos: what is shared of the prefix of each class, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_of, seen = rarity.value, set()
+        tables, seen = rarity.value, set()
         for b in batches:
             ids = b.column(0).to_numpy()
             for c in chunks(b.column(1)):
@@ -154,11 +191,11 @@ def _prefixes(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
                         new[i] = True
                 own = new[row]
                 row, h = row[own], h[own]
-                rank = order_of[(h & U((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                rank = _rank(h, tables)
                 order = np.lexsort((h, rank, row))
                 row, h = row[order], h[order]
                 pos = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = pos <= n[row] - _needed(n[row], percent)
+                keep = (pos <= n[row] - _needed(n[row], percent)) & (rank[order] > 0)
                 row, h, pos = row[keep], h[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(node[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["tok", "node", "n", "pos"])
 
@@ -335,14 +372,12 @@ def _met(found: DataFrame, percent: int) -> DataFrame:
     classes meet in several blocks, they also go to their further homes.
     """
     own = found.select("rep", F.posexplode("homes").alias("r", "home"))
-    many = own.groupBy("r", "home").agg(F.count("*").alias("c")).filter("c > 1")
-    sized = own.join(many, ["r", "home"])
-    large = sized.filter((F.col("r") == 0) & (F.col("c") > LARGE_HOME)).select(F.col("rep").alias("_rep")).distinct()
-    placed = sized.join(large, F.col("rep") == F.col("_rep"), "left").filter("r = 0 or _rep is not null")
-    placed = placed.select("rep", F.xxhash64("r", "home").alias("home"), F.pmod(F.xxhash64("rep", "r"), F.ceil(F.col("c") / BLOCK_ROWS)).cast("int").alias("blk"))
-    placed = written(placed, "homes").withColumnRenamed("rep", "_rep")
-    grams = found.select("rep", "grams")
-    met = grams.join(placed, F.col("rep") == F.col("_rep")).select("home", "blk", "rep", "grams").repartition("home", "blk").sortWithinPartitions("home", "blk")
+    sized = own.groupBy("r", "home").agg(F.count("*").alias("c")).filter(F.col("c") > LARGE_HOME)
+    large = written(sized.select("r", "home", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "large-homes")  # few; Spark sees how many
+    each = found.select("rep", "grams", F.col("homes")[0].alias("h0"), F.posexplode("homes").alias("r", "home"))
+    first = large.filter("r = 0").select(F.col("home").alias("h0"), F.lit(True).alias("many"))
+    going = each.join(first, "h0", "left").filter("r = 0 or many").drop("h0", "many").join(large, ["r", "home"], "left")
+    met = going.select(F.xxhash64("r", "home").alias("home"), F.pmod(F.xxhash64("rep", "r"), F.coalesce("blocks", F.lit(1))).cast("int").alias("blk"), "rep", "grams").repartition("home", "blk").sortWithinPartitions("home", "blk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _groups(batches, ["home", "blk"]):
@@ -415,10 +450,10 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    first = written(_classes_and_sketch(rows, k), "classes")
-    docs = first.filter("block is null").select("id", "s1", "s2", "n", "node")
+    first = written(_classes_and_grams(rows, k), "classes")
+    docs = first.filter("bucket is null").select("id", "s1", "s2", "n", "node")
     reps = docs.filter("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min(F.struct("id", "node")).alias("m")).select("s1", "s2", F.col("m.id").alias("least"), F.col("m.node").alias("rep"))
-    rarity = spark.sparkContext.broadcast(_rarity(first.filter("block is not null")))
+    rarity = spark.sparkContext.broadcast(_shared_grams(first.filter("bucket is not null")))
     valid = rows.filter("id is not null")
     prefixes = _prefixes(valid, k, percent, rarity).repartition("tok")
     shared = checkpointed(prefixes.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).filter("c > 1").drop("c"))
@@ -429,7 +464,7 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     bloom = spark.sparkContext.broadcast(_bloom(wanted))
     # rows that repeat have the same name and set
     found = written(_sets(valid, k, bloom), "sets")
-    names = first.filter("block is null and id is not null").groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    names = first.filter("bucket is null and id is not null").groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
     again = written(names.join(wanted, F.col("node") == F.col("rep"), "left_semi"), "names")
     if again.head(1):  # the same row twice: one of its sets is enough
         twice = found.join(again, F.col("rep") == F.col("node"), "left_semi").dropDuplicates(["rep"])
