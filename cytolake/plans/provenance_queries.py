@@ -1 +1,18 @@
-"""Queries."""
+"""Queries of provenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytolake.model import read
+from cytolake.plans import provenance as P
+from cytolake.registry import query
+
+
+@query("""with c as (select event_id, user_id, event_type as step, ts, substr(sha1(user_id || ':' || event_id || ':' || event_type), 1, 12) as commit_id from events)
+select event_id, user_id, step, commit_id, lag(commit_id) over (partition by user_id order by ts, event_id) as parent from c""")
+def provenance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").withColumnRenamed("event_type", "step")
+    payload = F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string"), "step")
+    return P.chain(events, "user_id", ["ts", "event_id"], payload).select("event_id", "user_id", "step", "commit_id", "parent")

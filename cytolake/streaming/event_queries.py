@@ -1 +1,15 @@
-"""Queries."""
+"""Queries of event streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytolake.registry import query
+from cytolake.streaming import events as E
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean from events group by 1, 2")
+def events_stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.stream(spark, sf_dir, "events.parquet")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
