@@ -118,7 +118,7 @@ def read_dense(spark: SparkSession, path: str, genes_in_rows: bool = True) -> tu
     sep = max(("\t", ",", ";"), key=lambda s: (head[-1].count(s), s == "\t"))
     table = spark.read.csv(path, sep=sep, header=True)
     first, *rest = table.columns
-    long = table.select(F.monotonically_increasing_id().alias("_o"), F.col(f"`{first}`").alias("row"), F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in rest))).alias("col", "value"))
+    long = table.withColumn("_o", F.monotonically_increasing_id()).select("_o", F.col(f"`{first}`").alias("row"), F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in rest))).alias("col", "value"))
     rows = long.select("_o", "row").distinct().withColumn("i", F.row_number().over(Window.partitionBy().orderBy("_o")).cast("long") - 1)
     x = long.join(rows.select("_o", "i"), "_o").filter("value is not null and value <> 0").select("i", F.col("col").cast("long").alias("j"), "value")
     columns = spark.createDataFrame([(i, c) for i, c in enumerate(rest)], "i long, name string")
