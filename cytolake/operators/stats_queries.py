@@ -28,7 +28,7 @@ m as (select *, least(1, min(q) over (partition by "group" order by pval desc, g
 
 
 _CLUSTERS = _rank_sql("select cell_id, cluster as g from obs")
-_COLUMNS = "round(z, 5) as z, round(lfc, 5) as lfc, round(pct_in, 6) as pct_in, round(pct_out, 6) as pct_out, round(-log10(greatest(padj, 1e-300)), 4) as nlp"
+_COLUMNS = "round(z, 5) as z, round(lfc, 5) as lfc, round(pct_in, 6) as pct_in, round(pct_out, 6) as pct_out, round(-log10(greatest(padj, 1e-300)), 4) + 0.0 as nlp"
 
 
 def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(m: DataFrame, *first: str) -> DataFrame:
-    return m.select(*first, F.round("z", 5).alias("z"), F.round("lfc", 5).alias("lfc"), F.round("pct_in", 6).alias("pct_in"), F.round("pct_out", 6).alias("pct_out"), F.round(-F.log10(F.greatest("padj", F.lit(1e-300))), 4).alias("nlp"))
+    return m.select(*first, F.round("z", 5).alias("z"), F.round("lfc", 5).alias("lfc"), F.round("pct_in", 6).alias("pct_in"), F.round("pct_out", 6).alias("pct_out"), (F.round(-F.log10(F.greatest("padj", F.lit(1e-300))), 4) + 0.0).alias("nlp"))
 
 
 @query(f'{_CLUSTERS} select "group", gene_id, {_COLUMNS} from m')
@@ -57,9 +57,9 @@ def de_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_de(spark, sf_dir), "gene_id")
 
 
-@query(f"{_DE} select gene_id, round(-log10(greatest(padj, 1e-300)), 4) as y, case when padj <= 0.9 and abs(lfc) >= 0.5 and lfc > 0 then 'up' when padj <= 0.9 and abs(lfc) >= 0.5 then 'down' else 'ns' end as class from m where \"group\" = 'selection'")
+@query(f"{_DE} select gene_id, round(-log10(greatest(padj, 1e-300)), 4) + 0.0 as y, case when padj <= 0.9 and abs(lfc) >= 0.5 and lfc > 0 then 'up' when padj <= 0.9 and abs(lfc) >= 0.5 then 'down' else 'ns' end as class from m where \"group\" = 'selection'")
 def volcano_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.volcano(_de(spark, sf_dir), fold=0.5, alpha=0.9).select("gene_id", F.round("y", 4).alias("y"), "class")
+    return S.volcano(_de(spark, sf_dir), fold=0.5, alpha=0.9).select("gene_id", (F.round("y", 4) + 0.0).alias("y"), "class")
 
 
 @query(f'{_CLUSTERS} select "group", gene_id, round(pct_in, 6) as pct_in, round(pct_out, 6) as pct_out from m where pct_in > pct_out')
