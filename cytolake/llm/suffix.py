@@ -67,10 +67,9 @@ def segments(chunk: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     anchor = (np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts]) & ((U(1) << bits) - U(1))).astype(np.int64)
     change = np.ones(starts, bool)
     change[1:] = anchor[1:] != anchor[:-1]
-    inner = offsets[(offsets > 0) & (offsets < starts)]
-    change[inner] = True
-    past = inner - length + 1  # the first start whose window crosses into the next text
-    change[past[past > 0]] = True
+    change[offsets[offsets < starts]] = True
+    past = offsets - length + 1  # the first start whose window crosses into the next text
+    change[past[(past > 0) & (past < starts)]] = True
     a = np.flatnonzero(change)
     b = np.append(a[1:], starts) - 1
     row = np.searchsorted(offsets, a, "right") - 1
