@@ -36,6 +36,7 @@ from cytolake.llm._spark import checkpointed, written
 from cytolake.llm._text import Chunk, U, chunks, mix, pack_sorted, signed, unpack_sorted, windows, words
 from cytolake.llm.components import components
 
+DEALT = 1 << 20  # n-grams that are dealt out at once
 BUCKET_BITS = 8
 SHARED_BITS = 19  # of a bucket's places
 RANK_BITS = 12
@@ -88,7 +89,7 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _classes_and_grams(rows: DataFrame, k: int) -> DataFrame:
-    """id, n, s1, s2 and node of every row; and the different n-grams of each Arrow batch, dealt into buckets.
+    """id, n, s1, s2 and node of every row; and the different n-grams of some texts at a time, dealt into buckets.
 
     For the counts 40 bits of an n-gram's hash do: what they confuse counts as more
     frequent than it is, which only makes the order less sharp.
@@ -96,28 +97,38 @@ def _classes_and_grams(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "s1", "s2", "n", "node", "bucket", "grams"]
+
+        def dealt(grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token = np.concatenate(grams)
+            token.sort()
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            at = np.flatnonzero(new)
+            token = (token[at] << U(1)) | (np.diff(np.append(at, len(token))) > 1).astype(U)  # the last bit: met twice here
+            bucket = (token >> U(41 - BUCKET_BITS)).astype(np.int32)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            packed = [pack_sorted(token[x:y]) for x, y in zip(cut, [*cut[1:], len(token)], strict=True)]
+            none = pa.nulls(len(cut)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(bucket[cut]), pa.array(packed, pa.binary())], names=names)
+
         for b in batches:
-            parts = [(np.zeros(0, np.int64),) * 4]
             seen: set[tuple[int, int]] = set()
-            grams = []
+            grams, size = [], 0
             ids = b.column(0).fill_null(0).to_numpy()
             for c in chunks(b.column(1)):
                 row, h = sets(c, k)
                 cuts, s1, s2 = _signatures(row, h, c.n)
-                parts.append((signed(s1), signed(s2), np.diff(cuts), signed(_nodes(ids[c.row : c.row + c.n], s1, s2))))
+                node = _nodes(ids[c.row : c.row + c.n], s1, s2)
+                none = pa.nulls(c.n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.row, c.n), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(np.diff(cuts)), pa.array(signed(node)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
                 new = np.array([not (key in seen or seen.add(key)) for key in zip(s1.tolist(), s2.tolist(), strict=True)], bool)
                 grams.append(h[new[row]] >> U(24))
-            s1, s2, n, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-            none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1), pa.array(s2), pa.array(n), pa.array(node), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-            token, count = np.unique(np.concatenate(grams) if grams else np.zeros(0, U), return_counts=True)
-            token = (token << U(1)) | (count > 1).astype(U)  # the last bit: met twice in this batch
-            bucket = (token >> U(41 - BUCKET_BITS)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            if len(cut):
-                packed = [pack_sorted(token[x:y]) for x, y in zip(cut, [*cut[1:], len(token)], strict=True)]
-                none = pa.nulls(len(cut)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(bucket[cut].astype(np.int32)), pa.array(packed, pa.binary())], names=names)
+                size += len(grams[-1])
+                if size >= DEALT:
+                    yield from dealt(grams)
+                    grams, size = [], 0
+            if size:
+                yield from dealt(grams)
 
     return rows.mapInArrow(run, "id long, s1 long, s2 long, n long, node long, bucket int, grams binary")
 
