@@ -93,7 +93,7 @@ def geneset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORE = (
     LOG
     + """, sums as (select var.gene_id, coalesce(sum(value), 0) as s from var left join x using (gene_id) group by 1), pl as (select gene_id, floor((row_number() over (order by s, gene_id) - 1) * 25 / (select count(*) from var)) as bin from sums),
-st as (select set_name as term, gene_id from var where set_name in (select distinct set_name from var order by 1 limit 4)), own as (select st.*, bin from st join pl using (gene_id)),
+st as (select set_name as term, gene_id from var), own as (select st.*, bin from st join pl using (gene_id)),
 cand as (select b.term, pl.gene_id, pl.bin from (select distinct term, bin from own) b join pl using (bin) where not exists (select 1 from own o where o.term = b.term and o.gene_id = pl.gene_id)),
 ch as (select term, gene_id from (select *, row_number() over (partition by term, bin order by (gene_id * 2654435761) % 4294967296, gene_id) as i from cand) where i <= 50),
 gs as (select term, gene_id, 1.0 as side from own union all select term, gene_id, -1.0 from ch), wt as (select term, gene_id, side / count(*) over (partition by term, side) as w from gs),
@@ -104,14 +104,13 @@ scores as (select t.term, obs.cell_id, coalesce(score, 0) as score from obs cros
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = from_tables(spark, sf_dir)
-    names = d.var.select("set_name").distinct().orderBy("set_name").limit(4)
-    sets = d.var.join(names, "set_name", "left_semi").select(F.col("set_name").alias("term"), "gene_id")
+    sets = d.var.select(F.col("set_name").alias("term"), "gene_id")
     return S.set_scores(d, sets), d.obs
 
 
-@query(_SCORE + " select term, cell_id, round(score, 6) as score from scores")
+@query(_SCORE + " select term, cell_id, round(score, 6) + 0.0 as score from scores")
 def geneset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir)[0].select("term", "cell_id", F.round("score", 6).alias("score"))
+    return _scores(spark, sf_dir)[0].select("term", "cell_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query(_SCORE + ", mm as (select cluster, term, round(avg(score), 9) as m from scores join obs using (cell_id) group by 1, 2) select cluster, term as label from (select *, row_number() over (partition by cluster order by m desc, term) as i from mm) where i = 1")
