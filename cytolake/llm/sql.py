@@ -69,5 +69,35 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(covered.n, 0) a
 from dw left join covered using (k) left join items using (k)"""
 
 
+def _mixing(budget_share: float = 1.0, max_epochs: int = 4, seed: int = 17) -> str:
+    """Shares by sorted capacities: below the level at which a parent's amount runs out, a child takes its capacity, above it level times weight."""
+    from cytolake.llm.queries import DOMAINS, WEIGHTS
+
+    domain = " ".join(f"when source in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in DOMAINS.items())
+    weight = {n: " ".join("when " + " and ".join(f"{c} = '{v}'" for c, v in zip(("domain", "lang"), k, strict=False)) + f" then {w}" for k, w in WEIGHTS.items() if len(k) == n) for n in (1, 2)}
+    weight[3] = ""
+    levels, keys = [], ("domain", "lang", "source")
+    for n in (1, 2, 3):
+        own, up = ", ".join(keys[:n]), ", ".join(keys[: n - 1])
+        part = f"partition by {up}" if up else ""
+        amount = f"join a{n - 1} using ({up})" if up else f"cross join (select least(sum(t) * {budget_share}, sum(t) * {max_epochs}) as a from leaf)"
+        w = f"case {weight[n]} else 1.0 end" if weight[n] else "1.0"
+        levels.append(
+            f"""c{n} as (select {own}, {max_epochs}.0 * sum(t) as cap, {w} as w from leaf group by {own}),
+o{n} as (select *, cap / w as r, (a - coalesce(sum(cap) over ({part} order by cap / w, {own} rows between unbounded preceding and 1 preceding), 0)) / sum(w) over ({part} order by cap / w, {own} rows between current row and unbounded following) as lam from c{n} {amount}),
+l{n} as (select {up + ", " if up else ""}min(r) as r0, arg_min(lam, r) as lam0 from o{n} where lam <= r {"group by " + up if up else ""}),
+a{n} as (select o{n}.{f", o{n}.".join(keys[:n])}, case when r0 is null or o{n}.r < r0 then cap else least(cap, lam0 * w) end as a from o{n} left join l{n} {"using (" + up + ")" if up else "on true"})"""
+        )
+    return f"""
+with d as (select doc_id, case {domain} else 'other' end as domain, coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source,
+ cast(case when trim(coalesce(text, ''), {_WS}) = '' then 0 else len(string_split_regex(trim(text, {_WS}), '[\\x20\\x09-\\x0D]+')) end as bigint) as n_tokens from documents),
+leaf as (select domain, lang, source, sum(n_tokens) as t from d group by all),
+{", ".join(levels)},
+plan as (select domain, lang, source, cast(floor(a + 1e-6) as bigint) // cast(t as bigint) as f, cast(floor(a + 1e-6) as bigint) % cast(t as bigint) as rest from a3 join leaf using (domain, lang, source) where t > 0),
+e as (select d.*, rest, unnest(range(0, f + 1)) as epoch, f from d join plan using (domain, lang, source)),
+k as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source, epoch order by md5('{seed}:' || epoch || ':' || doc_id), doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as run from e)
+select doc_id, domain, lang, source, cast(epoch as bigint) as epoch, n_tokens from k where epoch < f or run < rest"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_distribution_divergence": _quality(), "op7_benchmark_decontamination": _DECONTAMINATE, "op8_perspective_rotation": _CHAT}
+    return {"op4_distribution_divergence": _quality(), "op5_source_mixing": _mixing(), "op7_benchmark_decontamination": _DECONTAMINATE, "op8_perspective_rotation": _CHAT}
