@@ -140,7 +140,7 @@ def judge(documents: DataFrame, *, text: str = "text", lang: str = "lang", carry
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"}
     carry = [c for c in (documents.columns if carry is None else carry) if c not in made]
     counted = written(counts(documents, text=text, lang=lang, carry=carry), "quality-counts")
-    joined = counted.join(references(counted), "_lang", "left")
+    joined = counted.join(F.broadcast(references(counted)), "_lang", "left")  # a row for each language of COMMON at most
     judged = joined.withColumns({"char_distance": js_distance(F.col("_chars"), F.col("_ref_chars")), "word_distance": js_distance(F.col("_common"), F.col("_ref_common")), "_n": _total(F.col("_chars")), "base_failed": base_failed()})
     strange = ((F.col("_n") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     kept = ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))
