@@ -5,13 +5,13 @@ pair was seen, and alpha(h) P(w) elsewhere, with alpha(h) such that the
 probabilities after h sum to one exactly.  P(w) is the discounted relative
 count of the word; what the discounts free goes to one event, the unknown word.
 
-Words are counted without limit.  Pairs are kept for words of the index: the
-most frequent words, as many as `index_words` at most (2**20), whole classes of
-equal count at a time.  A pair with a word outside of it counts as unseen.  So
-word counts and alpha of the index have a fixed bound and go to every task; all
-else is joined.
+Words and pairs are counted without limit.  The index is a cache of the most
+frequent words, as many as `index_words` at most (2**20), whole classes of equal
+count at a time: their counts and alpha have a fixed bound and go to every task.
+Counts and alpha of all other words, and what a seen pair with such a word adds
+to its backed-off score, are rows by 64-bit hash in partitioned tables, and are joined.
 
-Pairs live in a partitioned table: a row is a bucket's sorted pairs and their
+Pairs of two words of the index live in a table of their own: a row is a bucket's sorted pairs and their
 counts, coded.  A bucket is a hash of the history; the pairs of the most
 frequent histories are dealt by the whole pair.  Texts ask for their pairs'
 counts bucket by bucket, each batch of texts once for each different pair, and
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from cytolake.llm._spark import written
 from cytolake.llm._text import Chunk, U, chunks, mix, pack, pack_sorted, signed, unpack, unpack_sorted, words
 
-END = U(1)
+START, END = U(0), U(1)
 BITS = 20  # of a word's index
 PAIR = U((1 << 2 * BITS) - 1)
 HOT = 1024  # histories, by rank, whose pairs are dealt by the pair
 K = 5  # counts up to this are discounted
+SUMS, WORD, HISTORY, SEEN = -1, 0, 1, 2  # what a row of `_own` is
 
 
 def stream(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +68,18 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c <= K, d[np.minimum(c, K).astype(np.int64)], 1.0)
 
 
+def _discounted_column(c: Column, d: np.ndarray) -> Column:
+    factor = F.lit(1.0)
+    for r in range(1, K + 1):
+        factor = F.when(c == r, float(d[r])).otherwise(factor)
+    return c * factor
+
+
+def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit name for a history and a word."""
+    return mix(mix(h + U(0x9E3779B97F4A7C15)) + w)
+
+
 class Index(NamedTuple):
     """The frequent words by rank, and what all tasks know."""
 
@@ -91,6 +104,14 @@ class Index(NamedTuple):
         """P(w) of a word counted c times."""
         return np.where(c > 0, _discounted(c, self.discount) / self.mass, self.unknown)
 
+    def p_column(self, c: Column) -> Column:
+        return F.when(c > 0, _discounted_column(c, self.discount) / float(self.mass)).otherwise(float(self.unknown))
+
+    @property
+    def whole(self) -> bool:
+        """Whether every training word is in the index."""
+        return len(self.hash) == self.types
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
@@ -142,15 +163,20 @@ def _index(counts: DataFrame, starts: int, index_words: int, buckets: int) -> In
     return Index(w[by_hash], rank[by_hash], np.concatenate([[0], c]), int(total), int(types), starts, d, mass, freed / mass, buckets)
 
 
-def _ranks(ix: Index, row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of history and token (-1: outside of the index); a text's first token follows START, of rank 0."""
-    w = ix.find(token)
+def _history(row: np.ndarray, w: np.ndarray, start) -> np.ndarray:
+    """What each token follows; a text's first one follows `start`."""
     h = np.empty_like(w)
     h[1:] = w[:-1]
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
-    h[first] = 0
-    return h, w
+    h[first] = start
+    return h
+
+
+def _ranks(ix: Index, row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of history and token (-1: outside of the index); START has rank 0."""
+    w = ix.find(token)
+    return _history(row, w, 0), w
 
 
 def _keyed(ix: Index, texts: pa.Array, most: int = 1_500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,9 +239,71 @@ def _pairs(train: DataFrame, shared) -> DataFrame:
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "bucket int, keys binary, counts binary, classes array<long>")
 
 
-def _alpha(pairs: DataFrame, shared, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 alpha, and what its pairs' counts are divided by, of each history; as long as the index.
+def _rare_pairs(train: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """h, w, c, r, hc, wc: every training pair with a word outside of the index, by hash; its count, the rank of its history (-1: outside), and how often history and word were counted."""
+    ix = shared.value
+    names = ["h", "w", "c", "r", "hc", "wc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for b in batches:
+            for chunk in chunks(b.column(0)):
+                row, token = stream(chunk)
+                h, w = _ranks(ix, row, token)
+                own = np.flatnonzero((h < 0) | (w < 0))
+                before = _history(row, token, START)
+                order = own[np.lexsort((token[own], before[own]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (token[order[1:]] != token[order[:-1]]) | (before[order[1:]] != before[order[:-1]])
+                at = np.flatnonzero(new)
+                n, i = np.diff(np.append(at, len(order))), order[at]
+                hc, wc = ix.history_count(np.maximum(h[i], 0)), ix.count[np.maximum(w[i], 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(before[i])), pa.array(signed(token[i])), pa.array(n), pa.array(h[i].astype(np.int32)), pa.array(np.asarray(hc, np.int64), mask=h[i] < 0), pa.array(wc, mask=w[i] < 0)], names=names)
+
+    found = train.select("t").mapInArrow(run, "h long, w long, c long, r int, hc long, wc long")
+    out = found.groupBy("h", "w").agg(F.sum("c").alias("c"), F.first("r").alias("r"), F.first("hc").alias("hc"), F.first("wc").alias("wc"))
+    # words of the index have their counts; they are spread, so that no task gets them all
+    rare = _outside(counts, ix).select(F.col("w").alias("_w"), F.col("c").alias("_c"))
+    for name, of in (("h", "hc"), ("w", "wc")):
+        j = F.when(F.col(of).isNull(), F.col(name)).otherwise(F.xxhash64("h", "w"))
+        out = out.withColumn("_j", j).join(rare, (F.col("_j") == F.col("_w")) & F.col(of).isNull(), "left").withColumn(of, F.coalesce(of, "_c")).select(*names)
+    return out
+
+
+def _outside(counts: DataFrame, ix: Index) -> DataFrame:
+    """The words outside of the index, which holds whole classes of counts."""
+    return counts.filter(F.col("c") < int(ix.count[1:].min())) if len(ix.hash) else counts
+
 
+def _rare_alpha(sums: DataFrame) -> DataFrame:
+    """h, a and follow, as of `_alpha`, of the histories outside of the index: h, seen, lower, follow."""
+    full = F.col("seen") > 1 - 1e-9
+    seen = F.when(full, F.col("seen") * F.col("follow") / (F.col("follow") + 0.5)).otherwise(F.col("seen"))
+    return sums.select("h", F.log10((1 - seen) / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("a"), (F.col("follow") + F.when(full, 0.5).otherwise(0.0)).alias("follow"))
+
+
+def _gains(rare: DataFrame, alphas: DataFrame, shared, d: np.ndarray, alpha) -> DataFrame:
+    """key and v: by how much the score of a seen pair with a word outside of the index exceeds log10 (alpha(h) P(w))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, (a, follow) = shared.value, alpha.value
+        for b in batches:
+            h, w, c, r, wc = (b.column(i).to_numpy() for i in range(5))
+            own, one = (b.column(i).fill_null(0.0).to_numpy() for i in (5, 6))
+            inside, at = r >= 0, np.maximum(r, 0)
+            v = np.log10(_discounted(c, d) / np.where(inside, follow[at], one)) - np.where(inside, a[at], own) - np.log10(ix.p(wc))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_pair_key(h.view(U), w.view(U)))), pa.array(v)], names=["key", "v"])
+
+    j = F.when(F.col("r") < 0, F.col("h")).otherwise(F.xxhash64("h", "w"))
+    of = alphas.select(F.col("h").alias("_h"), "a", "follow")
+    joined = rare.withColumn("_j", j).join(of, (F.col("_j") == F.col("_h")) & (F.col("r") < 0), "left")
+    return joined.select("h", "w", "c", "r", "wc", "a", "follow").mapInArrow(run, "key long, v double")
+
+
+def _alpha(pairs: DataFrame, more: DataFrame | None, shared, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 alpha, and what its pairs' counts are divided by, of each history of the index.
+
+    more: h (rank), seen and lower of their pairs with words outside of it.
     A history none of whose pairs is discounted leaves nothing to back off with;
     half a count is set aside for it.
     """
@@ -230,7 +318,9 @@ def _alpha(pairs: DataFrame, shared, d: np.ndarray) -> tuple[np.ndarray, np.ndar
                 seen = np.bincount(at, _discounted(c, d) / ix.history_count(h), len(u))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(seen), pa.array(np.bincount(at, ix.p(ix.count[w]), len(u)))], names=["h", "seen", "lower"])
 
-    got = pairs.select("keys", "counts").mapInArrow(sums, "h long, seen double, lower double").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower")).toArrow()  # at most index_words
+    parts = pairs.select("keys", "counts").mapInArrow(sums, "h long, seen double, lower double")
+    parts = parts if more is None else parts.unionByName(more)
+    got = parts.groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower")).toArrow()  # at most index_words
     h = got["h"].to_numpy()
     follow = shared.value.history_count(np.arange(len(shared.value.count))).astype(float)
     seen, lower = got["seen"].to_numpy(), got["lower"].to_numpy()
@@ -299,11 +389,15 @@ def _asked(rows: DataFrame, pairs: DataFrame, shared, d: np.ndarray, alpha) -> D
 
 
 def _own(rows: DataFrame, shared, alpha) -> DataFrame:
-    """What a text's tokens add without a pair: doc, w (null: known words, summed), n, and base, known, tokens, score."""
+    """What a text's tokens add but for the pairs in the index: doc, kind, w, n, and base, known, tokens, score.
+
+    kind SUMS: what the index knows, summed (w is null).  Others are looked up by w: WORD,
+    HISTORY (a word outside of the index that is followed) and SEEN (a pair with a word outside).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, a = shared.value, alpha.value[0]
-        names = ["doc", "w", "n", "base", "known", "tokens", "score"]
+        names = ["doc", "kind", "w", "n", "base", "known", "tokens", "score"]
         for b in batches:
             docs = b.column(0).to_numpy()
             for c in chunks(b.column(1)):
@@ -316,19 +410,24 @@ def _own(rows: DataFrame, shared, alpha) -> DataFrame:
                 doc = docs[c.row : c.row + c.n]
                 known = np.bincount(row[inside], minlength=c.n)
                 base = sums(ix.base(count), inside)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(c.n, pa.int64()), pa.nulls(c.n, pa.int64()), pa.array(base), pa.array(known), pa.array(np.bincount(row, minlength=c.n)), pa.array(score)], names=names)
-                rest = np.flatnonzero(~inside)
-                if len(rest):
-                    order = np.lexsort((token[rest], row[rest]))
-                    t, r = token[rest][order], row[rest][order]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.full(c.n, SUMS, np.int32)), pa.nulls(c.n, pa.int64()), pa.nulls(c.n, pa.int64()), pa.array(base), pa.array(known), pa.array(np.bincount(row, minlength=c.n)), pa.array(score)], names=names)
+                asked = [(WORD, token, ~inside)]
+                if not ix.whole:
+                    before = _history(row, token, START)
+                    asked += [(HISTORY, before, h < 0), (SEEN, _pair_key(before, token), ~inside | (h < 0))]
+                for kind, key, rest in asked:
+                    if not rest.any():
+                        continue
+                    order = np.lexsort((key[rest], row[rest]))
+                    t, r = key[rest][order], row[rest][order]
                     new = np.ones(len(t), bool)
                     new[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
                     at = np.flatnonzero(new)
                     n = np.diff(np.append(at, len(t)))
                     none = pa.nulls(len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[r[at]]), pa.array(signed(t[at])), pa.array(n), none.cast(pa.float64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[r[at]]), pa.array(np.full(len(at), kind, np.int32)), pa.array(signed(t[at])), pa.array(n), none.cast(pa.float64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64())], names=names)
 
-    return rows.mapInArrow(run, "doc long, w long, n long, base double, known long, tokens long, score double")
+    return rows.mapInArrow(run, "doc long, kind int, w long, n long, base double, known long, tokens long, score double")
 
 
 def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", index_words: int = 1 << BITS, buckets: int = 256) -> DataFrame:
@@ -350,22 +449,31 @@ def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text:
     ix = _index(counts, int(end["c"]) if end else 0, index_words, buckets)
     shared = spark.sparkContext.broadcast(ix)
     pairs = written(_pairs(learn, shared), "pairs")
-    classes = pairs.agg(*(F.sum(F.get("classes", F.lit(r))) for r in range(K + 2))).first()
-    d = discounts(np.array([x or 0 for x in classes], float))
-    alpha = spark.sparkContext.broadcast(_alpha(pairs, shared, d))
+    classes = [x or 0 for x in pairs.agg(*(F.sum(F.get("classes", F.lit(r))) for r in range(K + 2))).first()]
+    rare = None if ix.whole else written(_rare_pairs(learn, counts, shared), "rare-pairs")
+    if rare is not None:
+        classes = [x + (y or 0) for x, y in zip(classes, rare.agg(*(F.count_if(F.col("c") == r) for r in range(K + 2))).first(), strict=True)]
+    d = discounts(np.array(classes, float))
+    # words outside of the index, their alphas and pairs, are looked up; sums have nothing to meet
+    lookup = _outside(counts, ix).select(F.lit(WORD).alias("_kind"), F.col("w").alias("_w"), "c", F.lit(None).cast("double").alias("v"))
+    if rare is None:
+        alpha = spark.sparkContext.broadcast(_alpha(pairs, None, shared, d))
+    else:
+        sums = rare.groupBy("h").agg(F.first("r").alias("r"), F.sum(_discounted_column(F.col("c"), d) / F.col("hc")).alias("seen"), F.sum(ix.p_column(F.col("wc"))).alias("lower"), F.first("hc").cast("double").alias("follow"))
+        sums = written(sums, "rare-histories")
+        alpha = spark.sparkContext.broadcast(_alpha(pairs, sums.filter("r >= 0").select(F.col("r").cast("long").alias("h"), "seen", "lower"), shared, d))
+        alphas = _rare_alpha(sums.filter("r < 0"))
+        none = F.lit(None).cast("long").alias("c")
+        lookup = lookup.unionByName(alphas.select(F.lit(HISTORY).alias("_kind"), F.col("h").alias("_w"), none, F.col("a").alias("v")))
+        lookup = lookup.unionByName(_gains(rare, alphas, shared, d, alpha).select(F.lit(SEEN).alias("_kind"), F.col("key").alias("_w"), none, "v"))
     own = _own(all_, shared, alpha)
-    # words outside of the index meet their counts; sums of known words have no word to meet
-    c = counts.select(F.col("w").alias("_w"), F.col("c"))
-    joined = own.withColumn("j", F.coalesce("w", "doc")).join(c, (F.col("j") == F.col("_w")) & F.col("w").isNotNull(), "left")
+    joined = own.withColumn("j", F.coalesce("w", "doc")).join(lookup, (F.col("j") == F.col("_w")) & (F.col("kind") == F.col("_kind")), "left")
     count = F.coalesce("c", F.lit(0)).cast("double")
-    factor = F.lit(1.0)
-    for r in range(1, K + 1):
-        factor = F.when(count == r, float(ix.discount[r])).otherwise(factor)
-    p = F.when(count > 0, count * factor / float(ix.mass)).otherwise(float(ix.unknown))
-    rare = F.col("w").isNotNull()
+    p = ix.p_column(count)
+    word, summed = F.col("kind") == WORD, F.col("kind") == SUMS
     single = joined.select(
-        "doc", F.when(rare, F.col("n") * F.log10((count + 0.5) / (ix.total + 0.5 * (ix.types + 1)))).otherwise(F.col("base")).alias("base"), F.when(rare, F.when(count > 0, F.col("n")).otherwise(0)).otherwise(F.col("known")).alias("known"),
-        F.when(rare, F.col("n") * F.log10(p)).otherwise(F.col("score")).alias("score"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(rare, 0).otherwise(1).alias("rows"),
+        "doc", F.when(word, F.col("n") * F.log10((count + 0.5) / (ix.total + 0.5 * (ix.types + 1)))).when(summed, F.col("base")).otherwise(0.0).alias("base"), F.when(word & (count > 0), F.col("n")).when(summed, F.col("known")).otherwise(0).alias("known"),
+        F.when(word, F.col("n") * F.log10(p)).when(summed, F.col("score")).otherwise(F.col("n") * F.coalesce("v", F.lit(0.0))).alias("score"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(summed, 1).otherwise(0).alias("rows"),
     )
     paired = _asked(all_, pairs, shared, d, alpha).select("doc", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), "score", F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("rows"))
     sums = single.unionByName(paired).groupBy("doc").agg(*(F.sum(x).alias(x) for x in ("base", "known", "score", "tokens", "rows")))

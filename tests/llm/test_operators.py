@@ -188,6 +188,15 @@ def test_katz_sums_to_one_and_scores(spark, hard):
     assert katz.score(hard, F.lit(False)).filter("n_known > 0").count() == 0
 
 
+@pytest.mark.parametrize("index_words", [2, 12, 60])
+def test_katz_scores_do_not_depend_on_the_index(spark, hard, index_words):
+    train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, F.lit(False))
+    whole, small = (sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in katz.score(hard, train, index_words=n).collect()) for n in (1 << 20, index_words))
+    assert [x[:3] for x in whole] == [x[:3] for x in small]
+    for a, b in zip(whole, small, strict=True):
+        assert a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
 def test_empty_tables(empty, spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert jaccard.join(empty).count() == 0
