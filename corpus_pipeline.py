@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,27 +30,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Five words and a similarity of 0.8.  A row without doc_id stays; of rows that
-    share the smallest id of their group, the first by hash of the text stays.
+    Five words and a similarity of 0.8.  A row without doc_id stays.  What goes is
+    decided by the id together with the n-grams, so a row doesn't go because another
+    of its id does; of rows of one id that don't go, the first by hash of the text stays.
     Texts whose id isn't in a bit table of the ids that go or repeat stay where
     they are; only the others meet the decisions in a join.
     """
-    rows = written(jaccard.join(docs, k=5, percent=80), "groups").filter("doc_id is not null")
+    rows = written(jaccard.join(docs, k=5, percent=80, nodes=True), "groups").filter("doc_id is not null")
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    open_ = written(ids.filter("c <> doc_id or n > 1").select(F.col("doc_id").alias("_id"), (F.col("c") == F.col("doc_id")).alias("_stays")), "decisions")
-    bits = spark.sparkContext.broadcast(suffix.bit_table(open_.select(F.xxhash64("_id").alias("k")), "k"))
+    open_ = written(ids.filter("c <> doc_id or n > 1").select("doc_id", "n"), "decisions")
+    gone = written(rows.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct(), "gone")
+    bits = spark.sparkContext.broadcast(suffix.bit_table(open_.select(F.xxhash64("doc_id").alias("k")), "k"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = pa.array(suffix.in_table(b.column(b.num_columns - 1).to_numpy(), bits.value))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], hit], names=[*b.schema.names[:-1], "_hit"])
+            hit = suffix.in_table(b.column(b.num_columns - 1).to_numpy(), bits.value)
+            at = pa.array(np.flatnonzero(hit))
+            node = np.zeros(b.num_rows, np.int64)
+            node[hit] = jaccard.names(b.column("doc_id").cast(pa.int64()).take(at), b.column("text").take(at), 5)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit), pa.array(node)], names=[*b.schema.names[:-1], "_hit", "_node"])
 
     keyed = docs.withColumn("_hit", F.xxhash64("doc_id"))
-    seen = keyed.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_hit", T.BooleanType())]))
-    free = seen.filter("not _hit").drop("_hit")
-    judged = seen.filter("_hit").drop("_hit").join(open_, F.col("doc_id") == F.col("_id"), "left").filter("_stays is null or _stays")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = judged.withColumn("_i", F.row_number().over(order)).filter("_i = 1 or doc_id is null").select(*docs.columns)
+    seen = keyed.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_hit", T.BooleanType()), T.StructField("_node", T.LongType())]))
+    free = seen.filter("not _hit").select(*docs.columns)
+    first = seen.filter("_hit").join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_node") == F.col("_gone")), "left_anti").select(*docs.columns)
+    if open_.filter("n > 1").head(1):
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        first = first.withColumn("_i", F.row_number().over(order)).filter("_i = 1 or doc_id is null").select(*docs.columns)
     return free.unionByName(first)
 
 

@@ -83,6 +83,15 @@ def _nodes(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
         return mix(mix(s1 + ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15)) ^ s2)
 
 
+def names(ids: pa.Array, texts: pa.Array, k: int) -> np.ndarray:
+    """The nodes of documents, as `join` gives them."""
+    ids, out = ids.fill_null(0).to_numpy(zero_copy_only=False), [np.zeros(0, U)]
+    for c in chunks(texts):
+        _, s1, s2 = _signatures(*sets(c, k), c.n)
+        out.append(_nodes(ids[c.row : c.row + c.n], s1, s2))
+    return signed(np.concatenate(out))
+
+
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     """ceil(percent * n / 100)"""
     return -(-percent * n // 100)
@@ -450,8 +459,8 @@ def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "p", "q").mapInArrow(verified, "a long, b long")
 
 
-def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, nodes: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; and on demand its node, a 64-bit name for its id together with its set.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.  component_id is the
     smallest id reachable by links.  Texts of fewer than k words are one
@@ -487,4 +496,4 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     least = rooted.groupBy("root").agg(F.min("least").alias("c"))
     labelled = rooted.join(least, "root").select("s1", "s2", "c")
     out = docs.join(labelled, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))).alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))).alias("component_id"), *(["node"] if nodes else []))

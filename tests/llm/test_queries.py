@@ -34,3 +34,11 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     out = corpus_pipeline.near_duplicates(spark, docs, SF)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in out.collect())
     assert got == [-1, 1, 7, 8, 9]
+
+
+def test_a_row_stays_when_another_of_its_id_goes(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (5, text), (5, "a clean text that only shares the id of a copy"), (6, text + " more")]
+    docs = spark.createDataFrame([(d, t, "en", "src0", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, text), rows[2]]
