@@ -47,3 +47,18 @@ def test_correction_brings_batches_together(spark):
     frame = spark.createDataFrame([(i, "a" if i < 100 else "b", v[i].tolist()) for i in range(200)], "cell_id long, batch string, v array<double>")
     out = np.array([r["v"] for r in G.corrected(frame, clusters=2).orderBy("cell_id").collect()])
     assert out.shape == v.shape and np.abs(out[:100].mean(0) - out[100:].mean(0)).max() < 1.0
+
+
+def test_ties_among_many_copies_go_by_id(spark, monkeypatch):
+    import numpy as np
+
+    from cytolake.operators import graph as G
+
+    monkeypatch.setattr(G, "PAIRS", 500)
+    ids = np.random.default_rng(1).permutation(300)
+    rows = [(int(i), [0.1, 0.7, 0.3] if i < 200 else [float(i), 1.0, 2.0]) for i in ids]
+    vectors = spark.createDataFrame(rows, "cell_id long, v array<double>").coalesce(1)
+    got = {}
+    for r in G.nearest(vectors, vectors.filter("cell_id in (0, 2, 150, 250)"), 4).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["neighbour"])
+    assert got == {0: [1, 2, 3, 4], 2: [0, 1, 3, 4], 150: [0, 1, 2, 3], 250: [249, 251, 248, 252]}
