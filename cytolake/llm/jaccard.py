@@ -16,8 +16,9 @@ at least `percent`/100.  Documents of one set are a class and are joined once.
    large groups under several orders, and are verified there; links merge into
    components.  What matters is connection, so a large group of near copies
    costs its blocks, not its pairs.
-5. Every pair left, of different components, that passes the length, positional and
-   suffix filters in a list is then verified exactly, once.
+5. Pairs left, of different components: those of short lists that pass the length, positional and
+   suffix filters are verified exactly, once; the classes of long lists meet in blocks, each two blocks
+   once, and are verified there.
 
 No text is shuffled, only prefix hashes, and sets of the classes that have a
 candidate.  Lists and blocks are cut to a bounded number of rows.
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import checkpointed, written
+from cytolake.llm._spark import written
 from cytolake.llm._text import Chunk, U, chunks, mix, pack_sorted, signed, unpack_sorted, windows, words
 from cytolake.llm.components import components
 
@@ -44,6 +45,8 @@ BLOOM_BITS = 23
 BINS = 512
 LIST_ROWS = 1024
 BLOCK_ROWS = 512
+BLOCK_GRAMS = 1 << 20
+SMALL_LIST = 32
 ROUNDS = 3  # homes of a set
 LARGE_HOME = 64
 
@@ -348,11 +351,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _block_links(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components among some sets, all pairs verified."""
+def _block_links(grams: list[np.ndarray], percent: int, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the components among some sets, each pair verified once.
+
+    side: pairs within one side other than -1 are met elsewhere.  comp: what is linked already.
+    """
     m = len(grams)
-    if m == 2:
-        return [(0, 1)] if similar(grams[0], grams[1], percent) else []
     size = np.array([len(g) for g in grams])
     token, owner = np.concatenate(grams), np.repeat(np.arange(m), size)
     _, column, n = np.unique(token, return_inverse=True, return_counts=True)
@@ -367,8 +371,10 @@ def _block_links(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]
         part = np.zeros((m, min(width, top - at)), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
         both += part @ part.T
-    a, b = np.nonzero(np.triu(100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both.astype(np.float64)), 1))
-    root = list(range(m))
+    ok = np.triu((100 + percent) * both.astype(np.float64) >= percent * (size[:, None] + size[None, :]), 1)
+    if side is not None:
+        ok &= (side[:, None] != side[None, :]) | (side[:, None] < 0)
+    root = list(range(m)) if comp is None else np.unique(comp, return_index=True)[1][np.unique(comp, return_inverse=True)[1]].tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -377,7 +383,7 @@ def _block_links(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]
         return x
 
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y in zip(*(i.tolist() for i in np.nonzero(ok)), strict=True):
         p, q = find(x), find(y)
         if p != q:
             root[max(p, q)] = min(p, q)
@@ -385,15 +391,20 @@ def _block_links(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     return out
 
 
+def _block_count(rows: Column, grams: Column) -> Column:
+    """Blocks, so that none has many more than BLOCK_ROWS sets or BLOCK_GRAMS n-grams."""
+    return F.ceil(F.greatest(rows / BLOCK_ROWS, grams / BLOCK_GRAMS)).cast("int")
+
+
 def _met(found: DataFrame, percent: int) -> DataFrame:
     """Links among the classes of one home.
 
     Everyone goes to its first home.  Where that is a large one, so that its
     classes meet in several blocks, they also go to their further homes.
     """
-    own = found.select("rep", F.posexplode("homes").alias("r", "home"))
-    sized = own.groupBy("r", "home").agg(F.count("*").alias("c")).filter(F.col("c") > LARGE_HOME)
-    large = written(sized.select("r", "home", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "large-homes")  # few; Spark sees how many
+    own = found.select("rep", (F.octet_length("grams") / 8).alias("n"), F.posexplode("homes").alias("r", "home"))
+    sized = own.groupBy("r", "home").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter(F.col("c") > LARGE_HOME)
+    large = written(sized.select("r", "home", _block_count(F.col("c"), F.col("n")).alias("blocks")), "large-homes")  # few; Spark sees how many
     each = found.select("rep", "grams", F.col("homes")[0].alias("h0"), F.posexplode("homes").alias("r", "home"))
     first = large.filter("r = 0").select(F.col("home").alias("h0"), F.lit(True).alias("many"))
     going = each.join(first, "h0", "left").filter("r = 0 or many").drop("h0", "many").join(large, ["r", "home"], "left")
@@ -421,20 +432,25 @@ def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Verified links of all pairs of different components that pass the three filters.
+    """Links between components, from all pairs that pass the filters in a list.
 
-    The pairs are written, so that Spark sees how many there are when it picks the joins with the sets.
+    Short lists give their pairs, a few for each row; long lists give pairs of blocks.
     """
-    rows = _in_blocks(lists, LIST_ROWS).join(found.select("rep", "bins"), "rep").select("tok", "i", "j", "blk", "rep", "n", "pos", "comp", "bins")
+    sized = lists.groupBy("tok").agg(F.count("*").alias("c"))
+    lists = written(lists.join(sized, "tok"), "open-lists")
+    return _from_short(lists.filter(F.col("c") <= SMALL_LIST), found, percent).unionByName(_from_long(lists.filter(F.col("c") > SMALL_LIST), found, percent))
+
+
+def _from_short(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Verified links of the pairs of short lists.  The pairs are written, so that Spark sees how many there are when it picks the joins with the sets."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _groups(batches, ["tok", "i", "j"]):
-            n, pos, blk, rep, comp = (table[x].to_numpy().astype(np.int64) for x in ("n", "pos", "blk", "rep", "comp"))
-            across = table["i"].to_numpy() != table["j"].to_numpy()
+        for table, starts in _groups(batches, ["tok"]):
+            n, pos, rep, comp = (table[x].to_numpy().astype(np.int64) for x in ("n", "pos", "rep", "comp"))
             bins = np.frombuffer(b"".join(x.as_py() for c in table["bins"].chunks for x in c), np.uint8).reshape(-1, BINS).astype(np.int16)
             out = []
             for a, b in _pairs(starts, len(n)):
-                ok = (comp[a] != comp[b]) & _possible(n[a], pos[a], n[b], pos[b], percent) & (~across[a] | (blk[a] != blk[b]))
+                ok = (comp[a] != comp[b]) & _possible(n[a], pos[a], n[b], pos[b], percent)
                 a, b = a[ok], b[ok]
                 for s in range(0, len(a), 4096):
                     x, y = a[s : s + 4096], b[s : s + 4096]
@@ -446,8 +462,8 @@ def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 x = np.unique(np.sort(x, 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["x", "y"])
 
-    pairs = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j").mapInArrow(candidates, "x long, y long").distinct()
-    pairs = written(pairs, "pairs")
+    rows = lists.join(found.select("rep", "bins"), "rep").select("tok", "rep", "n", "pos", "comp", "bins")
+    pairs = written(rows.repartition("tok").sortWithinPartitions("tok").mapInArrow(candidates, "x long, y long").distinct(), "pairs")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -459,6 +475,37 @@ def _rest(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "p", "q").mapInArrow(verified, "a long, b long")
 
 
+def _from_long(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links of the classes of long lists, verified block by block.
+
+    A class belongs to the longest list it is in, and there to a block.  Two blocks
+    meet, once, if any list has classes of both; their sets go there whole, and only
+    links that span what isn't connected yet come out.  So rows grow with the blocks
+    that meet and not with the pairs.
+    """
+    own = lists.groupBy("rep").agg(F.max(F.struct("c", "tok")).alias("m"), F.first("n").alias("n"), F.first("comp").alias("comp")).select("rep", "n", "comp", F.col("m.tok").alias("home"))
+    blocks = own.groupBy("home").agg(_block_count(F.count("*"), F.sum("n")).alias("blocks"))
+    members = written(own.join(blocks, "home").select("rep", "n", "comp", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("unit")), "members")
+    seen = lists.join(members.select("rep", "unit"), "rep").select("tok", "unit").distinct()
+    pairs = written(seen.alias("a").join(seen.alias("b"), "tok").filter("a.unit <= b.unit").select(F.col("a.unit").alias("u"), F.col("b.unit").alias("v")).distinct(), "block-pairs")
+    going = pairs.select(F.explode(F.when(F.col("u") == F.col("v"), F.array("u")).otherwise(F.array("u", "v"))).alias("unit"), "u", "v")
+    met = members.join(found.select("rep", "grams"), "rep").join(going, "unit").select("u", "v", "unit", "rep", "comp", "grams").repartition("u", "v").sortWithinPartitions("u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _groups(batches, ["u", "v"]):
+            u, v, unit, rep, comp = (table[x].to_numpy() for x in ("u", "v", "unit", "rep", "comp"))
+            grams = [np.frombuffer(x.as_buffer(), U) for c in table["grams"].chunks for x in c]
+            out = []
+            for s, e in zip(starts, [*starts[1:], len(rep)], strict=True):
+                side = np.full(e - s, -1) if u[s] == v[s] else (unit[s:e] == v[s]).astype(int)
+                out += [(rep[s + a], rep[s + b]) for a, b in _block_links(grams[s:e], percent, side, comp[s:e])]
+            if out:
+                x = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, nodes: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; and on demand its node, a 64-bit name for its id together with its set.
 
@@ -476,10 +523,10 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     rarity = spark.sparkContext.broadcast(_shared_grams(first.filter("bucket is not null")))
     valid = rows.filter("id is not null")
     prefixes = _prefixes(valid, k, percent, rarity).repartition("tok")
-    shared = checkpointed(prefixes.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).filter("c > 1").drop("c"))
+    shared = written(prefixes.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).filter("c > 1").drop("c"), "shared")
     rep_of = docs.join(reps, ["s1", "s2"]).select("node", "rep").distinct()
     named = shared.join(rep_of, "node").groupBy("tok", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    lists = checkpointed(_with_partner(checkpointed(named), percent))
+    lists = written(_with_partner(written(named, "named"), percent), "lists")
     wanted = lists.select("rep").distinct()
     bloom = spark.sparkContext.broadcast(_bloom(wanted))
     # rows that repeat have the same name and set
@@ -490,8 +537,7 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
         twice = found.join(again, F.col("rep") == F.col("node"), "left_semi").dropDuplicates(["rep"])
         found = written(found.join(again, F.col("rep") == F.col("node"), "left_anti").unionByName(twice), "sets")
     roots = components(_met(found, percent))
-    lists = checkpointed(_open_lists(lists, roots))
-    roots = components(roots.unionByName(_rest(lists, found, percent)))
+    roots = components(roots.unionByName(_rest(_open_lists(lists, roots), found, percent)))
     rooted = reps.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("least").alias("c"))
     labelled = rooted.join(least, "root").select("s1", "s2", "c")

@@ -20,12 +20,22 @@ def test_jaccard(hard, k, percent):
 
 
 def test_jaccard_in_small_blocks(hard, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 2), ("LARGE_HOME", 1), ("LIST_ROWS", 2)):
+    for name, value in (("BLOCK_ROWS", 2), ("LARGE_HOME", 1), ("LIST_ROWS", 2), ("SMALL_LIST", 1)):
         monkeypatch.setattr(jaccard, name, value)
     got = Counter(pairs(jaccard.join(hard), "doc_id", "n_shingles", "component_id"))
     assert got == Counter(brute.components(pairs(hard, "doc_id", "text")))
 
 
+@pytest.mark.parametrize("words", [34, 60])
+def test_jaccard_near_copies_of_one_text(spark, words):
+    """Copies with one word changed each: linked with the original only (34 words), or with each other too."""
+    base = [f"w{i}" for i in range(words)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[: 4 + i % (words - 8)], f"x{i}", *base[5 + i % (words - 8) :]])) for i in range(1, 120)]
+    rows += [(1000 + i, " ".join([*base[: 4 + i % (words - 8)], f"y{i}", *base[5 + i % (words - 8) : -4], "a", "b", f"c{i}", f"d{i}"])) for i in range(60)]
+    got = Counter(pairs(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80), "doc_id", "n_shingles", "component_id"))
+    assert got == Counter(brute.components(rows, 5, 80))
+
+
 @pytest.mark.parametrize(("length", "gram", "batches"), [(200, 40, 4), (60, 16, 3), (60, 16, 1)])
 def test_suffix(hard, length, gram, batches):
     got = Counter(pairs(suffix.digest(suffix.remove_repeats(hard, length=length, gram=gram, batches=batches)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
