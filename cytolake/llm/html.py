@@ -1,19 +1,28 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as blocks of text, each with its root-to-leaf tag path.  Text
-length, punctuation, link text and block count are summed per path.  Mean
-length and mean punctuation of a path are smoothed over the paths next to it in
-page order, fused by multiplication (link text takes its share off), and paths
-whose score is above a share of the mean are content.  The content's container
-is the outermost article or main element that holds a content path, or else the lowest
-element that holds all content paths; all its blocks are the text, whatever their own
-path's score, except those in elements that are no part of an article.
+A page is read as blocks of text, each with its root-to-leaf tag path (tags with
+their class, id and role names).  Four things decide which paths are content:
+
+1. Ratios: text length, punctuation and link text are summed over all blocks of a path,
+   and per block give a length ratio log(1 + length), a punctuation ratio
+   1 + log(1 + marks) and a link share.
+2. Smoothing: a path's own ratio with that of all text below its parent and
+   its grandparent, as weighted in `SMOOTH` (within a node by text; the body and what is above it don't count).
+   So a heading or a short list goes with the paragraphs next to it.
+3. Fusing: the smoothed ratios and the share of text that isn't links are
+   multiplied, with a weight for what the path's tags and names say (`BOOST` inside of an
+   article or main element, `CUT` for navigation, adverts, comments and the like).
+4. Threshold: paths with at least `THRESHOLD` of the page's best score are content.
+
+The text is the blocks of the content paths, in page order.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +35,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-NOT_CONTENT = frozenset("head nav aside form button select option dialog menu svg object canvas".split())
-PAGE_PARTS = frozenset("header footer".split())  # of the page; an article may have its own header
+NOT_TEXT = frozenset("head button select option dialog svg object canvas".split())  # controls and what isn't shown
+PAGE_PARTS = frozenset("nav aside form menu header footer".split())
 CONTAINERS = frozenset("article main".split())
 #: Words in class, id or role that name what is no part of an article.
 NAMED = frozenset(
@@ -43,29 +52,56 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 NAME_WORD = re.compile(r"[a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 
-THRESHOLD = 0.3
+#: Weights of what tags and names say, and the share of the best score that makes a path content.
+BOOST, CUT, THRESHOLD = 1.5, 0.05, 0.25
+SMOOTH = (0.4, 0.2, 0.4)  # own, parent, grandparent
 P_SCOPE = frozenset("body article main section div td th li blockquote dd figure header footer aside nav form".split())
 
 
+class Path:
+    """A node of the page's tree of tag paths, and the sums over the blocks that end in it."""
+
+    __slots__ = ("above", "boosted", "children", "cut", "label", "linked", "marks", "n", "parent", "size")
+
+    def __init__(self, parent: Path | None, label: str, tag: str, names: set[str]):
+        self.parent, self.label, self.children = parent, label, {}
+        inside = parent is not None and parent.boosted
+        self.boosted = inside or tag in CONTAINERS or "main" in names
+        own = tag in PAGE_PARTS and not (inside and tag == "header") or bool(names & NAMED) and tag not in ("body", "html", *CONTAINERS) or not inside and bool(names & PAGE_NAMED)
+        self.cut = own or (parent is not None and parent.cut)
+        self.above = tag in ("", "html", "body")
+        self.n = self.size = self.marks = self.linked = 0
+
+    def child(self, tag: str, attributes: str) -> Path:
+        names = {w for m in ATTRIBUTE.finditer(attributes) for w in NAME_WORD.findall((m[2] or m[3] or m[4] or "").lower())} if "=" in attributes else set()
+        label = ".".join([tag, *sorted(x for x in names if not x.isdigit())])
+        if label not in self.children:
+            self.children[label] = Path(self, label, tag, names)
+        return self.children[label]
+
+    def __str__(self) -> str:
+        return f"{self.parent}/{self.label}" if self.parent else ""
+
+
 class _Element:
-    __slots__ = ("container", "key", "off", "path", "tag")
-
-    def __init__(self, parent, tag: str, attributes: str, key: int):
-        self.tag, self.key = tag, key
-        inside = parent is not None and parent.container
-        names = {w for m in ATTRIBUTE.finditer(attributes) for w in NAME_WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-        own = tag in NOT_CONTENT or (not inside and (tag in PAGE_PARTS or bool(names & PAGE_NAMED))) or bool(names & NAMED) and tag not in ("body", "html", *CONTAINERS) or bool(HIDDEN.search(attributes))
-        if tag == "footer" and inside:
-            own = True
-        self.off = own or (parent is not None and parent.off)
-        self.container = inside or tag in CONTAINERS or "role" in attributes.lower() and "main" in names
-        self.path = (*(parent.path if parent else ()), key)
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]:
-    """(tag path, element path, text, characters in links) of each block that is not left out, in page order."""
-    root = _Element(None, "", "", 0)
-    stack, out, at, key = [root], [], 0, 0
+    """An open element: its path, the block element it is in, and whether it is in a link or not shown."""
+
+    __slots__ = ("block", "inline_cut", "link", "off", "path", "tag")
+
+    def __init__(self, parent: _Element | None, tag: str, attributes: str, path: Path):
+        self.tag, self.path = tag, path
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.link = tag == "a" or (parent is not None and parent.link)
+        self.off = tag in NOT_TEXT or bool(attributes and HIDDEN.search(attributes)) or (parent is not None and parent.off)
+        # an advert in a span is no part of the paragraph it stands in
+        self.inline_cut = tag not in BLOCK and parent is not None and (parent.inline_cut or path.cut and not parent.path.cut)
+
+
+def blocks(page: str) -> list[tuple[Path, str]]:
+    """Path and text of each block that is shown, in page order; the paths have their sums."""
+    root = _Element(None, "", "", Path(None, "", "", set()))
+    stack, out, at = [root], [], 0
+    opened: Counter[str] = Counter()
     text: list[str] = []
     where, linked = root, 0
 
@@ -73,67 +109,64 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]
         nonlocal text, linked
         if text:
             words = " ".join("".join(text).split())
-            if words and not where.off:
-                e = [s.tag for s in stack_of(where)]
-                out.append((tuple(e), where.path, words, linked))
+            if words:
+                p = where.block.path
+                p.n, p.size, p.marks, p.linked = p.n + 1, p.size + len(words), p.marks + len(PUNCTUATION.findall(words)), p.linked + min(linked, len(words))
+                out.append((p, words))
         text, linked = [], 0
 
-    elements: dict[int, _Element] = {0: root}
-
-    def stack_of(e: _Element) -> list[_Element]:
-        return [elements[k] for k in e.path[1:]]
-
     def add(part: str) -> None:
         nonlocal where, linked
-        if not part:
+        top = stack[-1]
+        if not part or top.off or top.inline_cut:
             return
-        top = next(s for s in reversed(stack) if s.tag in BLOCK or s is root)
-        if stack[-1].off != top.off and stack[-1].off:
-            return  # an inline element that is left out, as an advert in a span
         if not text:
             where = top
         decoded = entities.unescape(part)
         text.append(decoded)
-        if any(s.tag == "a" for s in reversed(stack)):
+        if top.link:
             linked += len(decoded.strip())
 
     def close(to: int) -> None:
         if any(s.tag in BLOCK for s in stack[to:]):
             flush()
+        opened.subtract(s.tag for s in stack[to:])
         del stack[to:]
 
-    while m := TOKEN.search(page, at):
+    def close_first(shut: frozenset[str] | set[str], within: frozenset[str] | set[str], every: bool = False) -> None:
+        """Close the innermost open element of `shut` that is no further out than one of `within`."""
+        if not any(opened[x] for x in shut):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in shut:
+                close(i)
+                if not every:
+                    return
+            elif stack[i].tag in within:
+                return
+
+    last = page.rfind(">") + 1  # no tag ends after it
+    while at < last and (m := TOKEN.search(page, at, last)):
         add(page[at : m.start()])
-        at = m.end()
+        at = m.end() if not m[0].startswith("<!--") or m[0].endswith("-->") else len(page)
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if tag not in BLOCK and stack[i].tag in BLOCK:
+                        break
             continue
         attributes = m[3] or m[6] or ""
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in P_SCOPE:
-                    break
+            close_first({"p"}, P_SCOPE)
         if tag in CLOSES:
-            shut, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    close(i)
-                    if tag != "tr":
-                        break
-                elif stack[i].tag in within:
-                    break
+            close_first(*CLOSES[tag], every=tag == "tr")
         elif stack[-1].tag == "head" and tag in BLOCK:
             close(len(stack) - 1)
         if tag == "br":
@@ -142,64 +175,54 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if end:
-                shut = page.find(">", end.start())
-                at = len(page) if shut < 0 else shut + 1
-            else:
-                at = len(page)
+            shut = page.find(">", end.start()) if end else -1
+            at = len(page) if shut < 0 else shut + 1
             continue
         if not attributes.endswith("/") or tag in BLOCK:
-            key += 1
-            element = elements[key] = _Element(stack[-1], tag, attributes, key)
-            stack.append(element)
+            up = stack[-1]
+            stack.append(_Element(up, tag, attributes, up.path.child(tag, attributes)))
+            opened[tag] += 1
     add(page[at:])
     flush()
     return out
 
 
-def content_paths(found: list[tuple[tuple[str, ...], tuple[int, ...], str, int]]) -> set[tuple[str, ...]]:
-    """The tag paths whose smoothed, fused ratio is above the threshold."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, _, text, linked in found:
-        s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += min(linked, len(text))
-        s[3] += 1
-    paths = list(sums)
-    length = [sums[p][0] / sums[p][3] for p in paths]
-    marks = [1.0 + sums[p][1] / sums[p][3] for p in paths]
-
-    def smooth(x: list[float]) -> list[float]:
-        """Half its own, a quarter of each neighbour under the same parent."""
-        kin = lambda i, j: 0 <= j < len(x) and paths[j][:-1] == paths[i][:-1]
-        return [0.5 * v + 0.25 * (x[i - 1] if kin(i, i - 1) else v) + 0.25 * (x[i + 1] if kin(i, i + 1) else v) for i, v in enumerate(x)]
-
-    score = [a * b * (1.0 - sums[p][2] / sums[p][0]) for p, a, b in zip(paths, smooth(length), smooth(marks), strict=True)]
-    total = sum(sums[p][0] for p in paths)
-    mean = sum(s * sums[p][0] for p, s in zip(paths, score, strict=True)) / total if total else 0.0
-    return {p for p, s in zip(paths, score, strict=True) if s > 0 and s >= THRESHOLD * mean}
+def scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
+    """The smoothed and fused score of every path that has blocks."""
+    paths = list(dict.fromkeys(p for p, _ in found))
+    raw = {p: (math.log1p(p.size / p.n), 1 + math.log1p(p.marks / p.n), p.linked / p.size) for p in paths}
+    below: dict[Path, list[float]] = {}  # text, and ratios times text, below a node
+    for p in paths:
+        node = p
+        for _ in range(len(SMOOTH)):
+            node = node.parent
+            if node is None or node.above:
+                break
+            s = below.setdefault(node, [0.0] * 4)
+            for i, x in enumerate((1.0, *raw[p])):
+                s[i] += x * p.size
+    # text further below than a grandchild counts with its own kin only
+
+    def smoothed(p: Path, i: int) -> float:
+        total, weight, node = SMOOTH[0] * raw[p][i], SMOOTH[0], p
+        for w in SMOOTH[1:]:
+            node = node.parent
+            if node is None or node.above:
+                break
+            total, weight = total + w * below[node][i + 1] / below[node][0], weight + w
+        return total / weight
+
+    return {p: smoothed(p, 0) * smoothed(p, 1) * (1 - smoothed(p, 2)) * (BOOST if p.boosted else 1.0) * (CUT if p.cut else 1.0) for p in paths}
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the content's container, joined by newlines; empty if there is none."""
+    """The blocks of the content paths, joined by newlines; empty if there is none."""
     found = blocks(page or "")
-    chosen = content_paths(found)
-    content = [b for b in found if b[0] in chosen]
-    if not content:
-        return ""
-    depth = [next((i for i, tag in enumerate(b[0]) if tag in CONTAINERS), None) for b in content]
-    if any(d is not None for d in depth):
-        roots = {b[1][: d + 2] for b, d in zip(content, depth, strict=True) if d is not None}
-    else:
-        shared = content[0][1]
-        for b in content:
-            n = 0
-            while n < min(len(shared), len(b[1])) and shared[n] == b[1][n]:
-                n += 1
-            shared = shared[:n]
-        roots = {shared}
-    return "\n".join(b[2] for b in found if any(b[1][: len(r)] == r for r in roots))
+    score = scores(found)
+    if all(p.cut for p in score):
+        return ""  # a page of nothing but navigation, notices and the like
+    least = THRESHOLD * max(score.values())
+    return "\n".join(t for p, t in found if score[p] > 0 and score[p] >= least)
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -1,8 +1,10 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -91,3 +93,89 @@ def quality(text):
     repeated = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeated), len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+
+
+CUT_TAGS = {"nav", "aside", "form", "menu", "header", "footer"}
+CUT_NAMES = {"ad", "comments", "notice", "sidebar", "menu"}
+INLINE = {"a", "b", "i", "em", "span", "strong"}
+
+
+class _Reader(HTMLParser):
+    """Blocks of simple pages: [path as a tuple of (tag, names), text, characters in links]."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.text, self.linked = [], [], [], 0
+
+    def flush(self):
+        words = " ".join("".join(self.text).split())
+        if words and not {t for t, _ in self.stack} & {"head", "title", "script", "style"}:
+            self.blocks.append((tuple(x for x in self.stack if x[0] not in INLINE), words, min(self.linked, len(words))))
+        self.text, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        names = frozenset(w for k, v in attrs if k in ("class", "id", "role") for w in re.findall("[a-z0-9]+", (v or "").lower()) if not w.isdigit())
+        if tag in ("br", "meta", "link", "img"):
+            self.text += [" "] if tag == "br" else []
+            return
+        if tag not in INLINE:
+            self.flush()
+            tags = [t for t, _ in self.stack]
+            if "p" in tags:
+                del self.stack[tags.index("p") :]
+        self.stack.append((tag, names))
+
+    def handle_endtag(self, tag):
+        tags = [t for t, _ in self.stack]
+        if tag not in tags:
+            return
+        at = len(tags) - 1 - tags[::-1].index(tag)
+        if any(t not in INLINE for t in tags[at:]):
+            if tag in INLINE:
+                return
+            self.flush()
+        del self.stack[at:]
+
+    def handle_data(self, data):
+        self.text.append(data)
+        if "a" in [t for t, _ in self.stack]:
+            self.linked += len(data.strip())
+
+
+def main_text(page, boost, cut, threshold, smooth):
+    """By the definition, a block's ratios computed from all blocks of its path each time."""
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    found = reader.blocks
+
+    def ratio(path, i):
+        own = [b for b in found if b[0] == path]
+        if i == 2:
+            return sum(b[2] for b in own) / sum(len(b[1]) for b in own)
+        n = sum(len(b[1]) if i == 0 else len(re.findall("[.,;:!?…。、]", b[1])) for b in own)
+        return math.log1p(n / len(own)) if i == 0 else 1 + math.log1p(n / len(own))
+
+    def score(path):
+        out = []
+        for i in range(3):
+            total, weight = smooth[0] * ratio(path, i), smooth[0]
+            for up, w in enumerate(smooth[1:], 1):
+                node = path[:-up]
+                if len(node) < 1 or node[-1][0] in ("html", "body"):
+                    break
+                near = [b for b in found if b[0][: len(node)] == node and len(b[0]) <= len(node) + len(smooth) and b[0] != node]
+                size = sum(len(b[1]) for b in near)
+                total, weight = total + w * sum(ratio(b[0], i) * len(b[1]) for b in near) / size, weight + w
+            out.append(total / weight)
+        inside = [k for k, (t, names) in enumerate(path) if t in ("article", "main") or "main" in names]
+        bad = any((t in CUT_TAGS and not (t == "header" and inside and inside[0] < k)) or (names & CUT_NAMES and t not in ("article", "main")) for k, (t, names) in enumerate(path))
+        return out[0] * out[1] * (1 - out[2]) * (boost if inside else 1.0) * (cut if bad else 1.0), bad
+
+    every = {b[0]: score(b[0]) for b in found}
+    if all(bad for _, bad in every.values()):
+        return ""
+    every = {p: s for p, (s, _) in every.items()}
+    least = threshold * max(every.values())
+    return "\n".join(b[1] for b in found if every[b[0]] > 0 and every[b[0]] >= least)

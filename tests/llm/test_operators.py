@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm import chat, decontaminate, html, jaccard, katz, mixing, quality, secrets, suffix, toxicity
 from tests.llm import brute
+from tests.oracle import SF
 
 
 def pairs(frame, *columns):
@@ -156,6 +157,36 @@ def test_html(body, text):
     assert html.main_text(PAGE.replace("{}", body)) == text
 
 
+def test_html_paths_decide_without_containers_or_names():
+    """Only the ratios differ: the same tags with and without prose."""
+    prose = "".join(f"<p>Here is sentence {i}, which goes on for a while. And another one follows, with marks.</p>" for i in range(4))
+    page = f"<body><div id=x><section><ul><li>Home</li><li>About</li></ul></section><div><h2>Title of it</h2>{prose}<ul><li>first point</li><li>second point</li></ul></div></div><table><tr><td>1</td><td>2</td></tr></table></body>"
+    got = html.main_text(page)
+    assert got.startswith("Title of it\nHere is sentence 0") and got.endswith("first point\nsecond point") and "Home" not in got and "1" not in got.split("\n")
+    # the same page whose table has the prose: now the table's path is content, and the list of words still isn't
+    swapped = page.replace("<td>1</td>", "<td>Long text stands in the cell, and it goes on. More of it follows here, and then some more.</td>")
+    assert "stands in the cell" in html.main_text(swapped)
+    # a long notice under a telling name stays out, a long unnamed block doesn't
+    extra = "<div class=%s>This long block has several sentences. They have marks, and more of them, too.</div>"
+    assert "long block" not in html.main_text(page.replace("<table>", extra % "notice" + "<table>")) and "long block" in html.main_text(page.replace("<table>", extra % "body" + "<table>"))
+
+
+def test_html_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("html").toPandas()["html"].tolist()
+    rows += [PAGE.replace("{}", f"<div class=content><h1>T</h1>{'<p>A sentence, of words.</p>' * n}</div><section class=comments><p>Nice, very nice indeed.</p></section>") for n in (0, 1, 5)]
+    for page in rows:
+        assert html.main_text(page) == brute.main_text(page, html.BOOST, html.CUT, html.THRESHOLD, html.SMOOTH)
+
+
+def test_html_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    for page in ("<ul><li>x" * 20000, "<b>" * 50000 + "text, here." + "</i>" * 50000, "<div>" * 50000 + "a sentence, here." + "</div>" * 50000, "<p>word, and more of it.</p>" * 50000, "<" * 30000, "<a " * 20000, "&amp;" * 200000, "<table>" * 20000 + "<tr>" * 20000):
+        html.main_text(page)
+    assert time.time() - began < 60
+
+
 def test_html_rows(spark, empty):
     pages = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (2, None, "<p>é</p>", 4)], "page_id long, url string, html string, text int")
     assert Counter(pairs(html.extract(pages), "page_id", "text", "n_chars")) == Counter({(1, "", 0): 2, (2, "é", 1): 1})
