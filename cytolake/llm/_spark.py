@@ -14,25 +14,38 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or that set on the context.
 
-    Only where the setting is unset (tests on one machine) a folder is made.
+    Without either a folder is made, but only where driver and executors are one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jsc.get() if jsc.isDefined() else "file://" + tempfile.mkdtemp(prefix="cytolake-")
+        if jsc.isDefined():
+            found = jsc.get()
+        elif spark.sparkContext.master.startswith("local["):
+            found = "file://" + tempfile.mkdtemp(prefix="cytolake-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder (in folders by the integer column `by`) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that `written` made and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(conf).delete(path, False)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ array passes and no Python object is made for it.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,7 +35,7 @@ IS_WORD_ALNUM[0x80:] = True
 _HASH_LOWER = _TABLE[_LOWER]
 
 #: Bytes of text that are worked on at once; a longer text is one chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -152,13 +151,14 @@ def pack(a: np.ndarray) -> bytes:
     """Unsigned numbers as planes of bytes, compressed."""
     width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+    return bytes([width]) + len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], width * n, "zstd"), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
@@ -168,3 +168,22 @@ def pack_sorted(a: np.ndarray) -> bytes:
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=U)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each value of `key`, of a stream sorted by it."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(b.schema.names.index(key)).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and int(k[s]) != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(k[s])
+            held.append(b.slice(s, e - s))
+    if held:
+        yield at, pa.Table.from_batches(held)

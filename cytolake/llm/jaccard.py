@@ -37,7 +37,7 @@ from cytolake.llm._spark import written
 from cytolake.llm._text import Chunk, U, chunks, mix, pack_sorted, signed, unpack_sorted, windows, words
 from cytolake.llm.components import components
 
-DEALT = 1 << 20  # n-grams that are dealt out at once
+DEALT = 1 << 19  # n-grams that are dealt out at once
 BUCKET_BITS = 8
 SHARED_BITS = 19  # of a bucket's places
 RANK_BITS = 12

@@ -1,43 +1,49 @@
 """Katz backoff language model over words, and the score of every text.
 
-P(w | h) is the Good-Turing discounted relative count of the pair where the
-pair was seen, and alpha(h) P(w) elsewhere, with alpha(h) such that the
-probabilities after h sum to one exactly.  P(w) is the discounted relative
+P_n(w | h), h the n - 1 words before, is the Good-Turing discounted count of the
+n-gram over that of its history where the n-gram was seen; elsewhere it is
+alpha(h) P_{n-1}(w | h without its first word), evaluated level by level down to
+words.  alpha(h) is such that the probabilities after h sum to one exactly; a
+history that was never followed has alpha 1.  P_1(w) is the discounted relative
 count of the word; what the discounts free goes to one event, the unknown word.
 
-Words and pairs are counted without limit.  The index is a cache of the most
-frequent words, as many as `index_words` at most (2**20), whole classes of equal
-count at a time: their counts and alpha have a fixed bound and go to every task.
-Counts and alpha of all other words, and what a seen pair with such a word adds
-to its backed-off score, are rows by 64-bit hash in partitioned tables, and are joined.
-
-Pairs of two words of the index live in a table of their own: a row is a bucket's sorted pairs and their
-counts, coded.  A bucket is a hash of the history; the pairs of the most
-frequent histories are dealt by the whole pair.  Texts ask for their pairs'
-counts bucket by bucket, each batch of texts once for each different pair, and
-only sums by text come back.  Texts are never shuffled.
+Everything is counted, without a limit on the vocabulary:
+
+1. Texts are read in batches of some million tokens.  A batch's tokens go to a table;
+   its different words, by 64-bit hash, go to buckets, which sum the counts of all batches.
+2. Words get ids in the order of their counts, so that an id tells its count by a
+   short table of the different counts.  Each batch gets the ids of its words.
+3. For each level, a batch sends its different n-grams, as (id of the history, id of the
+   word), to the history's bucket.  A bucket keeps its part of the table of n-grams, and
+   answers each batch: counts, and for each history what its alpha is made of.  A
+   batch then knows P_n of all its tokens; the n-grams' ids are the next level's histories.
+
+Rows go by batch and bucket, whatever the number of texts.  The n-grams of the most
+frequent histories (at most `HOT`) are dealt by the whole n-gram, and what their alphas are made of is summed
+over the buckets.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import written
-from cytolake.llm._text import Chunk, U, chunks, mix, pack, pack_sorted, signed, unpack, unpack_sorted, words
+from cytolake.llm._spark import dropped, written
+from cytolake.llm._text import Chunk, U, chunks, mix, pack, pack_sorted, runs, signed, unpack, unpack_sorted, words
 
-START, END = U(0), U(1)
-BITS = 20  # of a word's index
-PAIR = U((1 << 2 * BITS) - 1)
-HOT = 1024  # histories, by rank, whose pairs are dealt by the pair
+END = U(1)
+UNKNOWN, START, FIRST = 0, 1, 2  # ids: of what training doesn't have, of a text's begin, of the most frequent word
 K = 5  # counts up to this are discounted
-SUMS, WORD, HISTORY, SEEN = -1, 0, 1, 2  # what a row of `_own` is
+HOT = 1024
+BATCH_TOKENS = 1_000_000
+SELF, TABLE, ASKED = 0, 1, 2  # kinds of rows
+PARTS = "kind int, bucket int, batch long, a binary, b binary, c binary, d binary"
 
 
 def stream(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -68,416 +74,445 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c <= K, d[np.minimum(c, K).astype(np.int64)], 1.0)
 
 
-def _discounted_column(c: Column, d: np.ndarray) -> Column:
-    factor = F.lit(1.0)
-    for r in range(1, K + 1):
-        factor = F.when(c == r, float(d[r])).otherwise(factor)
-    return c * factor
-
-
-def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One 64-bit name for a history and a word."""
-    return mix(mix(h + U(0x9E3779B97F4A7C15)) + w)
-
-
-class Index(NamedTuple):
-    """The frequent words by rank, and what all tasks know."""
+class Words(NamedTuple):
+    """What all tasks know of the words: the different counts, most frequent first, and the first id of each."""
 
-    hash: np.ndarray  # sorted
-    rank: np.ndarray  # of each of them
-    count: np.ndarray  # by rank
+    count: np.ndarray
+    first: np.ndarray
     total: int  # training tokens
     types: int  # distinct training tokens
-    starts: int  # training texts
-    discount: np.ndarray  # of words
+    discount: np.ndarray
     mass: float  # what discounted counts are divided by
     unknown: float  # probability of the unknown word
-    buckets: int
 
-    def find(self, token: np.ndarray) -> np.ndarray:
-        """Rank of each token, or -1."""
-        at = np.searchsorted(self.hash, token)
-        at[at == len(self.hash)] = 0
-        return np.where(self.hash[at] == token, self.rank[at], -1) if len(self.hash) else np.full(len(token), -1)
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.first):
+            return np.zeros(len(ids), np.int64)
+        return np.where(ids >= FIRST, self.count[np.maximum(np.searchsorted(self.first, ids, "right") - 1, 0)], 0)
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        """P(w) of a word counted c times."""
+    def p(self, ids: np.ndarray) -> np.ndarray:
+        c = self.counts(ids)
         return np.where(c > 0, _discounted(c, self.discount) / self.mass, self.unknown)
 
-    def p_column(self, c: Column) -> Column:
-        return F.when(c > 0, _discounted_column(c, self.discount) / float(self.mass)).otherwise(float(self.unknown))
+    def base(self, ids: np.ndarray) -> np.ndarray:
+        return np.log10((self.counts(ids) + 0.5) / (self.total + 0.5 * (self.types + 1)))
+
 
-    @property
-    def whole(self) -> bool:
-        """Whether every training word is in the index."""
-        return len(self.hash) == self.types
+def _row(kind: int, bucket: np.ndarray | int, batch: np.ndarray | int, *parts: list[bytes | None]) -> pa.RecordBatch:
+    """Rows of PARTS; parts left out are null."""
+    size = len(parts[0])
+    full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), size))
+    columns = [pa.array(p, pa.binary()) for p in parts] + [pa.nulls(size, pa.binary())] * (4 - len(parts))
+    return pa.RecordBatch.from_arrays([full(kind, np.int32), full(bucket, np.int32), full(batch, np.int64), *columns], names=["kind", "bucket", "batch", "a", "b", "c", "d"])
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
-    def bucket(self, key: np.ndarray) -> np.ndarray:
-        h = key >> U(BITS)
-        return (mix(np.where(h < HOT, key, h << U(BITS))) % U(self.buckets)).astype(np.int32)
+def _batches(rows: DataFrame, buckets: int) -> DataFrame:
+    """PARTS and ids: a SELF row of each batch (its tokens as numbers of its words, its rows' lengths, which of them train), and ASKED rows of its words (hashes, training counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+
+        def emitted(ids: list[pa.Array], train: list[np.ndarray], lengths: list[np.ndarray], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal done
+            batch = (TaskContext.get().partitionId() << 32) + done
+            done += 1
+            n, learn = np.concatenate(lengths), np.concatenate(train)
+            u, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            count = np.bincount(at[np.repeat(learn, n)], minlength=len(u))
+            one = pa.concat_arrays(ids)
+            listed = lambda b, x: pa.RecordBatch.from_arrays([*b.columns, x], names=[*b.schema.names, "ids"])
+            yield listed(_row(SELF, -1, batch, [pack(at)], [pack(2 * n + learn)]), pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one))
+            bucket = ((u >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(cut[1:], len(u))
+            asked = _row(ASKED, bucket[cut], batch, [pack_sorted(u[s:e]) for s, e in zip(cut, ends, strict=True)], [pack(count[s:e]) for s, e in zip(cut, ends, strict=True)])
+            yield listed(asked, pa.nulls(len(cut), pa.list_(one.type)))
+
+        parts: list[list] = [[], [], [], []]
+        size = 0
+        for b in batches:
+            learn = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for c in chunks(b.column(1)):
+                row, token = stream(c)
+                for held, x in zip(parts, (b.column(0).slice(c.row, c.n), learn[c.row : c.row + c.n], np.bincount(row, minlength=c.n), token), strict=True):
+                    held.append(x)
+                size += len(token)
+                if size >= BATCH_TOKENS:
+                    yield from emitted(*parts)
+                    parts, size = [[], [], [], []], 0
+        if size:
+            yield from emitted(*parts)
 
-    def history_count(self, h: np.ndarray) -> np.ndarray:
-        """How often a history was followed: a word as often as it occurs, START once a text (rank 0 is START)."""
-        return np.where(h == 0, self.starts, self.count[h])
+    return rows.mapInArrow(run, f"{PARTS}, ids array<{dict(rows.dtypes)['doc_id']}>")
 
 
-def _word_counts(train: DataFrame) -> DataFrame:
+def _parts(table: pa.Table, name: str) -> list[bytes | None]:
+    return table[name].to_pylist()
+
+
+def _word_table(asked: DataFrame) -> DataFrame:
+    """bucket, a and b: the training words of each bucket, sorted by hash, and their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, table in runs(batches, "bucket"):
+            u, at = np.unique(np.concatenate([unpack_sorted(x) for x in _parts(table, "a")]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([unpack(x) for x in _parts(table, "b")]), len(u)).astype(np.int64)
+            u, c = u[c > 0], c[c > 0]
+            yield _row(TABLE, bucket, -1, [pack_sorted(u)], [pack(c)])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PARTS)
+
+
+def _word_ids(table: DataFrame) -> tuple[DataFrame, Words]:
+    """The table with the words' ids in place of their counts, and what all tasks know."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [stream(c)[1] for c in chunks(b.column(0))]
-            if parts:
-                w, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(n)], names=["w", "c"])
-
-    return train.select("t").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
-def _index(counts: DataFrame, starts: int, index_words: int, buckets: int) -> Index:
-    of = counts.groupBy(F.col("c").alias("r")).agg(F.count("*").alias("n")).collect()  # as many rows as there are different counts
-    n = np.zeros(K + 2)
-    for r in of:
-        if r["r"] <= K + 1:
-            n[r["r"]] = r["n"]
-    total, types = sum(r["r"] * r["n"] for r in of), sum(r["n"] for r in of)
-    least, room = None, min(index_words, 1 << BITS) - 2
-    for r in sorted(of, key=lambda r: -r["r"]):
-        if r["n"] > room:
-            break
-        least, room = r["r"], room - r["n"]
-    got = counts.filter(F.col("c") >= least).toArrow() if least is not None else None  # at most index_words
-    w = got["w"].to_numpy().view(U) if got is not None else np.zeros(0, U)
-    c = got["c"].to_numpy() if got is not None else np.zeros(0, np.int64)
-    order = np.lexsort((w, -c))
-    w, c = w[order], c[order]
-    # ranks: 0 START, then the words by count
-    rank = np.arange(1, len(w) + 1)
-    by_hash = np.argsort(w)
-    d = discounts(n)
-    small = [r for r in of if r["r"] <= K]
-    freed = sum(r["r"] * r["n"] * (1 - d[r["r"]]) for r in small)
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c, n = np.unique(unpack(x.as_py()).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), bucket, np.int32)), pa.array(c), pa.array(n)], names=["bucket", "c", "n"])
+
+    by = written(table.select("bucket", "b").mapInArrow(classes, "bucket int, c long, n long"), "word-classes")
+    of = by.groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("c")).toArrow()  # as many rows as there are different counts
+    c, n = of["c"].to_numpy().astype(np.int64), of["n"].to_numpy().astype(np.int64)
+    total, types = int((c * n).sum()), int(n.sum())
+    small = np.zeros(K + 2)
+    small[c[c <= K + 1]] = n[c <= K + 1]
+    d = discounts(small)
+    freed = float(sum(r * small[r] * (1 - d[r]) for r in range(1, K + 1)))
     # where no count is small, half a token is set aside for the unknown word
     freed, mass = (freed, float(total)) if freed else (0.5, total + 0.5)
-    return Index(w[by_hash], rank[by_hash], np.concatenate([[0], c]), int(total), int(types), starts, d, mass, freed / mass, buckets)
-
-
-def _history(row: np.ndarray, w: np.ndarray, start) -> np.ndarray:
-    """What each token follows; a text's first one follows `start`."""
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    h[first] = start
-    return h
-
-
-def _ranks(ix: Index, row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of history and token (-1: outside of the index); START has rank 0."""
-    w = ix.find(token)
-    return _history(row, w, 0), w
-
-
-def _keyed(ix: Index, texts: pa.Array, most: int = 1_500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs in the index as (bucket, history, word) in one number, and the rows they are in; about `most` at a time."""
-    parts, size = [], 0
-    for c in chunks(texts):
-        row, token = stream(c)
-        h, w = _ranks(ix, row, token)
-        own = (h >= 0) & (w >= 0)
-        key = (h[own].astype(U) << U(BITS)) | w[own].astype(U)
-        parts.append(((ix.bucket(key).astype(U) << U(2 * BITS)) | key, (c.row + row[own]).astype(np.int32)))
-        size += len(key)
-        if size >= most:
-            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-            parts, size = [], 0
-    if size:
-        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _pairs(train: DataFrame, shared) -> DataFrame:
-    """The table of pairs: bucket, keys, counts, and how many pairs were counted 1 to K + 1 times."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+    known = Words(c, FIRST + np.cumsum(n) - n, total, types, d, mass, freed / mass)
+    shared = table.sparkSession.sparkContext.broadcast(known)
+    # of each class, the first bucket's words come first, then the next one's
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = by.withColumn("s", before).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("starts"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for b in batches:
-            for found, _ in _keyed(ix, b.column(0)):
-                key, n = np.unique(found, return_counts=True)
-                bucket, key = (key >> U(2 * BITS)).astype(np.int32), key & PAIR
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cut[1:], len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([pack_sorted(key[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary()), pa.array([pack(n[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "keys", "counts"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            u, at = np.unique(key, return_inverse=True)
-            return u, np.bincount(at, n, len(u)).astype(np.int64)
-
-        def row(bucket: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            key, n = total(key, n)
-            classes = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack_sorted(key)], pa.binary()), pa.array([pack(n)], pa.binary()), pa.array([classes.tolist()], pa.list_(pa.int64()))], names=["bucket", "keys", "counts", "classes"])
-
-        at, keys, counts, size, floor = None, [], [], 0, 0
-        for b in batches:
-            for bucket, k, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                if bucket != at:
-                    if at is not None:
-                        yield row(at, np.concatenate(keys), np.concatenate(counts))
-                    at, keys, counts, size, floor = bucket, [], [], 0, 0
-                keys.append(unpack_sorted(k.as_py()))
-                counts.append(unpack(n.as_py()).astype(np.int64))
-                size += len(keys[-1])
-                if size > 2 * floor + (1 << 20):  # fold, so that memory follows the different pairs
-                    u, m = total(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, size, floor = [u], [m], len(u), len(u)
-        if at is not None:
-            yield row(at, np.concatenate(keys), np.concatenate(counts))
-
-    found = train.select("t").mapInArrow(local, "bucket int, keys binary, counts binary")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "bucket int, keys binary, counts binary, classes array<long>")
-
-
-def _rare_pairs(train: DataFrame, counts: DataFrame, shared) -> DataFrame:
-    """h, w, c, r, hc, wc: every training pair with a word outside of the index, by hash; its count, the rank of its history (-1: outside), and how often history and word were counted."""
-    ix = shared.value
-    names = ["h", "w", "c", "r", "hc", "wc"]
+            for bucket, a, x, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+                count = unpack(x.as_py()).astype(np.int64)
+                start = s.values
+                u, at = np.unique(count, return_inverse=True)
+                order = np.argsort(at, kind="stable")
+                rank = np.empty(len(at), np.int64)
+                rank[order] = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+                ids = known.first[np.searchsorted(-known.count, -u)][at] + start.field("s").to_numpy()[at] + rank
+                yield _row(TABLE, bucket, -1, [a.as_py()], [pack(ids)])
+
+    return written(table.select("bucket", "a", "b").join(starts, "bucket").mapInArrow(numbered, PARTS), "word-ids"), known
+
+
+def _answered_words(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """The ids of each ASKED row's words, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        at, key, ids = None, np.zeros(0, U), np.zeros(0, np.int64)
         for b in batches:
-            for chunk in chunks(b.column(0)):
-                row, token = stream(chunk)
-                h, w = _ranks(ix, row, token)
-                own = np.flatnonzero((h < 0) | (w < 0))
-                before = _history(row, token, START)
-                order = own[np.lexsort((token[own], before[own]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (token[order[1:]] != token[order[:-1]]) | (before[order[1:]] != before[order[:-1]])
-                at = np.flatnonzero(new)
-                n, i = np.diff(np.append(at, len(order))), order[at]
-                hc, wc = ix.history_count(np.maximum(h[i], 0)), ix.count[np.maximum(w[i], 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(before[i])), pa.array(signed(token[i])), pa.array(n), pa.array(h[i].astype(np.int32)), pa.array(np.asarray(hc, np.int64), mask=h[i] < 0), pa.array(wc, mask=w[i] < 0)], names=names)
-
-    found = train.select("t").mapInArrow(run, "h long, w long, c long, r int, hc long, wc long")
-    out = found.groupBy("h", "w").agg(F.sum("c").alias("c"), F.first("r").alias("r"), F.first("hc").alias("hc"), F.first("wc").alias("wc"))
-    # words of the index have their counts; they are spread, so that no task gets them all
-    rare = _outside(counts, ix).select(F.col("w").alias("_w"), F.col("c").alias("_c"))
-    for name, of in (("h", "hc"), ("w", "wc")):
-        j = F.when(F.col(of).isNull(), F.col(name)).otherwise(F.xxhash64("h", "w"))
-        out = out.withColumn("_j", j).join(rare, (F.col("_j") == F.col("_w")) & F.col(of).isNull(), "left").withColumn(of, F.coalesce(of, "_c")).select(*names)
-    return out
+            out = []
+            for kind, bucket, batch, x, y in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if kind == TABLE:
+                    at, key, ids = bucket, unpack_sorted(x), unpack(y).astype(np.int64)
+                    continue
+                u = unpack_sorted(x)
+                found = np.zeros(len(u), np.int64)
+                if bucket == at and len(key):
+                    i = np.minimum(np.searchsorted(key, u), len(key) - 1)
+                    found = np.where(key[i] == u, ids[i], UNKNOWN)
+                out.append((bucket, batch, pack(found)))
+            if out:
+                x = list(zip(*out, strict=True))
+                yield _row(ASKED, np.array(x[0]), np.array(x[1]), list(x[2]))
 
+    return asked.unionByName(table).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, PARTS)
 
-def _outside(counts: DataFrame, ix: Index) -> DataFrame:
-    """The words outside of the index, which holds whole classes of counts."""
-    return counts.filter(F.col("c") < int(ix.count[1:].min())) if len(ix.hash) else counts
 
+def _packed_keys(h: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys in the order of h, then w."""
+    same = np.zeros(len(h), bool)
+    same[1:] = h[1:] == h[:-1]
+    step = np.diff(w, prepend=0)
+    return pack(np.diff(h, prepend=0)), pack(np.where(same, step, w))
 
-def _rare_alpha(sums: DataFrame) -> DataFrame:
-    """h, a and follow, as of `_alpha`, of the histories outside of the index: h, seen, lower, follow."""
-    full = F.col("seen") > 1 - 1e-9
-    seen = F.when(full, F.col("seen") * F.col("follow") / (F.col("follow") + 0.5)).otherwise(F.col("seen"))
-    return sums.select("h", F.log10((1 - seen) / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("a"), (F.col("follow") + F.when(full, 0.5).otherwise(0.0)).alias("follow"))
 
+def _unpacked_keys(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gap, step = unpack(a).astype(np.int64), unpack(b).astype(np.int64)
+    h = np.cumsum(gap)
+    new = np.ones(len(h), bool)
+    new[1:] = gap[1:] > 0
+    total = np.cumsum(step)
+    first = np.flatnonzero(new)
+    return h, total - np.repeat(total[first] - step[first], np.diff(np.append(first, len(h))))
 
-def _gains(rare: DataFrame, alphas: DataFrame, shared, d: np.ndarray, alpha) -> DataFrame:
-    """key and v: by how much the score of a seen pair with a word outside of the index exceeds log10 (alpha(h) P(w))."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, (a, follow) = shared.value, alpha.value
-        for b in batches:
-            h, w, c, r, wc = (b.column(i).to_numpy() for i in range(5))
-            own, one = (b.column(i).fill_null(0.0).to_numpy() for i in (5, 6))
-            inside, at = r >= 0, np.maximum(r, 0)
-            v = np.log10(_discounted(c, d) / np.where(inside, follow[at], one)) - np.where(inside, a[at], own) - np.log10(ix.p(wc))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(_pair_key(h.view(U), w.view(U)))), pa.array(v)], names=["key", "v"])
+def _distinct(bucket: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each different (bucket, h, w) in this order, and the number of each one's key."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (bucket, h, w)]
+    if sum(bits) < 64:  # one number to sort by
+        key = (bucket.astype(U) << U(bits[1] + bits[2])) | (h.astype(U) << U(bits[2])) | w.astype(U)
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        return first, at
+    order = np.lexsort((w, h, bucket))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(bucket[order]) != 0) | (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
 
-    j = F.when(F.col("r") < 0, F.col("h")).otherwise(F.xxhash64("h", "w"))
-    of = alphas.select(F.col("h").alias("_h"), "a", "follow")
-    joined = rare.withColumn("_j", j).join(of, (F.col("_j") == F.col("_h")) & (F.col("r") < 0), "left")
-    return joined.select("h", "w", "c", "r", "wc", "a", "follow").mapInArrow(run, "key long, v double")
+class Level(NamedTuple):
+    """What all tasks know of a level's n-grams."""
+
+    n: int
+    buckets: int
+    hot: np.ndarray  # histories whose n-grams are dealt by the whole n-gram, sorted
+    discount: np.ndarray = np.ones(K + 1)
+    sums: np.ndarray = np.zeros((0, K + 2))  # of each of `hot`: what `_sums` gives
+
+    def bucket(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            name = mix(h.astype(U) + U(self.n << 56))
+            spread = np.isin(h, self.hot)
+            name[spread] = mix(name[spread] + w[spread].astype(U))
+        return (name % U(self.buckets)).astype(np.int64)
+
+    def asked(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens with a known history: which, bucket and first of each different key (an unknown word is a key too), and each one's key."""
+        own = np.flatnonzero(h != UNKNOWN)
+        bucket = self.bucket(h[own], w[own])
+        first, at = _distinct(bucket, h[own], w[own])
+        return own, bucket[first], own[first], at
+
+    def alpha(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 alpha, and what counts are divided by, of histories with these sums.
+
+        A history none of whose n-grams is discounted leaves nothing to back off with;
+        half a count is set aside for it.
+        """
+        follow, lower = sums[:, 0], sums[:, 1]
+        small = sums[:, 2:] * np.arange(1, K + 1)
+        got = np.maximum(follow, 0.5)
+        seen = (follow - small.sum(1) + (small * self.discount[1:]).sum(1)) / got
+        full = seen > 1 - 1e-9
+        seen = np.where(full, seen * got / (got + 0.5), seen)
+        a = np.log10((1 - seen) / np.maximum(1 - lower, 1e-12))
+        return np.where(follow > 0, a, 0.0), np.where(full, got + 0.5, got)
+
+
+def _sums(h: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories, and for each how often it was followed, the sum of its n-grams' lower probabilities, and how many were counted 1 to K times."""
+    u, at = np.unique(h, return_inverse=True)
+    classes = [np.bincount(at, c == r, len(u)) for r in range(1, K + 1)]
+    return u, np.stack([np.bincount(at, c, len(u)), np.bincount(at, lower, len(u)), *classes], 1)
+
+
+def _state(table: pa.Table, bucket: np.ndarray) -> tuple[pa.Table, pa.Table]:
+    """A batch's SELF row and the answers to it, by bucket."""
+    table = table.take(pa.array(np.argsort(table["bucket"].to_numpy(), kind="stable")))
+    return table.slice(0, 1), table.slice(1)
+
+
+def _previous(x: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """The value before each token; `start` at the begin of a row."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    ends = np.cumsum(n)
+    out[(ends - n)[n > 0]] = start
+    return out
 
 
-def _alpha(pairs: DataFrame, more: DataFrame | None, shared, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 alpha, and what its pairs' counts are divided by, of each history of the index.
+def _level_parts(state: DataFrame, shared, level, first: bool, buckets: int) -> DataFrame:
+    """SELF rows of batches with all that is known now, and ASKED rows of the level's n-grams.
 
-    more: h (rank), seen and lower of their pairs with words outside of it.
-    A history none of whose pairs is discounted leaves nothing to back off with;
-    half a count is set aside for it.
+    SELF: words' ids, histories' ids, rows, and P of the level below (not for the first level, where ids tell it).
+    ASKED: keys, training counts, and P of the level below of each key.
     """
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for b in batches:
-            for k, n in zip(b.column(0), b.column(1), strict=True):
-                key, c = unpack_sorted(k.as_py()), unpack(n.as_py()).astype(np.int64)
-                h, w = (key >> U(BITS)).astype(np.int64), (key & U((1 << BITS) - 1)).astype(np.int64)
-                u, at = np.unique(h, return_inverse=True)
-                seen = np.bincount(at, _discounted(c, d) / ix.history_count(h), len(u))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(seen), pa.array(np.bincount(at, ix.p(ix.count[w]), len(u)))], names=["h", "seen", "lower"])
-
-    parts = pairs.select("keys", "counts").mapInArrow(sums, "h long, seen double, lower double")
-    parts = parts if more is None else parts.unionByName(more)
-    got = parts.groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower")).toArrow()  # at most index_words
-    h = got["h"].to_numpy()
-    follow = shared.value.history_count(np.arange(len(shared.value.count))).astype(float)
-    seen, lower = got["seen"].to_numpy(), got["lower"].to_numpy()
-    full = seen > 1 - 1e-9
-    seen = np.where(full, seen * follow[h] / (follow[h] + 0.5), seen)
-    follow[h[full]] += 0.5
-    out = np.zeros(len(follow))
-    out[h] = np.log10((1 - seen) / np.maximum(1 - lower, 1e-12))
-    return out, follow
-
-
-def _asked(rows: DataFrame, pairs: DataFrame, shared, d: np.ndarray, alpha) -> DataFrame:
-    """doc and score: the sums over a text's tokens whose history and word are in the index."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for b in batches:
-            docs = b.column(0).to_numpy()
-            for found, row in _keyed(ix, b.column(1)):
-                order = np.argsort(found, kind="stable")  # rows come in order
-                found, row = found[order], row[order]
-                new = np.ones(len(found), bool)
-                new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(found)))
-                row, bucket, key = row[at], (found[at] >> U(2 * BITS)).astype(np.int32), found[at] & PAIR
-                out = []
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for s, e in zip(cut, np.append(cut[1:], len(key)), strict=True):
-                    u, runs = np.unique(key[s:e], return_counts=True)
-                    own, local = np.unique(row[s:e], return_inverse=True)
-                    out.append((int(bucket[s]), pack_sorted(u), zlib.compress(docs[own].tobytes(), 1), pack(runs), pack(local), pack(n[s:e])))
-                x = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), pa.array(np.ones(len(out), np.int32)), *(pa.array(y, pa.binary()) for y in x[1:])], names=["bucket", "kind", "keys", "docs", "runs", "local", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now = shared.value, level.value
+        for batch, table in runs(batches, "batch"):
+            own, answers = _state(table, table["bucket"].to_numpy())
+            lengths = unpack(_parts(own, "b")[0]).astype(np.int64)
+            n, learn = lengths >> 1, (lengths & 1).astype(bool)
+            if first:
+                ids = np.concatenate([unpack(x).astype(np.int64) for x in _parts(answers, "a")])
+                w = ids[unpack(_parts(own, "a")[0]).astype(np.int64)]
+                h, p = _previous(w, n, START), None
+            else:
+                w, h, p = _solved(known, level.value[1], own, answers, n)
+                now = level.value[0]
+            which, bucket, key, at = now.asked(h, w)
+            count = np.bincount(at, np.repeat(learn, n)[which], len(key)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            spans = list(zip(cut, np.append(cut[1:], len(bucket)), strict=True))
+            keys = [_packed_keys(h[key[s:e]], w[key[s:e]]) for s, e in spans]
+            lower = [None if p is None else pa.compress(np.power(10.0, p[key[s:e]]).tobytes(), "zstd", asbytes=True) for s, e in spans]
+            listed = lambda b, x: pa.RecordBatch.from_arrays([*b.columns, x], names=[*b.schema.names, "ids"])
+            yield listed(_row(SELF, -1, batch, [pack(w)], [_parts(own, "b")[0]], [None if p is None else pack(h)], [None if p is None else pa.compress(p.tobytes(), "zstd", asbytes=True)]), own["ids"].combine_chunks())
+            if len(cut):
+                yield listed(_row(ASKED, bucket[cut], batch, [a for a, _ in keys], [b for _, b in keys], [pack(count[s:e]) for s, e in spans], lower), pa.nulls(len(cut), own["ids"].type))
+
+    return state.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, f"{PARTS}, ids {dict(state.dtypes)['ids']}")
+
+
+def _counted(asked: DataFrame, shared, level: Level) -> DataFrame:
+    """kind, bucket, batch and parts: the TABLE of each bucket's n-grams (keys, counts, what else there is), and answers to each batch.
+
+    Answer: counts of its keys (a), their ids (b), and the sums of each of its histories in order (c, d); those of `hot` are left out.
+    """
+    columns = f"{PARTS}, classes array<long>"
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, (a, follow) = shared.value, alpha.value
-        at, key, c = None, np.zeros(0, U), np.zeros(0, np.int64)
-        for b in batches:
-            docs, sums = [], []
-            for bucket, kind, *x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in range(2, 7)), strict=True):
-                if kind == 0:
-                    at, key, c = bucket, unpack_sorted(x[0].as_py()), unpack(x[1].as_py()).astype(np.int64)
-                    continue
-                if bucket != at:
-                    at, key, c = bucket, np.zeros(0, U), np.zeros(0, np.int64)
-                u, runs, local, n = unpack_sorted(x[0].as_py()), *(unpack(y.as_py()).astype(np.int64) for y in x[2:])
-                h, w = (u >> U(BITS)).astype(np.int64), (u & U((1 << BITS) - 1)).astype(np.int64)
-                i = np.searchsorted(key, u)
-                i[i == len(key)] = 0
-                count = np.where(key[i] == u, c[i], 0) if len(key) else np.zeros(len(u), np.int64)
-                seen = np.log10(np.maximum(_discounted(count, d), 1e-300) / np.maximum(follow[h], 0.5))
-                v = np.where(count > 0, seen, a[h] + np.log10(ix.p(ix.count[w])))
-                own = np.frombuffer(zlib.decompress(x[1].as_py()), np.int64)
-                docs.append(own)
-                sums.append(np.bincount(local, np.repeat(v, runs) * n, len(own)))
-            if docs:
-                own, back = np.unique(np.concatenate(docs), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(back, np.concatenate(sums), len(own)))], names=["doc", "score"])
-
-    schema = "bucket int, kind int, keys binary, docs binary, runs binary, local binary, n binary"
-    asked = rows.mapInArrow(ask, schema)
-    none = F.lit(None).cast("binary")
-    table = pairs.select("bucket", F.lit(0).alias("kind"), "keys", F.col("counts").alias("docs"), none.alias("runs"), none.alias("local"), none.alias("n"))
-    return asked.unionByName(table).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "doc long, score double")
-
-
-def _own(rows: DataFrame, shared, alpha) -> DataFrame:
-    """What a text's tokens add but for the pairs in the index: doc, kind, w, n, and base, known, tokens, score.
-
-    kind SUMS: what the index knows, summed (w is null).  Others are looked up by w: WORD,
-    HISTORY (a word outside of the index that is followed) and SEEN (a pair with a word outside).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for bucket, table in runs(batches, "bucket"):
+            batch, a, b, c, d = (_parts(table, x) for x in ("batch", "a", "b", "c", "d"))
+            keys = [_unpacked_keys(x, y) for x, y in zip(a, b, strict=True)]
+            size = np.array([len(h) for h, _ in keys])
+            h, w = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
+            first, at = _distinct(np.zeros(len(h), np.int64), h, w)
+            count = np.bincount(at, np.concatenate([unpack(x) for x in c]), len(first)).astype(np.int64)
+            p = known.p(w[first]) if d[0] is None else np.concatenate([np.frombuffer(pa.decompress(x, 8 * int(n), "zstd"), np.float64) for x, n in zip(d, size, strict=True)])[first]
+            own = np.flatnonzero(count > 0)
+            ids = np.zeros(len(first), np.int64)
+            ids[own] = FIRST + np.arange(len(own)) * level.buckets + bucket
+            th, tw, tc = h[first[own]], w[first[own]], count[own]
+            classes = np.bincount(np.minimum(tc, K + 2), minlength=K + 3)[: K + 2]
+            told = lambda x, n, y: pa.RecordBatch.from_arrays([*x.columns, y if y is not None else pa.nulls(n, pa.list_(pa.int64()))], names=[*x.schema.names, "classes"])
+            x, y = _packed_keys(th, tw)
+            yield told(_row(TABLE, bucket, -1, [x], [y], [pack(tc)], [p[own].tobytes()]), 1, pa.array([classes.tolist()], pa.list_(pa.int64())))
+            u, sums = _sums(th, tc, p[own])
+            out, ends = [], np.cumsum(size)
+            for i, (s, e) in enumerate(zip(ends - size, ends, strict=True)):
+                asks = np.unique(h[s:e])
+                asks = asks[~np.isin(asks, level.hot)]
+                got = np.zeros((len(asks), K + 2))
+                if len(u):
+                    j = np.minimum(np.searchsorted(u, asks), len(u) - 1)
+                    got[u[j] == asks] = sums[j[u[j] == asks]]
+                whole = np.delete(got, 1, 1).astype(np.int64)
+                out.append((batch[i], pack(count[at[s:e]]), pack(ids[at[s:e]]), pack(whole.ravel()), pa.compress(got[:, 1].tobytes(), "zstd", asbytes=True)))
+            x = list(zip(*out, strict=True))
+            yield told(_row(ASKED, bucket, np.array(x[0]), *map(list, x[1:])), len(out), None)
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, columns)
+
+
+def _solved(known: Words, level: Level, own: pa.Table, answers: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the ids of the level's n-grams as the next level's histories, and log10 P of the level, of a batch's tokens.
+
+    The recursion's step: the discounted n-gram where it was seen, else alpha times the level below.
     """
+    w = unpack(_parts(own, "a")[0]).astype(np.int64)
+    c, d = _parts(own, "c")[0], _parts(own, "d")[0]
+    h = _previous(w, n, START) if c is None else unpack(c).astype(np.int64)
+    p = np.log10(known.p(w)) if d is None else np.frombuffer(pa.decompress(d, 8 * len(w), "zstd"), np.float64).copy()
+    which, bucket, key, at = level.asked(h, w)
+    if not len(which):
+        return w, np.zeros(len(w), np.int64), p
+    count = np.concatenate([unpack(x).astype(np.int64) for x in _parts(answers, "a")])
+    ids = np.concatenate([unpack(x).astype(np.int64) for x in _parts(answers, "b")])
+    whole = np.concatenate([unpack(x).astype(np.float64).reshape(-1, K + 1) for x in _parts(answers, "c")])
+    lower = np.concatenate([np.frombuffer(pa.decompress(x, 8 * len(unpack(y)) // (K + 1), "zstd"), np.float64) for x, y in zip(_parts(answers, "d"), _parts(answers, "c"), strict=True)])
+    sums = np.insert(whole, 1, lower, axis=1)
+    # histories come bucket by bucket, each once; those of `hot` are known to all
+    new = np.ones(len(key), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (h[key[1:]] != h[key[:-1]])
+    hot = np.isin(h[key], level.hot)
+    number = np.cumsum(new & ~hot) - 1
+    each = np.zeros((len(key), K + 2))
+    each[~hot] = sums[number[~hot]]
+    if hot.any():
+        each[hot] = level.sums[np.searchsorted(level.hot, h[key[hot]])]
+    alpha, follow = level.alpha(each)
+    seen = np.log10(np.maximum(_discounted(count, level.discount), 1e-300) / follow)
+    p[which] = np.where(count[at] > 0, seen[at], alpha[at] + p[which])
+    gram = np.zeros(len(w), np.int64)
+    gram[which] = ids[at]
+    return w, _previous(gram, n, UNKNOWN), p
+
+
+def _hot_sums(table: DataFrame, shared, level: Level) -> np.ndarray:
+    """The sums of `hot`, over all buckets; as many rows as there are hot histories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, a = shared.value, alpha.value[0]
-        names = ["doc", "kind", "w", "n", "base", "known", "tokens", "score"]
         for b in batches:
-            docs = b.column(0).to_numpy()
-            for c in chunks(b.column(1)):
-                row, token = stream(c)
-                h, w = _ranks(ix, row, token)
-                inside = w >= 0
-                count = ix.count[np.maximum(w, 0)]
-                sums = lambda v, own, row=row, n=c.n: np.bincount(row[own], v[own], n).astype(float)
-                score = sums(np.log10(ix.p(count)), inside & (h < 0)) + sums(a[np.maximum(h, 0)], ~inside & (h >= 0))
-                doc = docs[c.row : c.row + c.n]
-                known = np.bincount(row[inside], minlength=c.n)
-                base = sums(ix.base(count), inside)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.full(c.n, SUMS, np.int32)), pa.nulls(c.n, pa.int64()), pa.nulls(c.n, pa.int64()), pa.array(base), pa.array(known), pa.array(np.bincount(row, minlength=c.n)), pa.array(score)], names=names)
-                asked = [(WORD, token, ~inside)]
-                if not ix.whole:
-                    before = _history(row, token, START)
-                    asked += [(HISTORY, before, h < 0), (SEEN, _pair_key(before, token), ~inside | (h < 0))]
-                for kind, key, rest in asked:
-                    if not rest.any():
-                        continue
-                    order = np.lexsort((key[rest], row[rest]))
-                    t, r = key[rest][order], row[rest][order]
-                    new = np.ones(len(t), bool)
-                    new[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
-                    at = np.flatnonzero(new)
-                    n = np.diff(np.append(at, len(t)))
-                    none = pa.nulls(len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[r[at]]), pa.array(np.full(len(at), kind, np.int32)), pa.array(signed(t[at])), pa.array(n), none.cast(pa.float64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64())], names=names)
-
-    return rows.mapInArrow(run, "doc long, kind int, w long, n long, base double, known long, tokens long, score double")
-
-
-def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", index_words: int = 1 << BITS, buckets: int = 256) -> DataFrame:
+            for x, y, z, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                h, _ = _unpacked_keys(x, y)
+                own = np.isin(h, level.hot)
+                u, sums = _sums(h[own], unpack(z).astype(np.int64)[own], np.frombuffer(p, np.float64)[own])
+                yield pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(sums[:, i].astype(float)) for i in range(K + 2))], names=["h", *(f"s{i}" for i in range(K + 2))])
+
+    names = [f"s{i}" for i in range(K + 2)]
+    got = table.select("a", "b", "c", "d").mapInArrow(run, "h long, " + ", ".join(f"{x} double" for x in names)).groupBy("h").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    out = np.zeros((len(level.hot), K + 2))
+    out[np.searchsorted(level.hot, got["h"].to_numpy())] = np.stack([got[x].to_numpy() for x in names], 1) if got.num_rows else 0
+    return out
+
+
+def _hot_grams(table: DataFrame, buckets: int, least: float) -> np.ndarray:
+    """Ids of the n-grams counted more often than `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                i = np.flatnonzero(unpack(x) > least)
+                yield pa.RecordBatch.from_arrays([pa.array(FIRST + i * buckets + bucket)], names=["h"])
+
+    return np.sort(table.select("bucket", "c").mapInArrow(run, "h long").toArrow()["h"].to_numpy().astype(np.int64))
+
+
+def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", order: int = 2, buckets: int = 256, bucket_tokens: int = 1 << 23) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     train: which rows the model learns from.  Words are `[^\\x20\\x09-\\x0D]+`
     with A-Z lower-cased; every text has an end token besides, so a null or
     empty text has one token.  base_score is the sum of log10((c + 0.5) / (N +
-    0.5 (V + 1))); score the model's log10 probability.  Rows that repeat count
-    as often as they are there and get the same scores.  Without training
-    texts every word is unknown.  Other columns are left out.
+    0.5 (V + 1))); score the model's log10 probability.  order: words of the longest n-gram, 2 at least.
+    Rows that repeat count as often as they are there and get the same scores.  Without training
+    texts every word is unknown.  A text is worked on whole by one task.  Other columns are left out.
+
+    buckets: of the tables, at least; there are more when a bucket would have over `bucket_tokens` training tokens.
     """
     spark = documents.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), t).alias("doc"), t.alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
-    learn, all_ = rows.filter("train"), rows.select("doc", "t")
-    counts = written(_word_counts(learn), "word-counts")
-    end = counts.filter(F.col("w") == int(END)).first()
-    ix = _index(counts, int(end["c"]) if end else 0, index_words, buckets)
-    shared = spark.sparkContext.broadcast(ix)
-    pairs = written(_pairs(learn, shared), "pairs")
-    classes = [x or 0 for x in pairs.agg(*(F.sum(F.get("classes", F.lit(r))) for r in range(K + 2))).first()]
-    rare = None if ix.whole else written(_rare_pairs(learn, counts, shared), "rare-pairs")
-    if rare is not None:
-        classes = [x + (y or 0) for x, y in zip(classes, rare.agg(*(F.count_if(F.col("c") == r) for r in range(K + 2))).first(), strict=True)]
-    d = discounts(np.array(classes, float))
-    # words outside of the index, their alphas and pairs, are looked up; sums have nothing to meet
-    lookup = _outside(counts, ix).select(F.lit(WORD).alias("_kind"), F.col("w").alias("_w"), "c", F.lit(None).cast("double").alias("v"))
-    if rare is None:
-        alpha = spark.sparkContext.broadcast(_alpha(pairs, None, shared, d))
-    else:
-        sums = rare.groupBy("h").agg(F.first("r").alias("r"), F.sum(_discounted_column(F.col("c"), d) / F.col("hc")).alias("seen"), F.sum(ix.p_column(F.col("wc"))).alias("lower"), F.first("hc").cast("double").alias("follow"))
-        sums = written(sums, "rare-histories")
-        alpha = spark.sparkContext.broadcast(_alpha(pairs, sums.filter("r >= 0").select(F.col("r").cast("long").alias("h"), "seen", "lower"), shared, d))
-        alphas = _rare_alpha(sums.filter("r < 0"))
-        none = F.lit(None).cast("long").alias("c")
-        lookup = lookup.unionByName(alphas.select(F.lit(HISTORY).alias("_kind"), F.col("h").alias("_w"), none, F.col("a").alias("v")))
-        lookup = lookup.unionByName(_gains(rare, alphas, shared, d, alpha).select(F.lit(SEEN).alias("_kind"), F.col("key").alias("_w"), none, "v"))
-    own = _own(all_, shared, alpha)
-    joined = own.withColumn("j", F.coalesce("w", "doc")).join(lookup, (F.col("j") == F.col("_w")) & (F.col("kind") == F.col("_kind")), "left")
-    count = F.coalesce("c", F.lit(0)).cast("double")
-    p = ix.p_column(count)
-    word, summed = F.col("kind") == WORD, F.col("kind") == SUMS
-    single = joined.select(
-        "doc", F.when(word, F.col("n") * F.log10((count + 0.5) / (ix.total + 0.5 * (ix.types + 1)))).when(summed, F.col("base")).otherwise(0.0).alias("base"), F.when(word & (count > 0), F.col("n")).when(summed, F.col("known")).otherwise(0).alias("known"),
-        F.when(word, F.col("n") * F.log10(p)).when(summed, F.col("score")).otherwise(F.col("n") * F.coalesce("v", F.lit(0.0))).alias("score"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(summed, 1).otherwise(0).alias("rows"),
-    )
-    paired = _asked(all_, pairs, shared, d, alpha).select("doc", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), "score", F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("rows"))
-    sums = single.unionByName(paired).groupBy("doc").agg(*(F.sum(x).alias(x) for x in ("base", "known", "score", "tokens", "rows")))
-    each = rows.select("doc_id", "doc").join(sums, "doc")
-    one = lambda x: (F.col(x) / F.col("rows"))
-    # rows that repeat have one name, and their sums come together
-    return each.select("doc_id", F.round(one("tokens")).cast("long").alias("n_tokens"), F.round(one("known")).cast("long").alias("n_known"), F.lit(ix.total).cast("long").alias("train_tokens"), one("base").alias("base_score"), one("score").alias("score"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), t.alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
+    parts = written(_batches(rows, buckets), "batches", by="kind")
+    asked = parts.filter(F.col("kind") == ASKED).drop("ids")
+    table, known = _word_ids(written(_word_table(asked), "words"))
+    shared = spark.sparkContext.broadcast(known)
+    none = F.lit(None).cast(dict(parts.dtypes)["ids"]).alias("ids")
+    state = parts.filter(F.col("kind") == SELF).unionByName(_answered_words(asked, table).withColumn("ids", none))
+    buckets = max(buckets, -(-known.total // bucket_tokens))
+    least = max(known.total / HOT, 1)
+    classes = int((known.count > least).sum())
+    many = (int(known.first[classes]) - FIRST if classes < len(known.first) else known.types) if classes else 0
+    level = Level(2, buckets, np.concatenate([[START], np.arange(FIRST, FIRST + many)]))
+    told: tuple | Level = level
+    for n in range(2, order + 1):
+        more = written(_level_parts(state, shared, spark.sparkContext.broadcast(told), n == 2, buckets), f"level-{n}", by="kind")
+        dropped(parts)
+        counted = written(_counted(more.filter(F.col("kind") == ASKED).drop("ids"), shared, level), f"grams-{n}", by="kind")
+        grams = counted.filter(F.col("kind") == TABLE)
+        of = [x or 0 for x in grams.agg(*(F.sum(F.get("classes", F.lit(r))) for r in range(K + 2))).first()]
+        level = level._replace(discount=discounts(np.array(of, float)), sums=_hot_sums(grams, shared, level))
+        answers = counted.filter(F.col("kind") == ASKED).select(*parts.drop("ids").columns, none)
+        state, parts = more.filter(F.col("kind") == SELF).unionByName(answers), more
+        if n < order:
+            following = Level(n + 1, buckets, _hot_grams(grams, buckets, least))
+            told, level = (following, level), following
+    solved = spark.sparkContext.broadcast(level)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, level = shared.value, solved.value
+        for _, table in runs(batches, "batch"):
+            own, answers = _state(table, table["bucket"].to_numpy())
+            n = unpack(_parts(own, "b")[0]).astype(np.int64) >> 1
+            w, _, p = _solved(known, level, own, answers, n)
+            row = np.repeat(np.arange(len(n)), n)
+            sums = lambda v, row=row, n=n: pa.array(np.bincount(row, v, len(n)).astype(float))
+            ids = own["ids"].combine_chunks().flatten()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(np.bincount(row, w != UNKNOWN, len(n)).astype(np.int64)), pa.array(np.full(len(n), known.total)), sums(known.base(w)), sums(p)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return state.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(scored, out)

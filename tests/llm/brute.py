@@ -95,6 +95,69 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeated), len(w) < 10 or 100 * len(repeated) > 20 * len(w)
 
 
+class Katz:
+    """A backoff model over token lists, from the definition, without any table but counts."""
+
+    def __init__(self, texts, order, k=5):
+        self.order, self.k = order, k
+        self.counts = [Counter() for _ in range(order + 1)]
+        for t in texts:
+            w = ["<s>", *t]
+            for i in range(1, len(w)):
+                for n in range(1, order + 1):
+                    if n == 1 or i - n + 1 >= 0:
+                        self.counts[n][tuple(w[i - n + 1 : i + 1])] += 1
+        self.total, self.vocabulary = sum(self.counts[1].values()), [w for (w,) in self.counts[1]]
+        self.follow, self.grams = [Counter() for _ in range(order + 1)], {}
+        for n in range(2, order + 1):
+            for g, c in self.counts[n].items():
+                self.follow[n][g[:-1]] += c
+                self.grams.setdefault(g[:-1], []).append(g)
+        self.d = [None, *(self._discounts(Counter(self.counts[n].values())) for n in range(1, order + 1))]
+        freed = sum(c * (1 - self.d[1][c]) for c in self.counts[1].values() if c <= k)
+        self.mass = self.total if freed else self.total + 0.5
+        self.unknown = (freed or 0.5) / self.mass
+        self.memo = {}
+
+    def _discounts(self, n):
+        common = (self.k + 1) * n[self.k + 1] / n[1] if n[1] else 1
+        out = {}
+        for r in range(1, self.k + 1):
+            good = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0
+            out[r] = good if 0 < good <= 1 else (r - 0.5) / r
+        return out
+
+    def discounted(self, n, g):
+        c = self.counts[n][g]
+        return c * self.d[n].get(c, 1.0)
+
+    def alpha(self, n, h):
+        """alpha and divisor of a history."""
+        if (n, h) not in self.memo:
+            own = self.grams[h]
+            f = self.follow[n][h]
+            seen = sum(self.discounted(n, g) for g in own) / f
+            if seen > 1 - 1e-9:
+                seen, f = seen * f / (f + 0.5), f + 0.5
+            self.memo[n, h] = (1 - seen) / max(1 - sum(self.p(g[1:]) for g in own), 1e-12), f
+        return self.memo[n, h]
+
+    def p(self, g):
+        """P of the last word of g after those before it; a word that training doesn't have is the unknown word."""
+        n = len(g)
+        if n == 1:
+            return self.discounted(1, g) / self.mass if self.counts[1][g] else self.unknown
+        h = g[:-1]
+        if not self.follow[n][h]:
+            return self.p(g[1:])
+        a, f = self.alpha(n, h)
+        return self.discounted(n, g) / f if self.counts[n][g] else a * self.p(g[1:])
+
+    def score(self, t):
+        w = ["<s>", *t]
+        return sum(math.log10(self.p(tuple(w[max(0, i - self.order + 1) : i + 1]))) for i in range(1, len(w)))
+
+
 CUT_TAGS = {"nav", "aside", "form", "menu", "header", "footer"}
 CUT_NAMES = {"ad", "comments", "notice", "sidebar", "menu"}
 INLINE = {"a", "b", "i", "em", "span", "strong"}

@@ -1,5 +1,7 @@
 """Every operator against a plain version on hard cases, and on an empty table."""
 
+import math
+import zlib
 from collections import Counter
 
 import pytest
@@ -217,25 +219,44 @@ def test_toxicity_and_swaps(spark):
     assert toxicity.score(docs, nothing).filter("predicted = 1").count() == 0
 
 
-def test_katz_sums_to_one_and_scores(spark, hard):
-    train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, F.lit(False))
-    got = katz.score(hard, train)
-    assert got.count() == hard.count() and got.filter("score is null or score > 0 or base_score > 0 or n_known > n_tokens").count() == 0
-    for d, n in pairs(got, "doc_id", "n_tokens"):
-        assert d is None or n >= 1
-    words = {(d, len(brute.words(t)) + 1) for d, t in pairs(hard, "doc_id", "text")}
-    assert set(pairs(got, "doc_id", "n_tokens")) == words
-    # one-word texts over the whole vocabulary: P(w | start) P(end | w) sums to what is left for longer ones
-    assert katz.score(hard, F.lit(False)).filter("n_known > 0").count() == 0
-
-
-@pytest.mark.parametrize("index_words", [2, 12, 60])
-def test_katz_scores_do_not_depend_on_the_index(spark, hard, index_words):
+def tokens(text):
+    return [*brute.words(text), "</s>"]
+
+
+def katz_train(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 5 != 1
+
+
+@pytest.mark.parametrize(("order", "hot"), [(2, 1024), (2, 8), (3, 1024), (3, 30), (4, 10)])
+def test_katz_by_brute_force(spark, hard, monkeypatch, order, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 3000)
+    rows = pairs(hard, "doc_id", "text")
+    model = brute.Katz([tokens(t) for d, t in rows if katz_train(d)], order)
+    n, v = model.total, len(model.vocabulary)
+    want = Counter()
+    for d, t in rows:
+        w = tokens(t)
+        c = [model.counts[1][(x,)] for x in w]
+        want[d, len(w), sum(x > 0 for x in c), n, round(sum(math.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in c), 6), round(model.score(w), 6)] += 1
     train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, F.lit(False))
-    whole, small = (sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in katz.score(hard, train, index_words=n).collect()) for n in (1 << 20, index_words))
-    assert [x[:3] for x in whole] == [x[:3] for x in small]
-    for a, b in zip(whole, small, strict=True):
-        assert a[3:] == pytest.approx(b[3:], rel=1e-9)
+    out = katz.score(hard, train, order=order, buckets=7)
+    got = Counter((*r[:4], round(r[4], 6), round(r[5], 6)) for r in pairs(out, "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    assert got == want
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_sums_to_one_after_each_history(hard, order):
+    model = brute.Katz([tokens(t) for d, t in pairs(hard, "doc_id", "text") if katz_train(d)], order)
+    histories = [("<s>",), ("the",), ("</s>",), ("never seen",)] if order == 2 else [("<s>", "the"), *list(model.follow[3])[:5], ("the", "never seen")]
+    for h in histories:
+        assert sum(model.p((*h, w)) for w in [*model.vocabulary, "never seen"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_katz_without_training(hard, spark):
+    assert katz.score(hard, F.lit(False)).filter("n_known > 0 or train_tokens > 0").count() == 0
+    long = spark.createDataFrame([(1, "a b c d " * 200_000), (2, "a b"), (2, "a b")], "doc_id long, text string")
+    assert sorted(pairs(katz.score(long, F.lit(True)), "doc_id", "n_tokens", "n_known")) == [(1, 800_001, 800_001), (2, 3, 3), (2, 3, 3)]
 
 
 def test_empty_tables(empty, spark):
