@@ -46,6 +46,25 @@ def test_suffix(hard, length, gram, batches):
     assert got == Counter((d, *x) for (d, _), x in zip(rows, brute.repeats([t for _, t in rows], length), strict=True))
 
 
+def test_suffix_in_small_pieces(spark, hard, monkeypatch):
+    """Few places a row, small pieces, ranges that split a suffix, and the way for frequent suffixes."""
+    for name, value in (("PLACES", 2), ("PIECE", 5000), ("MANY", 1)):
+        monkeypatch.setattr(suffix, name, value)
+    passage = "a passage that very many documents share, word for word, and that is longer than sixty bytes"
+    more = spark.createDataFrame([(10_000 + i, f"{i} begins. {passage} {i % 7} ends {i}.") for i in range(300)] + [(20_000 + i, passage * 2) for i in range(200)], "doc_id long, text string").repartition(3)
+    docs = hard.select("doc_id", "text").unionByName(more)
+    rows = pairs(docs, "doc_id", "text")
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute.repeats([t for _, t in rows], 60), strict=True))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = Counter(pairs(suffix.digest(suffix.remove_repeats(docs, length=60, gram=16, batches=3)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
 def test_decontamination(spark, hard):
     texts = [t for _, t in pairs(hard, "doc_id", "text") if t]
     items = [(1, texts[2]), (2, " ".join(texts[30].split()[2:9])), (3, "one"), (4, None), (5, ""), (6, "!!"), (7, texts[2]), (8, texts[10] + " tail")]
