@@ -51,6 +51,26 @@ GRID = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 SPAN = "array<struct<start:int,kind:int,stop:int,token:string>>"
 
 
+def _pieces(array: Column) -> Column:
+    """An array cut into about as many pieces as each has entries: what grows by an entry at a time is short then."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(array))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(array) / size).cast("int") - 1, F.lit(0))), lambda i: F.slice(array, i * size + 1, size))
+
+
+def _before(values: Column, zero: Column, both) -> Column:
+    """For each value, `both` (associative) over all values before it, from `zero` on."""
+
+    def grown(v: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.slice(F.array(start), 1, 0).alias("out"))
+        return F.aggregate(v, first, lambda a, x: F.struct(both(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def joined(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda p: F.aggregate(p, zero, both))
+        return bind(grown(totals, zero), lambda starts: F.flatten(F.zip_with(pieces, starts, grown)))
+
+    return bind(_pieces(values), joined)
+
+
 def _found(t: Column, pattern: str, kind: int, group: int = 0, least: int = 0, first: str = "") -> Column:
     """Spans of the leftmost non-overlapping matches whose `group` has `least` characters.
 
@@ -62,16 +82,29 @@ def _found(t: Column, pattern: str, kind: int, group: int = 0, least: int = 0, f
     full = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else full
     parts = F.arrays_zip(gap.alias("g"), full.alias("f"), judged.alias("j"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["g"])
-        e = s + F.length(x["f"])
-        span = F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("stop"), x["f"].alias("token")))
-        return F.struct(e.alias("at"), F.when(F.length(x["j"]) >= least, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        before = _before(F.transform(parts, lambda x: F.length(x["g"]) + F.length(x["f"])), F.lit(0), lambda a, b: a + b)
+
+        def span(x: Column, at: Column) -> Column:
+            s = at + F.length(x["g"])
+            return F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(x["f"])).alias("stop"), x["f"].alias("token"), F.length(x["j"]).alias("n"))
+
+        long = F.filter(F.zip_with(parts, before, span), lambda x: x["n"] >= least)
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), x["token"].alias("token")))
+
+    return F.when(t.rlike(first + pattern), bind(parts, placed)).otherwise(F.array().cast(SPAN))
 
-    empty = F.array().cast(SPAN)
-    return F.when(t.rlike(first + pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(empty)
+
+def _touches(spans: Column, c: Column) -> Column:
+    """Whether any of some disjoint spans, in order, overlaps span c: the first that stops behind c's start, by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int") + 1)
+    low = F.aggregate(
+        steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")),
+        lambda a, _: bind(((a["lo"] + a["hi"]) / 2).cast("int"), lambda m: F.when(a["lo"] >= a["hi"], a).when(F.get(spans, m)["stop"] > c["start"], F.struct(a["lo"].alias("lo"), m.alias("hi"))).otherwise(F.struct((m + 1).alias("lo"), a["hi"].alias("hi")))),
+        lambda a: a["lo"],
+    )
+    return (F.size(spans) > 0) & F.coalesce(F.get(spans, low)["start"] < c["stop"], F.lit(False))
 
 
 def normal_tail(z: Column) -> Column:
@@ -88,7 +121,7 @@ def battery(token: Column, alphabet: Column) -> Column:
     n, size = F.length(token).cast("double"), F.length(alphabet).cast("double")
     chars = F.split(token, "(?!^)")
     codes = F.transform(chars, lambda c: (F.call_function("instr", alphabet, c) - 1).cast("double"))
-    squares = F.aggregate(chars, F.lit(0.0), lambda a, c: a + n - F.length(F.replace(token, c, F.lit(""))).cast("double"))
+    squares = F.aggregate(F.split(alphabet, "(?!^)"), F.lit(0.0), lambda a, c: bind(n - F.length(F.replace(token, c, F.lit(""))), lambda k: a + k * k))
     chi, df = size / n * squares - n, size - 1.0
     z = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1.0 / 3.0)) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
     p_chi = normal_tail(z)
@@ -143,14 +176,14 @@ def scan_spans(documents: DataFrame, *, text: str = "text", carry: list[str] | N
     carry = documents.columns if carry is None else carry
     mixed = lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]")
 
-    def tested(runs: Column, base: Column) -> Column:
-        free = F.filter(runs, lambda c: mixed(c) & ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    def tested(runs: Column, base: list[Column]) -> Column:
+        free = F.filter(runs, lambda c: mixed(c) & ~_touches(base[0], c) & ~_touches(base[1], c) & ~_touches(base[2], c))
         named = F.filter(F.transform(free, lambda c: F.struct(c.alias("c"), _encoding(c["token"]).alias("e"))), lambda x: x["e"].isNotNull())
         return F.transform(named, lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["stop"].alias("stop"), F.concat(x["e"], F.lit(":"), _length_class(x["c"]["token"]).cast("string")).alias("class"), battery(x["c"]["token"], _alphabet(x["e"])).alias("p")))
 
     def spans(t: Column) -> Column:
-        base = F.array_sort(F.concat(_found(t, ASSIGN, 0, 2, 6, "(?=[PpSsTtAa])"), _found(t, ACCESS, 1), _found(t, HEX, 2)))
-        return bind(base, lambda b: F.struct(b.alias("base"), tested(_found(t, CANDIDATE, 3), b).alias("tested")))
+        kinds = (_found(t, ASSIGN, 0, 2, 6, "(?=[PpSsTtAa])"), _found(t, ACCESS, 1), _found(t, HEX, 2))
+        return bind(F.struct(*(k.alias(str(i)) for i, k in enumerate(kinds))), lambda b: F.struct(F.array_sort(F.concat(b["0"], b["1"], b["2"])).alias("base"), tested(_found(t, CANDIDATE, 3), [b["0"], b["1"], b["2"]]).alias("tested")))
 
     out = documents.select(*[F.col(f"`{c}`") for c in carry], bind(text_of(text), spans).alias("_s"))
     return out.select(*[F.col(f"`{c}`") for c in carry], "_s.base", "_s.tested")
@@ -213,14 +246,21 @@ def redact(documents: DataFrame, *, text: str = "text", n_chars: str | None = "n
     columns = documents.columns
     kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     found = find_secrets(kept, text="text", carry=["row", "text"], q=q)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit("[SECRET]"))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), out.alias("out"))
+    def cut(t: Column, spans: Column) -> Column:
+        """Spans that overlap are one; each that begins behind all before it ends the gap before it."""
+        ends = _before(F.transform(spans, lambda s: s["stop"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        gaps = F.filter(F.zip_with(spans, ends, lambda s, at: F.struct(at.alias("at"), s["start"].alias("to"))), lambda g: g["to"] >= g["at"])
+
+        def piece(own: Column) -> Column:  # gaps that follow each other, cut from the part of the text they are in
+            from_ = F.get(own, F.lit(0))["at"]
+            part = F.substring(t, from_ + 1, F.element_at(own, -1)["to"] - from_)
+            return bind(part, lambda p: F.array_join(F.transform(own, lambda g: F.concat(F.substring(p, g["at"] - from_ + 1, g["to"] - g["at"]), F.lit("[SECRET]"))), ""))
+
+        body = bind(gaps, lambda g: F.array_join(F.transform(_pieces(g), piece), ""))
+        return F.concat(body, F.substring(t, F.array_max(F.transform(spans, lambda s: s["stop"])) + 1, F.length(t)))
 
-    cleaned = F.aggregate("secrets", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    cleaned = cut(F.col("text"), F.col("secrets"))
     new = F.when(F.size("secrets") > 0, cleaned).otherwise(F.col("text"))
     out = found.select("row", new.alias("new"))
     dtype = dict(documents.dtypes)

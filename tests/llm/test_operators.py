@@ -93,6 +93,32 @@ def test_secrets(hard):
     assert red.filter("text is null").count() == hard.filter("text is null").count()
 
 
+def test_secrets_in_very_long_tokens_and_many_matches(spark):
+    import random
+    import time
+
+    r = random.Random(4)
+    token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    many = "".join(f"é token: abcdef{i:06d} x\n" for i in range(100_000))
+    overlapping = " ".join("f00dfeedf00dfeedf00dfeed" if i % 3 else f"mysecret=f00dfeedf00dfeedf00dfeed{i}" for i in range(3000))
+    mixed = " ".join(f"tail{i}tail1234567890abcdefgh" for i in range(2000)) + " " + overlapping
+    docs = spark.createDataFrame([(1, token), (2, many), (3, overlapping), (4, mixed)], "doc_id long, text string")
+    began = time.time()
+    out = secrets.digest(secrets.find_secrets(docs)).collect()
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert time.time() - began < 120
+    for r in out:
+        counts, digest, _ = brute.secrets({1: token, 2: many, 3: overlapping, 4: mixed}[r["doc_id"]])
+        assert ((r["n_assign"], r["n_access"], r["n_hex"]), r["base_sha256"]) == (counts, digest)
+        text = {1: token, 2: many, 3: overlapping, 4: mixed}[r["doc_id"]]
+        want, at = [], 0
+        for _, s, e in sorted((int(x[1]), int(x[1]), int(x[2])) for x in (y.split(":") for y in r["spans"].split(",") if y)):
+            if s >= at:
+                want += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert red[r["doc_id"]] == "".join(want) + text[at:]
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     import random
 
