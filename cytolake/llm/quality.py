@@ -2,7 +2,7 @@
 
 Each text is counted once: characters by class (small letters, capitals,
 digits, white space, symbols, other ASCII, the rest) and, by its language, how
-often each of a few common words occurs.  The references are the sums of these
+often each of some common words occurs, and how many other words there are.  The references are the sums of these
 counts over all texts of the language that pass the rules and are long enough,
 so they cover the whole corpus.  A text is rejected when the Jensen-Shannon
 distance (base 2, its root, 0 to 1) of its character histogram or of its
@@ -23,19 +23,19 @@ from cytolake.llm._spark import WS_CHARS, WS_CLASS, bind, text_of, written
 
 # Frequent function words of each language.
 COMMON = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"),
-    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "with", "as"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"),
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "werden"),
+    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "with", "as", "was", "on", "be", "by", "this", "are", "or", "from", "at", "not", "have", "but"),
+    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "es", "lo", "como", "más", "o"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne", "se", "il"),
 }
-WORDS = 12  # words a language
+WORDS = 25  # bins of a language's words: the common ones, and all others
 CLASSES = ("small", "capital", "digit", "space", "symbol", "ascii", "other")
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
 #: Limits of the distances, and from how many characters or words on they are judged.
-MAX_CHAR_DISTANCE, MIN_CHARS = 0.30, 200
-MAX_WORD_DISTANCE, MIN_WORDS = 0.80, 50
+MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
+MAX_WORD_DISTANCE, MIN_WORDS = 0.30, 50
 
 
 def _left(t: Column, pattern: str) -> Column:
@@ -65,12 +65,13 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
 
 
 def _common_words(words: Column, lang: Column) -> Column:
-    """Counts of the language's common words: the words that are any are set apart by two spaces, then each is removed."""
+    """Counts of the language's common words, and of all others: the words that are any are set apart by two spaces, then each is removed."""
 
     def of(common: tuple[str, ...]) -> Column:
         found = F.filter(words, lambda w: F.lower(w).isin(*common))
         times = lambda s, w: F.floor((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2))
-        return bind(F.lower(F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))), lambda s: F.array(*(times(s, w) for w in common)))
+        each = lambda s: F.array(*(times(s, w) for w in common), (F.size(words) - F.size(found)).cast("long"))
+        return bind(F.lower(F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))), each)
 
     out = F.lit(None).cast("array<long>")
     for name, common in COMMON.items():
@@ -134,8 +135,8 @@ def judge(documents: DataFrame, *, text: str = "text", lang: str = "lang", carry
     base_failed: fewer than 10 words, or over a fifth of the words in repeated
     5-word windows.  kept: not base_failed, and neither distance judged above
     its limit.  A text without a known language, or of a language without
-    reference, and a text whose common words never occur, is judged by what
-    is left.  Null text: no words.  Columns of the input with the names of the results are replaced.
+    reference, is judged by its rules alone; one without any common word is as far from its
+    language as its other words make it.  Null text: no words.  Columns of the input with the names of the results are replaced.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"}
     carry = [c for c in (documents.columns if carry is None else carry) if c not in made]

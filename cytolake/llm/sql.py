@@ -9,7 +9,7 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 def _quality() -> str:
     def counts(lang: str) -> str:
-        return "[" + ", ".join(f"cast(len(list_filter(ws, lambda x: lower(x) = '{w}')) as double)" for w in Q.COMMON[lang]) + "]"
+        return "[" + ", ".join(f"cast(len(list_filter(ws, lambda x: lower(x) = '{w}')) as double)" for w in Q.COMMON[lang]) + ", cast(len(list_filter(ws, lambda x: lower(x) not in (" + ", ".join(f"'{w}'" for w in Q.COMMON[lang]) + "))) as double)]"
 
     common = " ".join(f"when '{x}' then {counts(x)}" for x in Q.COMMON)
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"

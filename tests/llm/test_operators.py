@@ -85,6 +85,18 @@ def test_quality(hard):
     assert quality.judge(hard).filter("kept and base_failed").count() == 0
 
 
+def test_quality_rejects_words_of_no_language(spark):
+    import random
+
+    r = random.Random(2)
+    made = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    common = quality.COMMON["en"][:12]
+    rows = [(i, " ".join(r.choice(common) if r.random() < 0.4 else made() for _ in range(120)), "en") for i in range(40)]
+    rows += [(100 + i, " ".join(made() for _ in range(120)), "en") for i in range(5)] + [(200, " ".join(made() for _ in range(120)), "xx"), (201, None, None), (202, "", "en"), (203, "word " * 200_000, "en")]
+    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("kept").collect()}
+    assert kept == {*range(40), 200}
+
+
 def test_secrets(hard):
     got = {(r["doc_id"], (r["n_assign"], r["n_access"], r["n_hex"]), r["base_sha256"]) for r in secrets.digest(secrets.find_secrets(hard)).collect()}
     assert got == {(d, *brute.secrets(t)[:2]) for d, t in pairs(hard, "doc_id", "text")}
