@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.model import read
+from cytolake.model import from_tables, read
 from cytolake.operators import graph as G
+from cytolake.operators import qc
 from cytolake.registry import query
 
 
@@ -15,7 +16,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query("""with d as (select q.vec_id as "query", v.vec_id as neighbour, round(sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (cast(z[1] as double) - cast(z[2] as double)) ** 2))), 9) as d
  from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id)
 select "query", neighbour, round(d, 5) as distance, cast(i as integer) as rank from (select *, row_number() over (partition by "query" order by d, neighbour) as i from d) where i <= 14""")
@@ -31,7 +31,13 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.fuzzy_graph(G.nearest(_vectors(spark, sf_dir), _vectors(spark, sf_dir), 14))
+    return G.fuzzy_graph(G.neighbours(_vectors(spark, sf_dir), 14))
+
+
+@query()
+def knn_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the nearest 14 of every vector, from the forest of random splits."""
+    return G.neighbours(_vectors(spark, sf_dir), 14).select("query", "neighbour", F.round("distance", 5).alias("distance"), "rank")
 
 
 @query()
@@ -46,7 +52,9 @@ def harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doublet_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.doublet_scores(_vectors(spark, sf_dir))
+    d = from_tables(spark, sf_dir)
+    chosen = qc.highly_variable(qc.log1p(qc.normalized(d)), 2000).filter("highly_variable").select("gene_id")
+    return G.doublet_scores(d.x, d.obs, chosen)
 
 
 @query()

@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.model import Dataset
 from cytolake.operators import graph, qc, stats
 from cytolake.plans import provenance
+from cytolake.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,10 @@ def _qc(s: State, p: Params) -> State:
 
 
 def _doublets(s: State, p: Params) -> State:
-    vectors = _vectors(s.data if s.counts is None else s.data.with_x(s.counts), min(p.n_top_genes, 200))
-    scores = graph.doublet_scores(vectors, rate=p.doublet_rate)
-    return replace(s, data=replace(s.data, obs=s.data.obs.join(scores, "cell_id", "left")))
+    counts = s.data if s.counts is None else s.data.with_x(s.counts)
+    chosen = qc.highly_variable(qc.log1p(qc.normalized(counts, p.target_sum)), p.n_top_genes).filter("highly_variable")
+    scores = stored(graph.doublet_scores(counts.x, counts.obs, chosen.select("gene_id"), rate=p.doublet_rate), "doublets")
+    return replace(s, data=replace(s.data, obs=s.data.obs.drop("doublet_score", "predicted_doublet").join(scores, "cell_id", "left")))
 
 
 def _filter(s: State, p: Params) -> State:
@@ -92,32 +95,30 @@ def _scale(s: State, p: Params) -> State:
     return replace(s.put(scale_factors=qc.scale_factors(s.data)), raw=s.data.x)
 
 
-def _vectors(d: Dataset, most: int) -> DataFrame:
-    """cell_id, v: dense rows over the chosen genes, at most `most` of them, the most expressed first."""
-    var = d.var.filter("highly_variable") if "highly_variable" in d.var.columns else d.var
-    sums = d.x.join(var.select("gene_id"), "gene_id", "left_semi").groupBy("gene_id").agg(F.sum("value").alias("s")).orderBy(F.desc("s"), "gene_id").limit(most)
-    genes = [r["gene_id"] for r in sums.select("gene_id").collect()]
-    own = d.x.filter(F.col("gene_id").isin(genes)).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
-    dense = F.transform(F.array(*(F.lit(g) for g in genes)), lambda g: F.coalesce(F.element_at("m", g), F.lit(0.0)))
-    return d.obs.select("cell_id").join(own, "cell_id", "left").select("cell_id", F.coalesce(dense, F.array_repeat(F.lit(0.0), len(genes))).alias("v"))
-
-
 def _pca(s: State, p: Params) -> State:
-    scores, ratios = graph.principal_components(_vectors(s.data, min(p.n_top_genes, 500)), p.n_comps)
+    """Components of the chosen genes (all, if none were chosen), scaled and clipped where the scaling step ran."""
+    var = s.data.var.filter("highly_variable") if "highly_variable" in s.data.var.columns else s.data.var
+    transform = None
+    if "scale_factors" in s.tables:
+        rows = s.tables["scale_factors"].join(var.select("gene_id"), "gene_id", "left_semi").orderBy("gene_id").select("mean", "sd").collect()  # a row a chosen gene
+        mean, sd = np.array([r["mean"] for r in rows]), np.array([r["sd"] for r in rows])
+        transform = lambda v: np.clip((v - mean) / np.where(sd > 0, sd, 1.0), -10, 10)
+    vectors = stored(graph.dense(s.data.x, var.select("gene_id"), s.data.obs, transform), "rows")
+    scores, ratios = graph.principal_components(vectors, p.n_comps)
     spark = s.data.x.sparkSession
-    return s.put(pca=scores, variance_ratio=spark.createDataFrame(list(enumerate(ratios)), "component int, ratio double"))
+    return s.put(pca=stored(scores, "pca"), variance_ratio=spark.createDataFrame(list(enumerate(ratios)), "component int, ratio double"))
 
 
 def _batch(s: State, p: Params) -> State:
     if not p.batch_key or p.batch_key not in s.data.obs.columns or "pca" not in s.tables:
         raise ValueError("batch correction needs a batch column and components")
     rows = s.tables["pca"].join(s.data.obs.select("cell_id", F.col(p.batch_key).alias("batch")), "cell_id").select("cell_id", "batch", F.col("pc").alias("v"))
-    return s.put(harmony=graph.corrected(rows))
+    return s.put(harmony=stored(graph.corrected(rows), "harmony"))
 
 
 def _neighbors(s: State, p: Params) -> State:
     rep = s.tables["harmony"] if "harmony" in s.tables else s.tables["pca"].select("cell_id", F.col("pc").alias("v"))
-    return s.put(graph=graph.fuzzy_graph(graph.nearest(rep, rep, p.n_neighbors - 1)))
+    return s.put(graph=stored(graph.fuzzy_graph(graph.neighbours(rep, p.n_neighbors - 1)), "graph"))
 
 
 def _cluster(s: State, p: Params) -> State:

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; only where that is unset, a folder is made."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cytolake-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's; a folder is made only where driver and executors are one machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="cytolake-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table in the shared folder and read it back: what follows doesn't compute it again, also after a lost executor."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
