@@ -70,8 +70,8 @@ def test_decontamination(spark, hard):
     items = [(1, texts[2]), (2, " ".join(texts[30].split()[2:9])), (3, "one"), (4, None), (5, ""), (6, "!!"), (7, texts[2]), (8, texts[10] + " tail")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((d, *brute.contamination(t, items)) for d, t in pairs(hard, "doc_id", "text"))
-    for block in (1 << 25, 40):
-        got = decontaminate.contamination(decontaminate.benchmark_hits(hard, bench, block_bytes=block))
+    for shingle in (4, 2):
+        got = decontaminate.contamination(decontaminate.benchmark_hits(hard, bench, shingle=shingle))
         assert Counter(pairs(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
     kept = decontaminate.decontaminated(hard, bench)
     assert kept.columns == hard.columns and kept.count() == sum(not x[-1] for x in want.elements())
