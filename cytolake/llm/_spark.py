@@ -40,12 +40,13 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that `written` made and nothing reads any more."""
+def dropped(df: DataFrame, part: str = "") -> None:
+    """Delete a table that `written` made, or one folder of it, that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(conf).delete(path, False)
+        if f"/{part}" in file:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(conf).delete(path, False)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -356,10 +356,10 @@ def _level_parts(state: DataFrame, shared, level, first: bool, buckets: int) ->
     return state.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, f"{PARTS}, ids {dict(state.dtypes)['ids']}")
 
 
-def _counted(asked: DataFrame, shared, level: Level) -> DataFrame:
-    """kind, bucket, batch and parts: the TABLE of each bucket's n-grams (keys, counts, what else there is), and answers to each batch.
+def _counted(asked: DataFrame, shared, level: Level, last: bool) -> DataFrame:
+    """kind, bucket, batch and parts: the TABLE of each bucket's n-grams (keys, counts, and the bucket's share of the sums of `hot`), and answers to each batch.
 
-    Answer: counts of its keys (a), their ids (b), and the sums of each of its histories in order (c, d); those of `hot` are left out.
+    Answer: counts of its keys (a), their ids (b; not on the last level), and the sums of each of its histories in order (c, d); those of `hot` are left out.
     """
     columns = f"{PARTS}, classes array<long>"
 
@@ -380,8 +380,9 @@ def _counted(asked: DataFrame, shared, level: Level) -> DataFrame:
             classes = np.bincount(np.minimum(tc, K + 2), minlength=K + 3)[: K + 2]
             told = lambda x, n, y: pa.RecordBatch.from_arrays([*x.columns, y if y is not None else pa.nulls(n, pa.list_(pa.int64()))], names=[*x.schema.names, "classes"])
             x, y = _packed_keys(th, tw)
-            yield told(_row(TABLE, bucket, -1, [x], [y], [pack(tc)], [p[own].tobytes()]), 1, pa.array([classes.tolist()], pa.list_(pa.int64())))
             u, sums = _sums(th, tc, p[own])
+            frequent = np.isin(u, level.hot)
+            yield told(_row(TABLE, bucket, -1, [x], [y], [pack(tc)], [np.concatenate([u[frequent, None].astype(float), sums[frequent]], 1).tobytes()]), 1, pa.array([classes.tolist()], pa.list_(pa.int64())))
             out, ends = [], np.cumsum(size)
             for i, (s, e) in enumerate(zip(ends - size, ends, strict=True)):
                 asks = np.unique(h[s:e])
@@ -391,7 +392,7 @@ def _counted(asked: DataFrame, shared, level: Level) -> DataFrame:
                     j = np.minimum(np.searchsorted(u, asks), len(u) - 1)
                     got[u[j] == asks] = sums[j[u[j] == asks]]
                 whole = np.delete(got, 1, 1).astype(np.int64)
-                out.append((batch[i], pack(count[at[s:e]]), pack(ids[at[s:e]]), pack(whole.ravel()), pa.compress(got[:, 1].tobytes(), "zstd", asbytes=True)))
+                out.append((batch[i], pack(count[at[s:e]]), None if last else pack(ids[at[s:e]]), pack(whole.ravel()), pa.compress(got[:, 1].tobytes(), "zstd", asbytes=True)))
             x = list(zip(*out, strict=True))
             yield told(_row(ASKED, bucket, np.array(x[0]), *map(list, x[1:])), len(out), None)
 
@@ -411,7 +412,8 @@ def _solved(known: Words, level: Level, own: pa.Table, answers: pa.Table, n: np.
     if not len(which):
         return w, np.zeros(len(w), np.int64), p
     count = np.concatenate([unpack(x).astype(np.int64) for x in _parts(answers, "a")])
-    ids = np.concatenate([unpack(x).astype(np.int64) for x in _parts(answers, "b")])
+    asked = _parts(answers, "b")
+    ids = None if asked[0] is None else np.concatenate([unpack(x).astype(np.int64) for x in asked])
     whole = np.concatenate([unpack(x).astype(np.float64).reshape(-1, K + 1) for x in _parts(answers, "c")])
     lower = np.concatenate([np.frombuffer(pa.decompress(x, 8 * len(unpack(y)) // (K + 1), "zstd"), np.float64) for x, y in zip(_parts(answers, "d"), _parts(answers, "c"), strict=True)])
     sums = np.insert(whole, 1, lower, axis=1)
@@ -428,23 +430,22 @@ def _solved(known: Words, level: Level, own: pa.Table, answers: pa.Table, n: np.
     seen = np.log10(np.maximum(_discounted(count, level.discount), 1e-300) / follow)
     p[which] = np.where(count[at] > 0, seen[at], alpha[at] + p[which])
     gram = np.zeros(len(w), np.int64)
-    gram[which] = ids[at]
+    if ids is not None:
+        gram[which] = ids[at]
     return w, _previous(gram, n, UNKNOWN), p
 
 
-def _hot_sums(table: DataFrame, shared, level: Level) -> np.ndarray:
+def _hot_sums(table: DataFrame, level: Level) -> np.ndarray:
     """The sums of `hot`, over all buckets; as many rows as there are hot histories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y, z, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                h, _ = _unpacked_keys(x, y)
-                own = np.isin(h, level.hot)
-                u, sums = _sums(h[own], unpack(z).astype(np.int64)[own], np.frombuffer(p, np.float64)[own])
-                yield pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(sums[:, i].astype(float)) for i in range(K + 2))], names=["h", *(f"s{i}" for i in range(K + 2))])
+            for x in b.column(0):
+                part = np.frombuffer(x.as_py(), np.float64).reshape(-1, K + 3)
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].astype(np.int64)), *(pa.array(part[:, i + 1]) for i in range(K + 2))], names=["h", *names])
 
     names = [f"s{i}" for i in range(K + 2)]
-    got = table.select("a", "b", "c", "d").mapInArrow(run, "h long, " + ", ".join(f"{x} double" for x in names)).groupBy("h").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    got = table.select("d").mapInArrow(run, "h long, " + ", ".join(f"{x} double" for x in names)).groupBy("h").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
     out = np.zeros((len(level.hot), K + 2))
     out[np.searchsorted(level.hot, got["h"].to_numpy())] = np.stack([got[x].to_numpy() for x in names], 1) if got.num_rows else 0
     return out
@@ -492,12 +493,15 @@ def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text:
     for n in range(2, order + 1):
         more = written(_level_parts(state, shared, spark.sparkContext.broadcast(told), n == 2, buckets), f"level-{n}", by="kind")
         dropped(parts)
-        counted = written(_counted(more.filter(F.col("kind") == ASKED).drop("ids"), shared, level), f"grams-{n}", by="kind")
+        asked = more.filter(F.col("kind") == ASKED).drop("ids")
+        counted = written(_counted(asked, shared, level, n == order), f"grams-{n}", by="kind")
+        dropped(more, f"kind={ASKED}/")
         grams = counted.filter(F.col("kind") == TABLE)
         of = [x or 0 for x in grams.agg(*(F.sum(F.get("classes", F.lit(r))) for r in range(K + 2))).first()]
-        level = level._replace(discount=discounts(np.array(of, float)), sums=_hot_sums(grams, shared, level))
+        level = level._replace(discount=discounts(np.array(of, float)), sums=_hot_sums(grams, level))
         answers = counted.filter(F.col("kind") == ASKED).select(*parts.drop("ids").columns, none)
-        state, parts = more.filter(F.col("kind") == SELF).unionByName(answers), more
+        parts = more.filter(F.col("kind") == SELF)
+        state = parts.unionByName(answers)
         if n < order:
             following = Level(n + 1, buckets, _hot_grams(grams, buckets, least))
             told, level = (following, level), following
