@@ -38,27 +38,30 @@ def benjamini_hochberg(tests: DataFrame, p: str, by: list[str], tie: str, alias:
     return ranked.withColumn(alias, F.least(F.lit(1.0), F.min("_q").over(after))).drop("_q")
 
 
-def rank_sums(d: Dataset, groups: DataFrame) -> DataFrame:
+def rank_sums(d: Dataset, groups: DataFrame, only: str | None = None) -> DataFrame:
     """One-against-rest Wilcoxon of every gene and group: group, gene_id, z, pval, padj, lfc, pct_in, pct_out.
 
-    groups: cell_id, group.  Ranks are average ranks over all cells: stored
+    groups: cell_id, group.  only: the one group to test.  Ranks are average ranks over all cells: stored
     values rank among themselves above (below) the block of zeros, and a
-    group's cells without a stored value take the block's rank.  No tie
+    group's cells without a stored value take the block's rank.  Equal values are counted
+    first, so that what is ordered in a gene are its different values.  No tie
     correction.  lfc: log2 of the ratio of mean expm1 values.
     """
     n = groups.groupBy("group").agg(F.count("*").alias("ng"))
     cells = groups.agg(F.count("*").alias("n"))
-    x = d.x.join(groups, "cell_id")
+    counted = d.x.join(groups, "cell_id").groupBy("gene_id", "value", "group").agg(F.count("*").alias("m"))
+    # all groups of one value of a gene in a row
+    values = counted.groupBy("gene_id", "value").agg(F.sum("m").alias("t"), F.collect_list(F.struct("group", "m")).alias("by"))
     gene = Window.partitionBy("gene_id")
-    placed = x.select(
-        "gene_id", "group", "value", F.count("*").over(gene).alias("nnz"), F.count_if(F.col("value") < 0).over(gene).alias("neg"),
-        (F.rank().over(gene.orderBy("value")) + (F.count("*").over(Window.partitionBy("gene_id", "value")) - 1) / 2.0).alias("r"),
-    ).join(F.broadcast(cells))
-    zeros = F.col("n") - F.col("nnz")
-    rank = F.when(F.col("value") > 0, F.col("r") + zeros).otherwise(F.col("r"))
+    placed = values.select(
+        "gene_id", "value", "by", F.sum("t").over(gene).alias("nnz"), F.sum(F.when(F.col("value") < 0, F.col("t")).otherwise(0)).over(gene).alias("neg"),
+        (F.sum("t").over(gene.orderBy("value")) - (F.col("t") - 1) / 2.0).alias("r"),
+    ).join(F.broadcast(cells)).select("gene_id", "value", "nnz", "neg", F.when(F.col("value") > 0, F.col("r") + F.col("n") - F.col("nnz")).otherwise(F.col("r")).alias("r"), F.explode("by").alias("b"))
     # the log ratio wants the mean of the values before log1p
-    part = placed.groupBy("gene_id", "group").agg(F.sum(rank).alias("rs"), F.count("*").alias("nz"), F.sum("value").alias("s"), F.first("nnz").alias("nnz"), F.first("neg").alias("neg"))
+    part = placed.groupBy("gene_id", F.col("b.group").alias("group")).agg(F.sum(F.col("r") * F.col("b.m")).alias("rs"), F.sum("b.m").alias("nz"), F.sum(F.col("value") * F.col("b.m")).alias("s"), F.first("nnz").alias("nnz"), F.first("neg").alias("neg"))
     total = part.groupBy("gene_id").agg(F.first("nnz").alias("nnz"), F.first("neg").alias("neg"), F.sum("s").alias("ts"))
+    if only is not None:
+        n, part = n.filter(F.col("group") == only), part.filter(F.col("group") == only)
     grid = d.var.select("gene_id").join(F.broadcast(n.join(cells)))  # groups are few
     full = grid.join(total, "gene_id", "left").fillna(0, ["nnz", "neg", "ts"]).join(part.select("gene_id", "group", "rs", "nz", "s"), ["gene_id", "group"], "left").fillna(0, ["rs", "nz", "s"])
     ng, all_, nz = F.col("ng"), F.col("n"), F.col("nz")
@@ -73,14 +76,16 @@ def rank_sums(d: Dataset, groups: DataFrame) -> DataFrame:
     return benjamini_hochberg(scored, "pval", ["group"], "gene_id")
 
 
-def selection_against_rest(d: Dataset, indices: list[int]) -> DataFrame:
-    """Markers of a selection of cells; repeated and absent ids don't count, and each side needs three cells."""
-    wanted = sorted({i for i in indices if i >= 0})
-    groups = d.obs.select("cell_id", F.when(F.col("cell_id").isin(wanted), "selection").otherwise("rest").alias("group"))
+def selection_against_rest(d: Dataset, indices: list[int] | DataFrame) -> DataFrame:
+    """Markers of a selection of cells (ids, or a table with cell_id); repeated and absent ids don't count, and each side needs three cells."""
+    if isinstance(indices, list):
+        indices = d.obs.sparkSession.createDataFrame([(i,) for i in indices], "cell_id long")
+    wanted = indices.select("cell_id").filter("cell_id >= 0").distinct().withColumn("_in", F.lit(True))
+    groups = d.obs.select("cell_id").join(wanted, "cell_id", "left").select("cell_id", F.when(F.col("_in"), "selection").otherwise("rest").alias("group"))
     sizes = dict(groups.groupBy("group").count().collect())
     if min(sizes.get("selection", 0), sizes.get("rest", 0)) < 3:
         raise ValueError("the selection and the rest need three cells each")
-    return rank_sums(d, groups).filter("group = 'selection'").drop("group")
+    return rank_sums(d, groups, only="selection").drop("group")
 
 
 def volcano(de: DataFrame, fold: float = 1.0, alpha: float = 0.05) -> DataFrame:
@@ -89,10 +94,48 @@ def volcano(de: DataFrame, fold: float = 1.0, alpha: float = 0.05) -> DataFrame:
     return de.withColumns({"y": -F.log10(F.greatest("padj", F.lit(1e-300))), "class": F.when(sig & (F.col("lfc") > 0), "up").when(sig, "down").otherwise("ns")})
 
 
+def significant(de: DataFrame, fold: float = 1.0, alpha: float = 0.05, most: int = 200) -> DataFrame:
+    """Genes with padj <= alpha and |lfc| >= fold, by padj, then the larger |lfc|, then gene_id; the first `most`."""
+    return de.filter((F.col("padj") <= alpha) & (F.abs("lfc") >= fold)).orderBy("padj", F.desc(F.abs("lfc")), "gene_id").limit(most)
+
+
+def marker_table(markers: DataFrame, text: str = "", least_lfc: float = 0.0, sort: str = "score", descending: bool = True, names: DataFrame | None = None) -> DataFrame:
+    """Markers whose gene contains `text` in any case and whose |lfc| is at least `least_lfc`, in the order of a column, then gene.
+
+    sort: gene, lfc, pval, padj, pct_in or score (z).  names: gene_id, gene.
+    """
+    rows = markers if names is None else markers.join(names.select("gene_id", "gene"), "gene_id")
+    found = rows.filter(F.contains(F.lower("gene"), F.lit(text.lower())) & (F.abs("lfc") >= least_lfc))
+    key = F.col("z" if sort == "score" else sort)
+    return found.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "group", "gene")
+
+
+def enrichment_top(enriched: DataFrame, n: int) -> DataFrame:
+    """The first n terms of each group, by padj, then pval, then name."""
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("padj", "pval", "term"))
+    return enriched.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def enrichment_groups(markers: DataFrame, enriched: DataFrame) -> DataFrame:
+    """group, n_markers, computed: the groups that have markers, and whether they have enrichment."""
+    done = enriched.select("group").distinct().withColumn("_e", F.lit(True))
+    return markers.groupBy("group").agg(F.count("*").alias("n_markers")).join(done, "group", "left").select("group", "n_markers", F.coalesce("_e", F.lit(False)).alias("computed"))
+
+
 def top_markers(markers: DataFrame, n: int) -> DataFrame:
     return markers.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("z"), "gene_id"))).filter(F.col("rank") <= n)
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole n >= 0, by Stirling's series at n + 9 (error below 1e-12 of the value)."""
+    x = n.cast("double") + 9.0
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1.0 / (12.0 * x) - 1.0 / (360.0 * x * x * x) + 1.0 / (1260.0 * F.pow(x, 5))
+    product = F.lit(1.0)
+    for i in range(1, 9):
+        product = product * (n.cast("double") + float(i))
+    return series - F.log(product)
+
+
 def over_representation(queries: DataFrame, sets: DataFrame) -> DataFrame:
     """group, term, overlap, set_size, pval, padj: hypergeometric tails of gene sets among each group's genes.
 
@@ -105,19 +148,12 @@ def over_representation(queries: DataFrame, sets: DataFrame) -> DataFrame:
     drawn = queries.select("group", "gene_id").distinct().join(universe, "gene_id", "left_semi")
     draws = drawn.groupBy("group").agg(F.count("*").alias("n"))
     over = drawn.join(s, "gene_id").groupBy("group", "term").agg(F.count("*").alias("x")).join(sizes, "term").join(draws, "group")
-    n = universe.count()
-    facts = [0.0]
-    import math
-
-    for i in range(1, n + 1):
-        facts.append(facts[-1] + math.log(i))
-    table = over.sparkSession.createDataFrame([(facts,)], "f array<double>")  # as long as there are genes
-    f = lambda i: F.get(F.col("f"), i.cast("int"))
-    choose = lambda a, b: f(a) - f(b) - f(a - b)
-    N, K, m = F.lit(n).cast("long"), F.col("k"), F.col("n")
+    size = universe.agg(F.count("*").alias("big"))  # one row
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    N, K, m = F.col("big"), F.col("k"), F.col("n")
     low = F.greatest(F.col("x"), m - (N - K))
     p = F.aggregate(F.sequence(low, F.least(K, m)), F.lit(0.0), lambda a, i: a + F.exp(choose(K, i) + choose(N - K, m - i) - choose(N, m)))
-    tails = over.join(F.broadcast(table)).select("group", "term", F.col("x").alias("overlap"), F.col("k").alias("set_size"), F.least(F.lit(1.0), p).alias("pval"))
+    tails = over.join(F.broadcast(size)).select("group", "term", F.col("x").alias("overlap"), F.col("k").alias("set_size"), F.least(F.lit(1.0), p).alias("pval"))
     return benjamini_hochberg(tails, "pval", ["group"], "term")
 
 
@@ -144,8 +180,13 @@ def set_scores(d: Dataset, sets: DataFrame, *, bins: int = 25, controls: int = 5
     genes = own.select("term", "gene_id", F.lit(1.0).alias("side")).unionByName(chosen.select("term", "gene_id", F.lit(-1.0).alias("side")))
     weight = genes.join(genes.groupBy("term", "side").agg(F.count("*").alias("m")), ["term", "side"]).select("term", "gene_id", (F.col("side") / F.col("m")).alias("w"))
     scores = d.x.join(weight, "gene_id").groupBy("term", "cell_id").agg(F.sum(F.col("value") * F.col("w")).alias("score"))
-    grid = d.obs.select("cell_id").join(F.broadcast(sets.select("term").distinct()))
-    return grid.join(scores, ["term", "cell_id"], "left").fillna(0.0, ["score"])
+    # a row a cell with all its scores; the terms it has none of are zeros
+    terms = sets.groupBy().agg(F.collect_set("term").alias("all"))  # one row
+    own = scores.groupBy("cell_id").agg(F.collect_list(F.struct("term", "score")).alias("some"))
+    each = d.obs.select("cell_id").join(own, "cell_id", "left").join(F.broadcast(terms))
+    some = F.coalesce("some", F.array().cast("array<struct<term:string,score:double>>"))
+    rest = F.transform(F.array_except("all", some["term"]), lambda t: F.struct(t.alias("term"), F.lit(0.0).alias("score")))
+    return each.select("cell_id", F.explode(F.concat(some, rest)).alias("s")).select("s.term", "cell_id", "s.score")
 
 
 def labels_by_score(scores: DataFrame, clusters: DataFrame) -> DataFrame:

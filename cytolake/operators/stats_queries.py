@@ -9,6 +9,7 @@ from cytolake.model import SQL, from_tables
 from cytolake.operators import qc
 from cytolake.operators import stats as S
 from cytolake.registry import query
+from cytolake.sources.tables import stored
 
 LOG = SQL + ", xl as (select cell_id, gene_id, ln(1 + value) as value, value as raw from x)"
 
@@ -67,15 +68,16 @@ def pct_expressing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markers(spark, sf_dir).filter("pct_in > pct_out").select("group", "gene_id", F.round("pct_in", 6).alias("pct_in"), F.round("pct_out", 6).alias("pct_out"))
 
 
-@query(
-    f"""{_CLUSTERS}, top as (select "group", gene_id from (select *, row_number() over (partition by "group" order by z desc, gene_id) as i from m) where i <= 100),
+_ENRICHED = f"""{_CLUSTERS}, top as (select "group", gene_id from (select *, row_number() over (partition by "group" order by z desc, gene_id) as i from m) where i <= 100),
 st as (select set_name as term, gene_id from var), nn as (select count(distinct gene_id) as big from st), kk as (select term, count(*) as k from st group by 1), dn as (select "group", count(*) as n from top group by 1),
 ov as (select "group", term, count(*) as x from top join st using (gene_id) group by 1, 2), o as (select ov.*, k, n, big from ov join kk using (term) join dn using ("group"), nn),
 e as (select "group", term, x, k, n, big, unnest(range(greatest(x, n - (big - k)), least(k, n) + 1)) as i from o),
 c as (select "group", term, any_value(x) as x, any_value(k) as k, least(1, sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(big - k + 1) - lgamma(n - i + 1) - lgamma(big - k - n + i + 1) - lgamma(big + 1) + lgamma(n + 1) + lgamma(big - n + 1)))) as pval from e group by 1, 2),
-b as (select *, pval * count(*) over (partition by "group") / row_number() over (partition by "group" order by pval, term) as q from c)
-select "group", term, x as overlap, k as set_size, round(pval, 6) as pval, round(least(1, min(q) over (partition by "group" order by pval desc, term desc rows unbounded preceding)), 5) as padj from b"""
-)
+b as (select *, pval * count(*) over (partition by "group") / row_number() over (partition by "group" order by pval, term) as q from c),
+e9 as (select "group", term, x as overlap, k as set_size, pval, least(1, min(q) over (partition by "group" order by pval desc, term desc rows unbounded preceding)) as padj from b)"""
+
+
+@query(_ENRICHED + ' select "group", term, overlap, set_size, round(pval, 6) as pval, round(padj, 5) as padj from e9')
 def ora_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = S.top_markers(_markers(spark, sf_dir), 100).select("group", "gene_id")
     sets = from_tables(spark, sf_dir).var.select(F.col("set_name").alias("term"), "gene_id")
@@ -104,6 +106,7 @@ scores as (select t.term, obs.cell_id, coalesce(score, 0) as score from obs cros
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = from_tables(spark, sf_dir)
+    d = d.with_x(stored(d.x, "matrix"))  # it is read twice
     sets = d.var.select(F.col("set_name").alias("term"), "gene_id")
     return S.set_scores(d, sets), d.obs
 
@@ -117,3 +120,32 @@ def geneset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marker_score_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, obs = _scores(spark, sf_dir)
     return S.labels_by_score(scores, obs.select("cell_id", "cluster"))
+
+
+@query(f"{_DE} select gene_id, round(padj, 6) as padj, round(lfc, 5) as lfc from m where \"group\" = 'selection' and padj <= 0.9 and abs(lfc) >= 0.4 order by padj, abs(lfc) desc, gene_id limit 200")
+def de_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.significant(_de(spark, sf_dir), 0.4, 0.9).select("gene_id", F.round("padj", 6).alias("padj"), F.round("lfc", 5).alias("lfc"))
+
+
+@query(f"""{_CLUSTERS} select "group", gene, round(lfc, 5) as lfc, round(z, 5) as z from m join var using (gene_id) where contains(lower(gene), 'g1') and abs(lfc) >= 0.1""")
+def marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.marker_table(_markers(spark, sf_dir), "G1", 0.1, sort="lfc", names=from_tables(spark, sf_dir).var)
+    return out.select("group", "gene", F.round("lfc", 5).alias("lfc"), F.round("z", 5).alias("z"))
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    markers = stored(_markers(spark, sf_dir), "markers")
+    sets = from_tables(spark, sf_dir).var.select(F.col("set_name").alias("term"), "gene_id")
+    return markers, S.over_representation(S.top_markers(markers, 100).select("group", "gene_id"), sets)
+
+
+@query(_ENRICHED + """ select "group", term, cast(i as integer) as rank, round(padj, 5) as padj from (select *, row_number() over (partition by "group" order by round(padj, 9), round(pval, 9), term) as i from e9) where i <= 5""")
+def enrichment_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = _enriched(spark, sf_dir)
+    rounded = out.withColumns({"padj": F.round("padj", 9), "pval": F.round("pval", 9)})  # ties don't go by the last digits of a sum
+    return S.enrichment_top(rounded, 5).select("group", "term", "rank", F.round("padj", 5).alias("padj"))
+
+
+@query(_ENRICHED + """ select "group", count(*) as n_markers, bool_or("group" in (select "group" from e9)) as computed from m group by 1""")
+def enrichment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.enrichment_groups(*_enriched(spark, sf_dir))
