@@ -32,6 +32,54 @@ def packed(parts: Column, most: int = 900, overlap: int = 150) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
 
 
+def sections(text: Column, most: int = 1100, overlap: int = 150) -> Column:
+    """Chunks of at most `most` characters (and the overlap's share) along blank lines, headers and lines.
+
+    Blocks are cut at blank lines and at headers; a block that is too long is cut into lines, and a line
+    that is too long into windows that overlap. Pieces are put together while they fit; a chunk begins with
+    the last `overlap` characters of the one before.
+    """
+    blocks = F.split(text, "\\n\\s*\\n|\\n#{1,6}\\s")
+    lines = F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) > most, F.split(b, "\\n")).otherwise(F.array(b))))
+    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
+    step = most - overlap
+    windows = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.length(x) - most) / step), F.lit(0)).cast("int")), lambda i: F.substring(x, i * step + 1, F.lit(most)))
+    pieces = F.flatten(F.transform(clean, windows))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+
+    def add(a: Column, p: Column) -> Column:
+        full = (a["cur"] != "") & (F.length(a["cur"]) + F.length(p) + 1 > most)
+        tail = F.when(F.length(a["cur"]) > overlap, F.substring(a["cur"], -overlap, overlap)).otherwise(a["cur"])
+        joined = F.when(a["cur"] == "", p).otherwise(F.concat(a["cur"], F.lit(" "), p))
+        return F.when(full, F.struct(F.concat(a["out"], F.array(F.trim(a["cur"]))).alias("out"), F.concat(tail, F.lit(" "), p).alias("cur"))).otherwise(F.struct(a["out"].alias("out"), joined.alias("cur")))
+
+    return F.aggregate(pieces, start, add, lambda a: F.when(F.trim(a["cur"]) == "", a["out"]).otherwise(F.concat(a["out"], F.array(F.trim(a["cur"])))))
+
+
+def articles(xml: DataFrame) -> DataFrame:
+    """pmid, title, abstract, authors, year, journal of article records (column xml: one record a row); without an abstract they are left out, of a repeated pmid the first by `ordinal` counts.
+
+    authors: "first et al." of several.
+    """
+    tag = lambda name: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("xml", rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1), "<[^>]+>", "")), F.lit(""))
+    names = F.regexp_extract_all("xml", F.lit(r"<LastName>([^<]+)</LastName>"), F.lit(1))
+    parts = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<AbstractText[^>]*>(.*?)</AbstractText>"), F.lit(1)), lambda t: F.trim(F.regexp_replace(t, "<[^>]+>", "")))
+    authors = F.when(F.size(names) > 1, F.concat(F.get(names, F.lit(0)), F.lit(" et al."))).otherwise(F.get(names, F.lit(0)))
+    out = xml.select("ordinal", tag("PMID").alias("pmid"), tag("ArticleTitle").alias("title"), F.nullif(F.array_join(parts, " "), F.lit("")).alias("abstract"), authors.alias("authors"), F.nullif(F.regexp_extract("xml", r"(?s)<PubDate>.*?<Year>(\d{4})", 1), F.lit("")).try_cast("int").alias("year"), tag("Title").alias("journal"))
+    first = Window.partitionBy("pmid").orderBy("ordinal")
+    return out.filter("abstract is not null").withColumn("_i", F.row_number().over(first)).filter("_i = 1").drop("_i", "ordinal")
+
+
+def context(hits: DataFrame, most: int = 6) -> DataFrame:
+    """rank, ref, line of the first `most` hits (kind, pmid, document, section, content, score): a tag to cite and a snippet."""
+    from cytolake.functions.text import citation
+
+    best = hits.orderBy(F.desc("score"), "content").limit(most)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "content")))  # `most` rows
+    ref = citation(F.col("kind"), F.col("pmid"), F.col("document"), F.col("section"))
+    return ranked.select("rank", ref.alias("ref"), F.concat(F.lit("["), ref, F.lit("] "), snippet(F.col("content"))).alias("line"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """All rows by key, those of `new` in the place of old ones; of several new ones for a key the last by `order`."""
     last = new.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("_i = 1").drop("_i")

@@ -78,3 +78,33 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = old.filter("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") * 2).alias("n_chars"), "source", F.lit(1).alias("v"))
     newer = old.filter("doc_id % 5 = 0").select((F.col("doc_id") + 1).alias("doc_id"), (F.col("n_chars") + 5).alias("n_chars"), "source", F.lit(2).alias("v"))
     return R.upsert(old, new.unionByName(newer), ["doc_id"], "v").drop("v")
+
+
+@query()
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(R.sections(F.col("text"))).alias("chunk_idx", "content"))
+
+
+@query("""with r as (select doc_id, 'T' || doc_id as title, left(replace(replace(replace(text, '&', ''), '<', ''), '>', ''), 80) as a from documents where doc_id % 4 <> 0)
+select cast(doc_id // 2 as varchar) as pmid, 'T' || doc_id as title, trim(a) as abstract, 'Smith et al.' as authors, 2000 + cast(doc_id % 20 as integer) as year, lang as journal from documents join r using (doc_id)
+ where trim(a) <> '' and doc_id = (select min(d.doc_id) from r d where d.doc_id // 2 = r.doc_id // 2 and trim(d.a) <> '')""")
+def pubmed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are made of documents: two ids have one pmid, every fourth has no abstract."""
+    d = read(spark, sf_dir, "documents")
+    plain = F.left(F.regexp_replace("text", "[&<>]", ""), F.lit(80))
+    body = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("<Abstract><AbstractText>"), plain, F.lit("</AbstractText></Abstract>"))).otherwise("")
+    xml = F.concat(F.lit("<PubmedArticle><PMID Version='1'>"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("</PMID><Journal><Title>"), "lang", F.lit("</Title><PubDate><Year>"), (2000 + F.col("doc_id") % 20).cast("string"), F.lit("</Year></PubDate></Journal><ArticleTitle>T"), F.col("doc_id").cast("string"), F.lit("</ArticleTitle>"), body, F.lit("<LastName>Smith</LastName><LastName>Lee</LastName></PubmedArticle>"))
+    return R.articles(d.select(F.col("doc_id").alias("ordinal"), xml.alias("xml")))
+
+
+@query(
+    _HYBRID
+    + """, t as (select doc_id, round(score, 9) as s, text from h join documents using (doc_id) order by round(score, 9) desc, text limit 6)
+select cast(row_number() over (order by s desc, text) as integer) as rank, case when doc_id % 2 = 0 then 'lit:PMID:' || doc_id else 'doc:d' || doc_id || '#s' end as ref, length(case when doc_id % 2 = 0 then 'lit:PMID:' || doc_id else 'doc:d' || doc_id || '#s' end) + 3 + least(501, length(trim(replace(text, chr(10), ' ')))) as n from t"""
+)
+def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.hybrid_search(_chunks(spark, sf_dir), _TERMS, _VECTOR, 24, keep=F.col("lang").isin("en", "de")).select("doc_id", F.round("score", 9).alias("score"))
+    own = found.join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    even = F.col("doc_id") % 2 == 0
+    hits = own.select(F.when(even, "literature").otherwise("tutorial").alias("kind"), F.col("doc_id").cast("string").alias("pmid"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document"), F.lit("s").alias("section"), "content", "score")
+    return R.context(hits).select("rank", "ref", F.length("line").alias("n"))

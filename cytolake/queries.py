@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cytolake.plans import provenance_queries as _provenance  # noqa: F401
 from cytolake.operators import (  # noqa: F401
+    catalog_queries as _catalog,
     expression_queries as _expression,
     graph_queries as _graph,
     ingest_queries as _ingest,
