@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytolake.model import SQL, from_tables
-from cytolake.operators import qc
+from cytolake.operators import celltypes, qc
 from cytolake.operators import stats as S
 from cytolake.registry import query
 from cytolake.sources.tables import stored
@@ -149,3 +149,34 @@ def enrichment_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ENRICHED + """ select "group", count(*) as n_markers, bool_or("group" in (select "group" from e9)) as computed from m group by 1""")
 def enrichment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.enrichment_groups(*_enriched(spark, sf_dir))
+
+
+def _of(set_names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{x}'" for x in set_names)
+
+
+_PHASES = _SCORE + """, p as (select cell_id, max(case when term = 'Brand#11' then score end) as s_score, max(case when term = 'Brand#12' then score end) as g2m_score from scores where term in ('Brand#11', 'Brand#12') group by 1)
+select cell_id, round(s_score, 6) + 0.0 as s_score, round(g2m_score, 6) + 0.0 as g2m_score, case when round(s_score, 9) < 0 and round(g2m_score, 9) < 0 then 'G1' when round(g2m_score, 9) > round(s_score, 9) then 'G2M' else 'S' end as phase from p"""
+
+
+def _genes(d, brand: str) -> list[str]:
+    """A small set by name, as a user gives one: the genes of a brand."""
+    return [r["gene"] for r in d.var.filter(F.col("set_name") == brand).orderBy("gene_id").select("gene").collect()]
+
+
+@query(_PHASES)
+def cell_cycle_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = from_tables(spark, sf_dir)
+    d = d.with_x(stored(d.x, "matrix"))
+    out = celltypes.cell_cycle(d, _genes(d, "Brand#11"), _genes(d, "Brand#12"))
+    return out.select("cell_id", (F.round("s_score", 6) + 0.0).alias("s_score"), (F.round("g2m_score", 6) + 0.0).alias("g2m_score"), "phase")
+
+
+_TYPES = ("Brand#11", "Brand#12", "Brand#13", "Brand#21")
+
+
+@query(_SCORE + f", mm as (select cluster, term, round(avg(score), 9) as m from scores join obs using (cell_id) where term in ({_of(_TYPES)}) group by 1, 2) select cluster as \"group\", term as label from (select *, row_number() over (partition by cluster order by m desc, term) as i from mm) where i = 1")
+def cell_type_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = from_tables(spark, sf_dir)
+    d = d.with_x(stored(d.x, "matrix"))
+    return celltypes.by_markers(d, "cluster", {t: " ".join(_genes(d, t)) for t in _TYPES} | {"alone": "G1", "absent": "x y z"})

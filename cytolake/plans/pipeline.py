@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.model import Dataset
-from cytolake.operators import graph, qc, stats
+from cytolake.operators import catalog, celltypes, graph, qc, stats
 from cytolake.plans import provenance
 from cytolake.sources.tables import stored
 
@@ -33,6 +33,8 @@ class Params:
     batch_key: str = ""
     marker_columns: tuple[str, ...] = ()
     enrichment_n_genes: int = 100
+    annotation_target: str = "cell_type"
+    annotator: Callable[[dict[str, DataFrame], str], DataFrame] | None = None
 
     #: What a user may choose.
     BOUNDS = {"doublet_rate": (0, 0.5), "min_genes": (0, 5000), "min_cells": (0, 100), "max_pct_mt": (0, 100), "target_sum": (1e3, 1e5), "n_top_genes": (500, 10000), "n_comps": (10, 200), "n_neighbors": (5, 100), "resolution": (0.1, 3), "enrichment_n_genes": (10, 500)}  # noqa: RUF012
@@ -155,9 +157,32 @@ def _enrich(s: State, p: Params) -> State:
     return s.put(**{f"enrichment:{c}": stats.over_representation(stats.top_markers(m, p.enrichment_n_genes).select("group", "gene_id"), sets) for c, m in found.items()})
 
 
+def _logged(s: State) -> Dataset:
+    return s.data.with_x(s.raw) if s.raw is not None else s.data
+
+
+def _cycle(s: State, p: Params) -> State:
+    phases = stored(celltypes.cell_cycle(_logged(s)), "phases")
+    return replace(s, data=replace(s.data, obs=s.data.obs.drop("s_score", "g2m_score", "phase").join(phases, "cell_id", "left")))
+
+
+def _annotate(s: State, p: Params) -> State:
+    """A cell-type column by cluster: by marker sets, or by a function of the caller's (a model behind it, for instance)."""
+    columns = grouping_columns(s, ())
+    if not columns:
+        raise ValueError("annotation needs a clustering")
+    if p.annotator is not None:
+        labels = p.annotator({k: v for k, v in s.tables.items() if k.startswith("markers:")}, columns[0])
+    else:
+        labels = stored(celltypes.by_markers(_logged(s), columns[0]), "labels")
+    obs = s.data.obs.withColumn("_group", F.col(columns[0]).cast("string"))
+    return replace(s.put(annotation=labels), data=replace(s.data, obs=catalog.mapped(obs, "_group", labels, p.annotation_target).drop("_group")))
+
+
 STEPS: dict[str, Callable[[State, Params], State]] = {
     "reset_to_counts": _reset, "qc_metrics": _qc, "doublet_detection": _doublets, "filtering": _filter, "normalization": _normalize, "log_transform": _log, "highly_variable_genes": _hvg, "scaling": _scale, "pca": _pca,
     "batch_correction": _batch, "neighbors": _neighbors, "clustering": _cluster, "embeddings": _layout, "marker_genes": _markers, "enrichment": _enrich,
+    "cell_cycle": _cycle, "cell_type_annotation": _annotate,
 }
 
 
@@ -169,6 +194,16 @@ class Event:
     state: State | None = None
 
 
+def _settled(after: State, before: State) -> tuple[State, dict]:
+    """The state with what a step has made new in tables, so that its errors are its own and no later step does its work again; and its effect."""
+    keep = lambda new, old, name: new if new is old else stored(new, name)
+    d, was = after.data, before.data
+    data = Dataset(keep(d.obs, was.obs, "obs"), keep(d.var, was.var, "var"), keep(d.x, was.x, "x"))
+    tables = {k: v if v is before.tables.get(k) else stored(v, "table") for k, v in after.tables.items()}
+    effect = {"n_cells": data.obs.count(), "n_genes": data.var.count()} if data.obs is not was.obs or data.var is not was.var else {}
+    return replace(after, data=data, tables=tables), effect
+
+
 def run(state: State, steps: list[str], params: Params | None = None, now: Callable[[], str] | None = None) -> Iterator[Event]:
     """Run steps in their canonical order; unknown ones are passed over, one that fails is reported and the others go on."""
     params = params or Params()
@@ -177,10 +212,11 @@ def run(state: State, steps: list[str], params: Params | None = None, now: Calla
         yield Event("step_start", step)
         try:
             after = STEPS[step](state, params)
+            after, effect = _settled(after, state)
         except Exception as error:  # noqa: BLE001  the step's own failure is its result
             yield Event("step_error", step, str(error).splitlines()[0])
             continue
-        used = {k: v for k, v in vars(params).items()}
-        state = replace(after, history=tuple(provenance.record(list(after.history), step, used, now())))
+        used = {k: v for k, v in vars(params).items() if k != "annotator"}
+        state = replace(after, history=tuple(provenance.record(list(after.history), step, used, now(), effect)))
         yield Event("step_done", step, state=state)
     yield Event("complete", state=state)
