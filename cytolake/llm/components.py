@@ -63,7 +63,8 @@ def components(edges: DataFrame) -> DataFrame:
     vertex without edges has no row.  Rounds go on until nothing changes; their
     number grows with the logarithm of the largest component.
     """
-    e = written(_contracted(edges.filter("a <> b").select("a", "b")).distinct(), "edges")
+    links = written(edges.filter("a <> b").select("a", "b"), "links")  # so that no task holds the Python workers of two steps
+    e = written(_contracted(links).distinct(), "edges")
     state = None
     while True:
         e = written(_small_star(_large_star(e)), "edges")

@@ -16,9 +16,9 @@ one (1, 2, 4, … batches), each as a table in the shared folder, and the levels
 into it are deleted.  The order is dealt out in ranges that may split one suffix; what
 meets at the ends of ranges is put together last.
 
-What unlike segments of one suffix share is found from the segments' bytes, compared
-whole: all their windows are ranked in text order by prefix doubling, and those of equal
-rank are repeated.  Where very many segments have one suffix, their windows are counted
+What unlike segments of one suffix share is found from the segments' bytes: their windows
+are brought together by hash, and the bytes of neighbours are compared over the whole length.
+Where very many segments have one suffix, their windows are counted
 as rows, by 64-bit hash, so that no task has to hold them all.
 
 Texts aren't shuffled for the search: some 70 bytes are, for about 70 of text, and the
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,33 @@ ROW, REPEAT, UNLIKE, END = range(4)  # kinds of events
 PLACE = np.dtype([("d1", "<i8"), ("d2", "<i4"), ("at", "<i4")])
 
 
-def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Where the least of each `width` values in a row is; the leftmost if several are least."""
-    value, at = grams, np.arange(len(grams), dtype=np.int32)
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row, by doubling."""
     done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[step:], values[:-step])
+        done += step
+    return values
+
+
+def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` hashes in a row is; the leftmost if several are least.
+
+    The place is kept in a hash's low bits.  Where that has picked a hash that isn't
+    the least, as only those bits differ, windows are halved instead.
+    """
+    bits = U(max(1, len(grams) - 1).bit_length())
+    at = (_least((grams >> bits << bits) | np.arange(len(grams), dtype=U), width) & ((U(1) << bits) - U(1))).astype(np.int64)
+    if (grams[at] == _least(grams, width)).all():
+        return at
+    value, at, done = grams, np.arange(len(grams)), 1
     while done < width:
         step = min(done, width - done)
         further = value[step:] < value[:-step]
         value, at = np.where(further, value[step:], value[:-step]), np.where(further, at[step:], at[:-step])
         done += step
-    return at.astype(np.int64)
+    return at
 
 
 def segments(chunk: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -306,22 +324,21 @@ def in_table(values: np.ndarray, table: np.ndarray, bits: int = BLOOM_BITS) -> n
     return has(values & mask) & has((values >> U(bits)) & mask)
 
 
-def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks in text order of the `length`-byte strings at these places, equal for equal strings, by prefix doubling.
-
-    Places are those of whole windows of some texts, so that every place between a
-    window's first and last byte but `length` - 1 is a place too.
-    """
-    n = len(data)
-    rank = data.astype(np.int64)
-    done = 1
-    while done < length:
-        step = min(done, length - done)
-        pair = rank * (n + 257)
-        pair[: n - step] += rank[step:] + 1  # past the end is less than all
-        rank = np.unique(pair, return_inverse=True)[1]
-        done += step
-    return rank[starts]
+def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the `length`-byte strings at these places occur twice or more among them, by hash and then by their bytes."""
+    with np.errstate(over="ignore"):
+        p = prefix_hash(data, _TABLE)
+        w = mix((p[starts + length] - p[starts]) * _power(_RINV, len(data) + 1)[starts])
+    order = np.argsort(w, kind="stable")
+    same = w[order[1:]] == w[order[:-1]]
+    for s in range(0, len(same), 1 << 14):  # neighbours in the order of hashes: as many bytes have to be in common
+        own = s + np.flatnonzero(same[s : s + (1 << 14)])
+        a, b = starts[order[own]], starts[order[own + 1]]
+        same[own] = (data[a[:, None] + np.arange(length)] == data[b[:, None] + np.arange(length)]).all(axis=1)
+    out = np.zeros(len(starts), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
 
 
 def _edges(rows: DataFrame, table, length: int, gram: int) -> DataFrame:
@@ -358,9 +375,7 @@ def _edges(rows: DataFrame, table, length: int, gram: int) -> DataFrame:
             begin = np.cumsum(size) - size
             index = np.repeat(np.arange(len(own)), size - length + 1)
             offset = np.arange(len(index)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
-            rank = ranks(np.frombuffer(b"".join(texts), np.uint8), begin[index] + offset, length)
-            _, back, count = np.unique(rank, return_inverse=True, return_counts=True)
-            hit = count[back] > 1
+            hit = repeated(np.frombuffer(b"".join(texts), np.uint8), begin[index] + offset, length)
             index, offset = index[hit], offset[hit]
             if not len(index):
                 continue
@@ -427,10 +442,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     kind = dict(named.dtypes)["doc_id"]
     out = f"doc_id {kind}, kept binary, spans array<array<int>>, n_bytes long"
 
-    def marked(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_:
-            hit = pa.array(in_table(b.column(1).to_numpy(), losing.value))
-            yield pa.RecordBatch.from_arrays([*b.columns, hit], names=["doc_id", "d1", "d2", "t", "hit"])
+    names = ["doc_id", "kept", "spans", "n_bytes"]
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
@@ -442,13 +454,21 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 kept.append(b"".join(raw[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
                 removed.append(gone)
                 size.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.list_(pa.int32()))), pa.array(size, pa.int64())], names=["doc_id", "kept", "spans", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.list_(pa.int32()))), pa.array(size, pa.int64())], names=names)
+
+    def untouched(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            b = b.filter(pa.array(~in_table(b.column(1).to_numpy(), losing.value)))
+            raw = b.column(3).cast(pa.binary())
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1, np.int32)), pa.array([], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), raw, empty, pa.compute.binary_length(raw).cast(pa.int64())], names=names)
+
+    def touched(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            yield b.filter(pa.array(in_table(b.column(1).to_numpy(), losing.value)))
 
-    keyed = named.mapInArrow(marked, f"doc_id {kind}, d1 long, d2 int, t string, hit boolean")
-    none = F.lit(None).cast(dict(spans.dtypes)["spans"])
-    whole = keyed.filter("not hit").select("doc_id", "t", none.alias("spans"))
-    parts = keyed.filter("hit").join(spans, ["d1", "d2"], "left").select("doc_id", "t", "spans")
-    return whole.mapInArrow(cut, out).unionByName(parts.mapInArrow(cut, out))
+    parts = named.mapInArrow(touched, named.schema).join(spans, ["d1", "d2"], "left").select("doc_id", "t", "spans")
+    return named.mapInArrow(untouched, out).unionByName(parts.mapInArrow(cut, out))
 
 
 def digest(removed: DataFrame) -> DataFrame:
