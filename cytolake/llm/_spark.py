@@ -49,12 +49,6 @@ def dropped(df: DataFrame, part: str = "") -> None:
             path.getFileSystem(conf).delete(path, False)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

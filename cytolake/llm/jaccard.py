@@ -507,7 +507,7 @@ def _from_long(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, nodes: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; and on demand its node, a 64-bit name for its id together with its set.
+    """doc_id, n_shingles and component_id of every row; and on demand its node, a 64-bit name for its id together with its set, and root, one of its component.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.  component_id is the
     smallest id reachable by links.  Texts of fewer than k words are one
@@ -540,6 +540,6 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     roots = components(roots.unionByName(_rest(_open_lists(lists, roots), found, percent)))
     rooted = reps.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("least").alias("c"))
-    labelled = rooted.join(least, "root").select("s1", "s2", "c")
+    labelled = rooted.join(least, "root").select("s1", "s2", "c", "root")
     out = docs.join(labelled, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))).alias("component_id"), *(["node"] if nodes else []))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))).alias("component_id"), *(["node", "root"] if nodes else []))

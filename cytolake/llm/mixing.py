@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import checkpointed, n_words, text_of
+from cytolake.llm._spark import n_words, text_of, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -69,6 +69,45 @@ def budgets(leaves: dict[tuple[str, ...], int], weights: dict[tuple[str, ...], f
     return out
 
 
+def _weights(weights: dict[tuple[str, ...], float], spark, level: int) -> DataFrame:
+    """The weights given for the nodes of a level."""
+    rows = [(*path, float(w)) for path, w in weights.items() if len(path) == level]
+    return spark.createDataFrame(rows, ", ".join(f"{x} string" for x in LEVELS[:level]) + ", w double")
+
+
+def leaf_budgets(leaves: DataFrame, weights: dict[tuple[str, ...], float], budget: float, max_epochs: int) -> DataFrame:
+    """domain, lang, source, t, amount: as `budgets` gives them, for any number of leaves (domain, lang, source, t).
+
+    Level by level: the children of a node in the order of capacity over weight.  Those that
+    come before the level at which the node's amount runs out take their capacity, the others the
+    level times their weight; both are running sums over the children.
+    """
+    spark = leaves.sparkSession
+    leaf = leaves.withColumn("cap", (max_epochs * F.col("t")).cast("double"))
+    for n in (1, 2, 3):  # a node without weight gives nothing, nor does what is below it
+        leaf = leaf.join(F.broadcast(_weights(weights, spark, n).withColumnRenamed("w", f"w{n}")), list(LEVELS[:n]), "left").withColumn(f"w{n}", F.coalesce(f"w{n}", F.lit(1.0)))  # as many as are given
+    leaf = leaf.withColumn("cap", F.when((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0), F.col("cap")).otherwise(0.0))
+    whole = leaf.agg(F.least(F.coalesce(F.sum("cap"), F.lit(0.0)), F.lit(float(budget))).alias("a"))
+    above, up = whole, []
+    for n in (1, 2, 3):
+        own = list(LEVELS[:n])
+        nodes = leaf.groupBy(*own).agg(F.sum("cap").alias("c"), F.first(f"w{n}").alias("w"), *([F.sum("t").alias("t")] if n == 3 else []))
+        nodes = nodes.join(above, up) if up else nodes.join(F.broadcast(above))  # one row
+        ratio = F.when(F.col("w") > 0, F.col("c") / F.col("w")).otherwise(F.lit(-1.0))
+        order = Window.partitionBy(*up).orderBy("r", *own)
+        nodes = nodes.withColumn("r", ratio)
+        taken = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        level = F.try_divide(F.col("a") - taken, F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        nodes = nodes.withColumns({"level": level, "i": F.row_number().over(order)})
+        open_ = (F.col("level") <= F.col("r")) & (F.col("w") > 0)
+        cut = Window.partitionBy(*up)
+        first = F.min(F.when(open_, F.struct("i", "r", "level"))).over(cut)
+        nodes = nodes.withColumn("first", first)
+        share = F.when(F.col("first").isNull() | (F.col("i") < F.col("first.i")), F.col("c")).otherwise(F.greatest(F.lit(0.0), F.least(F.col("c"), F.col("first.level") * F.col("w"))))
+        above, up = nodes.select(*own, share.alias("a"), *(["t"] if n == 3 else [])), own
+    return above.select(*LEVELS, "t", F.floor(F.col("a") + 1e-6).cast("long").alias("amount"))
+
+
 def leaf_tokens(documents: DataFrame, domain: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, domain, lang, source and n_tokens of every row; a null level is the string "unknown"."""
     level = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
@@ -83,28 +122,22 @@ def _key(epoch: Column, seed: int) -> Column:
 
 
 def mix(
-    documents: DataFrame, domain: Column, weights: dict[tuple[str, ...], float], *, budget: float | None = None, budget_share: float = 1.0, max_epochs: int = 4, seed: int = 17, digits: int = 3, max_leaves: int = 100_000, **columns
+    documents: DataFrame, domain: Column, weights: dict[tuple[str, ...], float], *, budget: float | None = None, budget_share: float = 1.0, max_epochs: int = 4, seed: int = 17, digits: int = 3, **columns
 ) -> DataFrame:
     """doc_id, domain, lang, source, epoch and n_tokens of every selected reading of a document.
 
     budget: tokens in all; else `budget_share` of the tokens there are.  digits:
     hex digits of the order key that make a bucket (16**digits buckets a leaf).
-    The tree of leaves (not of documents) is worked out on the driver, up to
-    `max_leaves`.  Null and empty texts have no tokens; they come with the
+    Null and empty texts have no tokens; they come with the
     epochs that reach them.  Rows that repeat are rows of their own.  An empty
     table gives no rows.
     """
-    spark = documents.sparkSession
-    docs = checkpointed(leaf_tokens(documents, domain, **columns))
-    sums = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t")).limit(max_leaves + 1).collect()
-    if len(sums) > max_leaves:
-        raise ValueError(f"more than {max_leaves} leaves; raise max_leaves if the driver can hold the tree")
-    leaves = {tuple(r[x] for x in LEVELS): r["t"] for r in sums}
-    target = budgets(leaves, weights, sum(leaves.values()) * budget_share if budget is None else budget, max_epochs)
-    plan = spark.createDataFrame(
-        [(*leaf, target.get(leaf, 0) // t if t else 0, target.get(leaf, 0) % t if t else 0) for leaf, t in leaves.items()],
-        "domain string, lang string, source string, full_epochs long, rest long",
-    )
+    docs = written(leaf_tokens(documents, domain, **columns), "leaf-tokens")
+    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t"))
+    total = leaves.agg(F.sum("t")).first()[0] or 0
+    target = leaf_budgets(leaves, weights, total * budget_share if budget is None else budget, max_epochs)
+    per = F.when(F.col("t") > 0, F.floor(F.col("amount") / F.col("t"))).otherwise(0).cast("long")
+    plan = written(target.select(*LEVELS, per.alias("full_epochs"), F.when(F.col("t") > 0, F.col("amount") - per * F.col("t")).otherwise(0).cast("long").alias("rest")), "leaf-plan")
     placed = docs.join(plan, [*LEVELS])
     whole = placed.filter("full_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full_epochs") - 1)))
     last = placed.filter("rest > 0").withColumn("epoch", F.col("full_epochs")).withColumn("k", _key(F.col("epoch"), seed)).withColumn("bucket", F.substring("k", 1, digits))

@@ -182,6 +182,20 @@ def test_shortage_goes_to_siblings_first():
     assert mixing.budgets(leaves, {}, 10**9, 2) == {k: 2 * v for k, v in leaves.items()}
 
 
+def test_leaf_budgets_are_those_of_the_tree(spark):
+    import random
+
+    r = random.Random(8)
+    for case in range(6):
+        leaves = {(d, x, s): r.choice([0, 1, 7, 50, 900]) for d in "abc" for x in "xy" for s in "stuvw" if r.random() < 0.8}
+        weights = {("a",): 0.6, ("b",): 0.3, ("c",): r.choice([0.0, 0.1])} | {(d, "x"): r.choice([0.2, 1.0, 3.0]) for d in "abc"} | {("a", "x", "s"): 0.0}
+        budget, epochs = r.choice([10, 500, 2000, 10**7]), r.choice([1, 3])
+        want = mixing.budgets(leaves, weights, budget, epochs)
+        frame = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, t long")
+        got = {tuple(x[:3]): x[4] for x in mixing.leaf_budgets(frame, weights, budget, epochs).collect()}
+        assert got == {k: want.get(k, 0) for k in leaves}, case
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "tie"), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 5, "ann", ""), (1, 1, "ann", "hi")]
     rows += [(9, i, "ab"[i % 2], f"turn {i}") for i in range(200)]
