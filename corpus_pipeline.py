@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,34 +30,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Five words and a similarity of 0.8.  A row without doc_id stays.  What goes is
-    decided by the id together with the n-grams, so a row doesn't go because another
-    of its id does; of rows of one id that don't go, the first by hash of the text stays.
-    Texts whose id isn't in a bit table of the ids that go or repeat stay where
+    Five words and a similarity of 0.8.  A row without doc_id stays, and one without words.  Unlike texts
+    that share an id are documents of their own, as is told by the id together with the
+    n-grams; of rows with one id and the same n-grams one stays.  Texts of any length are compared whole.
+    Rows whose id isn't in a bit table of the ids that go or repeat stay where
     they are; only the others meet the decisions in a join.
     """
-    rows = written(jaccard.join(docs, k=5, percent=80, nodes=True), "groups").filter("doc_id is not null")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    open_ = written(ids.filter("c <> doc_id or n > 1").select("doc_id", "n"), "decisions")
-    gone = written(rows.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct(), "gone")
-    bits = spark.sparkContext.broadcast(suffix.bit_table(open_.select(F.xxhash64("doc_id").alias("k")), "k"))
+    rows = written(jaccard.join(docs, k=5, percent=80, nodes=True), "groups").filter("doc_id is not null and n_shingles > 0")
+    each = rows.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
+    stays = each.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("root", F.col("m.doc_id").alias("least_id"), F.col("m.node").alias("least"))
+    told = written(each.join(stays, "root").withColumn("goes", F.col("node") != F.col("least")).filter("goes or n > 1").select("doc_id", "node", "goes"), "decisions")
+    gone = written(told.filter("goes").select("node").distinct(), "gone")
+    bits = spark.sparkContext.broadcast(suffix.bit_table(told.select(F.xxhash64("doc_id").alias("k")), "k"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = suffix.in_table(b.column(b.num_columns - 1).to_numpy(), bits.value)
+            hit = suffix.in_table(b.column(2).to_numpy(), bits.value)
             at = pa.array(np.flatnonzero(hit))
             node = np.zeros(b.num_rows, np.int64)
-            node[hit] = jaccard.names(b.column("doc_id").cast(pa.int64()).take(at), b.column("text").take(at), 5)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit), pa.array(node)], names=[*b.schema.names[:-1], "_hit", "_node"])
-
-    keyed = docs.withColumn("_hit", F.xxhash64("doc_id"))
-    seen = keyed.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_hit", T.BooleanType()), T.StructField("_node", T.LongType())]))
-    free = seen.filter("not _hit").select(*docs.columns)
-    first = seen.filter("_hit").join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_node") == F.col("_gone")), "left_anti").select(*docs.columns)
-    if open_.filter("n > 1").head(1):
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        first = first.withColumn("_i", F.row_number().over(order)).filter("_i = 1 or doc_id is null").select(*docs.columns)
-    return free.unionByName(first)
+            node[hit] = jaccard.names(b.column(0).cast(pa.int64()).take(at), b.column(1).take(at), 5)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(hit), pa.array(node)], names=["id", "row", "hit", "node"])
+
+    carried = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    seen = carried.mapInArrow(marked, T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), carried.schema["row"], T.StructField("hit", T.BooleanType()), T.StructField("node", T.LongType())]))
+    free = seen.filter("not hit").select("row.*")
+    left = seen.filter("hit").join(gone, "node", "left_anti")
+    if told.filter("not goes").head(1):  # rows that repeat: one is enough
+        unnamed = left.filter(F.col("id").isNull())
+        left = left.filter(F.col("id").isNotNull()).join(told.filter("not goes").select("node", F.lit(True).alias("repeats")), "node", "left")
+        once = left.filter("repeats").dropDuplicates(["id", "node"])
+        left = unnamed.select("row").unionByName(left.filter("repeats is null").select("row")).unionByName(once.select("row"))
+    return free.unionByName(left.select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
