@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have at most BATCH_ROWS rows: texts may be long, and a task holds a few batches.  Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder (in folders by the integer column `by`) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytolake.llm._spark import written
+from cytolake.llm._spark import small_batches, written
 from cytolake.llm._text import IS_WORD_ALNUM, U, Words, chunks, mix, signed, windows, words
 from cytolake.llm.suffix import bit_table, in_table
 
@@ -147,6 +147,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, text: str = "t
     Texts may be of any length.  Input columns named like the three results are replaced by them.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     keep = [f for f in documents.schema.fields if f.name not in HITS.names]
     if text not in [f.name for f in keep]:
         raise ValueError(f"no text column {text!r} besides the result columns")

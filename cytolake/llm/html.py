@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytolake.llm._spark import small_batches
+
 # HTML elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -231,6 +233,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     Pages are worked on one by one as they are read; nothing is shuffled.  Rows
     that repeat give rows that repeat; other columns are left out.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

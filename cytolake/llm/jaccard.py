@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import written
+from cytolake.llm._spark import small_batches, written
 from cytolake.llm._text import Chunk, U, chunks, mix, pack_sorted, signed, unpack_sorted, windows, words
 from cytolake.llm.components import components
 
@@ -516,6 +516,7 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     repeat link with each other.  Other columns are left out.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     first = written(_classes_and_grams(rows, k), "classes")
     docs = first.filter("bucket is null").select("id", "s1", "s2", "n", "node")

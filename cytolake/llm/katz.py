@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import dropped, written
+from cytolake.llm._spark import dropped, small_batches, written
 from cytolake.llm._text import Chunk, U, chunks, mix, pack, pack_sorted, runs, signed, unpack, unpack_sorted, words
 
 END = U(1)
@@ -476,6 +476,7 @@ def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text:
     buckets: of the tables, at least; there are more when a bucket would have over `bucket_tokens` training tokens.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.select(F.col(doc_id).alias("doc_id"), t.alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     parts = written(_batches(rows, buckets), "batches", by="kind")

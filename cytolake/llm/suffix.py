@@ -37,7 +37,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import dropped, shared_dir, written
+from cytolake.llm._spark import dropped, shared_dir, small_batches, written
 from cytolake.llm._text import _R, _RINV, _TABLE, Chunk, U, _power, chunks, mix, prefix_hash, signed
 from cytolake.llm.jaccard import _groups
 
@@ -426,6 +426,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     are left out; ids may be null or repeat.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), t).alias("d1"), F.hash(t, F.col(doc_id)).alias("d2"), t.alias("t"))
     rows = named.select("d1", "d2", "t")

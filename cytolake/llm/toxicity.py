@@ -22,17 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytolake.llm._spark import small_batches
 from cytolake.llm._text import _HASH_LOWER, _RINV, IS_WORD_ALNUM, Chunk, U, _power, chunks, mix, prefix_hash, signed, words
 
 #: Group names by kind; a term is swapped for the others of its tuple.
 IDENTITY = (
-    ("women", "men", "girls", "boys", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "christen", "muslime", "juden", "chrétiens", "musulmans", "juifs", "cristianos", "musulmanes", "judíos"),
-    ("gay", "straight", "lesbian", "bisexual", "heterosexual", "transgender", "queer"),
-    ("black", "white", "asian", "latino", "african", "european", "indian", "arab"),
-    ("immigrants", "refugees", "foreigners", "natives", "einwanderer", "flüchtlinge", "immigrés", "réfugiés", "inmigrantes", "refugiados"),
-    ("deaf", "blind", "disabled", "autistic"),
-    ("old", "young", "elderly"),
+    ("woman", "women", "man", "men", "girl", "girls", "boy", "boys", "female", "male", "frau", "frauen", "mann", "männer", "femme", "femmes", "homme", "hommes", "mujer", "mujeres", "hombre", "hombres"),
+    ("christian", "christians", "muslim", "muslims", "jew", "jews", "jewish", "hindu", "hindus", "buddhist", "buddhists", "atheist", "atheists", "christ", "christen", "muslime", "jude", "juden", "jüdisch", "chrétien", "chrétiens", "musulman", "musulmans", "juif", "juifs", "cristiano", "cristianos", "musulmán", "musulmanes", "judío", "judíos"),
+    ("gay", "straight", "lesbian", "lesbians", "bisexual", "heterosexual", "homosexual", "transgender", "queer", "schwul", "lesbisch", "lesbienne", "lesbiana"),
+    ("black", "white", "asian", "asians", "latino", "latina", "african", "africans", "european", "europeans", "indian", "indians", "arab", "arabs"),
+    ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners", "native", "natives", "einwanderer", "flüchtling", "flüchtlinge", "ausländer", "immigré", "immigrés", "réfugié", "réfugiés", "étranger", "étrangers", "inmigrante", "inmigrantes", "refugiado", "refugiados", "extranjero", "extranjeros"),
+    ("deaf", "blind", "disabled", "autistic", "taub", "behindert", "sourd", "aveugle", "sordo", "ciego"),
+    ("old", "young", "elderly", "alt", "jung", "vieux", "jeune", "viejo", "joven"),
 )
 PREFIXES = (4, 5, 6, 8)  # bytes
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -59,19 +60,19 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _swaps(text: str, kinds: dict[str, tuple[str, ...]], most: int = 3) -> list[tuple[str, str]]:
-    """(sentence, sentence with one group name swapped) for the sentences that have one."""
+def _swaps(text: str, kinds: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """(sentence, sentence with one group name swapped), for each other name of its kind, for the sentences that have one."""
     out = []
     for s in SENTENCE.findall(text.lower()):
         for term in sorted(set(re.findall(r"\w+", s)) & kinds.keys()):
-            others = [x for x in kinds[term] if x != term]
-            start = sum(map(ord, s)) % len(others)
-            out += [(s, re.sub(rf"\b{re.escape(term)}\b", others[(start + k) % len(others)], s)) for k in range(min(most, len(others)))]
+            named = re.compile(rf"\b{re.escape(term)}\b")
+            out += [(s, named.sub(x, s)) for x in kinds[term] if x != term]
     return out
 
 
 def _sample(labels: DataFrame, train, doc_id: str, label: str, positives: int, negatives: int) -> DataFrame:
-    one = labels.filter(train & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    rows = labels.filter(train & F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y"))
+    one = rows.groupBy("_id").agg(F.max("_y").alias("_y"))
     first = lambda y, n: one.filter(F.col("_y") == y).orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit("sample")), "_id").limit(n)
     return first(1, positives).unionByName(first(0, negatives))
 
@@ -86,8 +87,10 @@ def fit(
     the threshold; with one class only it learns nothing but that class's bias.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     sample = F.broadcast(_sample(labels, train, doc_id, label, positives, negatives))  # at most positives + negatives ids
-    texts = documents.join(sample, F.col(doc_id) == F.col("_id")).select("_y", F.col(text).cast("string").alias("t"))
+    own = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("t"))
+    texts = own.join(sample, "_id").select("_y", "t")
     kinds = {t: group for group in IDENTITY for t in group}
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +182,7 @@ def score(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text: s
     Rows that repeat get the same score; other columns are left out.
     """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
