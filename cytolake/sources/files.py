@@ -78,9 +78,18 @@ def hinted(d: Detected, name: str) -> Detected:
     return Detected(hint, 0.4, "name") if d.kind == "unknown" else Detected(d.kind, d.confidence, f"{d.reason}; the name says {hint}")
 
 
+def numbered(rows: DataFrame, name: str = "line") -> DataFrame:
+    """Rows with their number from 0 in the order they are read: the place within a partition and the sizes of the partitions before."""
+    placed = rows.withColumns({"_id": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, number).drop("_id", "_part", "_before")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """line, value in the order of one text file."""
-    return spark.read.text(path).withColumn("line", F.row_number().over(Window.partitionBy().orderBy(F.monotonically_increasing_id())) - 1)
+    return numbered(spark.read.text(path))
 
 
 def unique_names(name: Column, by: Column) -> Column:
@@ -118,11 +127,10 @@ def read_dense(spark: SparkSession, path: str, genes_in_rows: bool = True) -> tu
     sep = max(("\t", ",", ";"), key=lambda s: (head[-1].count(s), s == "\t"))
     table = spark.read.csv(path, sep=sep, header=True)
     first, *rest = table.columns
-    long = table.withColumn("_o", F.monotonically_increasing_id()).select("_o", F.col(f"`{first}`").alias("row"), F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in rest))).alias("col", "value"))
-    rows = long.select("_o", "row").distinct().withColumn("i", F.row_number().over(Window.partitionBy().orderBy("_o")).cast("long") - 1)
-    x = long.join(rows.select("_o", "i"), "_o").filter("value is not null and value <> 0").select("i", F.col("col").cast("long").alias("j"), "value")
+    lines = numbered(table, "_i")
+    x = lines.select(F.col("_i").alias("i"), F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in rest))).alias("col", "value")).filter("value is not null and value <> 0").select("i", F.col("col").cast("long").alias("j"), "value")
     columns = spark.createDataFrame([(i, c) for i, c in enumerate(rest)], "i long, name string")
-    names = rows.select("i", F.col("row").alias("name"))
+    names = lines.select(F.col("_i").alias("i"), F.col(f"`{first}`").alias("name"))
     genes, cells, g, c = (names, columns, "i", "j") if genes_in_rows else (columns, names, "j", "i")
     obs = cells.select(F.col("i").alias("cell_id"), unique_names(F.col("name"), F.col("i")).alias("cell_name"))
     var = genes.select(F.col("i").alias("gene_id"), unique_names(F.col("name"), F.col("i")).alias("gene"))
@@ -135,6 +143,32 @@ def gene_sets(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("set_name", "s")).select("set_name", F.explode("s.geneSymbols").alias("gene"))
 
 
+#: What a file of a triple is called, and how its role reads.
+ROLE = "(matrix|barcodes|features|genes)"
+
+
+def bundles(files: DataFrame) -> DataFrame:
+    """sample, files, roles, missing, repeated, complete of file names (column name): the files of a sample share what stands before their role.
+
+    genes is the same role as features.  Names without a role are samples of their own, without missing roles.
+    """
+    stem = F.regexp_replace(F.col("name"), r"(\.(gz|mtx|tsv|csv|txt|h5|h5ad|loom))+$", "")
+    role = F.lower(F.regexp_extract(stem, rf"(?i){ROLE}$", 1))
+    sample = F.when(role != "", F.regexp_replace(stem, rf"(?i)[._-]?{ROLE}$", "")).otherwise(F.regexp_replace(stem, "_(unfiltered_|filtered_|raw_|cellbender_filter_)?matrix$", ""))
+    named = files.select("name", sample.alias("sample"), F.when(role == "genes", "features").otherwise(F.nullif(role, F.lit(""))).alias("role"))
+    counts = F.collect_list("role")
+    own = named.groupBy("sample").agg(F.count("*").alias("files"), F.sort_array(F.collect_set("role")).alias("roles"), counts.alias("_all"))
+    missing = F.when(F.size("roles") > 0, F.array_except(F.array(*map(F.lit, ("barcodes", "features", "matrix"))), F.col("roles"))).otherwise(F.array().cast("array<string>"))
+    repeated = F.filter("roles", lambda r: F.size(F.filter("_all", lambda x: x == r)) > 1)
+    return own.select("sample", "files", "roles", missing.alias("missing"), repeated.alias("repeated"), ((F.size(missing) == 0) & (F.size(repeated) == 0)).alias("complete"))
+
+
+def bundle_issues(found: DataFrame) -> DataFrame:
+    """sample, code: triples without all files, or with a file twice."""
+    codes = F.array_compact(F.array(F.when(F.size("missing") > 0, "mex_incomplete"), F.when(F.size("repeated") > 0, "mex_duplicate_role")))
+    return found.select("sample", F.explode(codes).alias("code"))
+
+
 def mex_issues(header: tuple[int, int] | None, n_features: int, n_barcodes: int) -> list[str]:
     """Codes of what is wrong with a triple's sizes."""
     if header is None:
@@ -144,6 +178,25 @@ def mex_issues(header: tuple[int, int] | None, n_features: int, n_barcodes: int)
     return ["mtx_transposed"] if header == (n_barcodes, n_features) else ["mtx_dimension_mismatch"]
 
 
+def mex_sizes(spark: SparkSession, matrix: str, barcodes: str, features: str) -> tuple[tuple[int, int] | None, int, int]:
+    """Rows and columns in a matrix's head (None if they can't be read), and the lines with something in them of both lists."""
+    lines = spark.read.text(matrix).filter(~F.startswith("value", F.lit("%")) & (F.trim("value") != "")).limit(1).collect()
+    m = re.match(r"\s*(\d+)\s+(\d+)\s+\d+\s*$", lines[0]["value"]) if lines else None
+    count = lambda path: spark.read.text(path).filter(F.trim("value") != "").count()
+    return (int(m[1]), int(m[2])) if m else None, count(features), count(barcodes)
+
+
+def validate_mex(spark: SparkSession, matrix: str, barcodes: str, features: str) -> list[str]:
+    """Codes of what is wrong with a triple's files; a compressed file that ends early is gzip_truncated."""
+    try:
+        header, n_features, n_barcodes = mex_sizes(spark, matrix, barcodes, features)
+    except Exception as error:  # noqa: BLE001  the reader's error tells
+        if "EOFException" in str(error) or "Unexpected end" in str(error):
+            return ["gzip_truncated"]
+        raise
+    return mex_issues(header, n_features, n_barcodes)
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     """RFC 4180: quotes doubled, nulls empty."""
     frame.write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="", mode="overwrite")

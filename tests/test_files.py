@@ -41,6 +41,32 @@ def test_sizes():
     assert S.mex_issues((3, 2), 3, 2) == [] and S.mex_issues((2, 3), 3, 2) == ["mtx_transposed"] and S.mex_issues((9, 9), 3, 2) == ["mtx_dimension_mismatch"]
 
 
+def test_bundles_and_validation(spark, tmp_path):
+    names = ["s1_matrix.mtx.gz", "s1_barcodes.tsv.gz", "s1_genes.tsv", "s2_matrix.mtx", "s2_features.tsv", "s3_matrix.mtx", "s3.matrix.mtx", "s3_barcodes.tsv", "s3_features.tsv", "lung_filtered_matrix.h5ad", "x.csv"]
+    found = {r["sample"]: r for r in S.bundles(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert found["s1"]["complete"] and found["s2"]["missing"] == ["barcodes"] and found["s3"]["repeated"] == ["matrix"] and found["x"]["complete"]
+    issues = {(r["sample"], r["code"]) for r in S.bundle_issues(S.bundles(spark.createDataFrame([(n,) for n in names], "name string"))).collect()}
+    assert {("s2", "mex_incomplete"), ("s3", "mex_duplicate_role")} <= issues
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n%\n2 3 1\n1 1 5\n")
+    (tmp_path / "b.tsv").write_text("AA-1\nCC-1\n\n")
+    (tmp_path / "f.tsv").write_text("E1\tA\nE2\tB\nE3\tA\n")
+    paths = [str(tmp_path / n) for n in ("m.mtx", "b.tsv", "f.tsv")]
+    assert S.mex_sizes(spark, *paths) == ((2, 3), 3, 2) and S.validate_mex(spark, *paths) == ["mtx_transposed"]
+    whole = gzip.compress(b"AAACCC-1\n" * 5000)
+    (tmp_path / "b2.tsv.gz").write_bytes(whole[: len(whole) // 2])
+    assert S.validate_mex(spark, paths[0], str(tmp_path / "b2.tsv.gz"), paths[2]) == ["gzip_truncated"]
+
+
+def test_lines_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("".join(f"{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = S._lines(spark, str(tmp_path / "n.txt"))
+        assert rows.filter("cast(value as long) <> line").count() == 0 and rows.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_provenance_chain_and_rerun():
     h = P.record([], "pca", {"n": 50, "empty": ""}, "2024-01-01")
     h = P.record(h, "clustering", {"resolution": 0.5}, "2024-01-02")
