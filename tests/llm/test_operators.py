@@ -298,6 +298,37 @@ def katz_train(d):
     return d is not None and zlib.crc32(str(d).encode()) % 5 != 1
 
 
+def test_toxicity_scores_by_brute_force(spark, hard):
+    """A score is the logistic function of the summed weights of the words and word beginnings that a text has, each once."""
+    import pyarrow as pa
+
+    from cytolake.llm._text import chunks
+
+    docs = hard.select("doc_id", "text").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(docs.withColumns({"_id": F.lit(1), "_y": F.lit("x")}), labels, F.col("doc_id") % 5 != 0, least=2)
+    weight = dict(zip(model.feature.tolist(), model.weight.tolist(), strict=True))
+
+    def hashes(words):
+        """Of single words, each a text of its own."""
+        out = {}
+        for c in chunks(pa.array(words)):
+            row, h = toxicity.features(c)
+            for r, x in zip(row.tolist(), h.tolist(), strict=True):
+                out.setdefault(words[c.row + r], set()).add(x)
+        return out
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for d, t in pairs(docs, "doc_id", "text"):
+        words = sorted(set(brute.words(t, brute.ALNUM)))
+        own = set().union(*hashes(words).values()) if words else set()
+        z = model.bias + sum(weight.get(x, 0.0) for x in own)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    # a name is swapped for every other of its kind, sentence by sentence
+    kinds = {t: g for g in toxicity.IDENTITY for t in g}
+    assert toxicity._swaps("A blind man came. Nobody else.", {t: kinds[t] for t in ("blind",)}) == [("a blind man came", f"a {x} man came") for x in kinds["blind"] if x != "blind"]
+
+
 @pytest.mark.parametrize(("order", "hot"), [(2, 1024), (2, 8), (3, 1024), (3, 30), (4, 10)])
 def test_katz_by_brute_force(spark, hard, monkeypatch, order, hot):
     monkeypatch.setattr(katz, "HOT", hot)
