@@ -60,6 +60,12 @@ def batch_mixing(obs: DataFrame, cluster: str, batch: str) -> DataFrame:
     return sums.join(F.broadcast(k)).filter("k >= 2").select("cluster", "n", (F.col("e") / F.log("k")).alias("entropy"))  # k is one row
 
 
+def mixing_summary(mixing: DataFrame) -> DataFrame:
+    """The clusters of `batch_mixing`, the least mixed first, with the mean of all weighted by size."""
+    mean = mixing.agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("weighted"))
+    return mixing.join(F.broadcast(mean)).orderBy("entropy", "cluster")  # one row
+
+
 def majority_label(obs: DataFrame, cluster: str, label: str) -> DataFrame:
     """cluster, label, n: each cluster's most frequent label, the first by name if several are."""
     counts = obs.filter(F.col(label).isNotNull()).groupBy(F.col(cluster).alias("cluster"), F.col(label).alias("label")).agg(F.count("*").alias("n"))

@@ -220,3 +220,9 @@ def run(state: State, steps: list[str], params: Params | None = None, now: Calla
         state = replace(after, history=tuple(provenance.record(list(after.history), step, used, now(), effect)))
         yield Event("step_done", step, state=state)
     yield Event("complete", state=state)
+
+
+def reprocess(state: State, params: Params | None = None, steps: list[str] | None = None, now: Callable[[], str] | None = None) -> Iterator[Event]:
+    """Everything again from the counts: the steps that the history has (or those named), with new parameters."""
+    again = [c.step for c in state.history] if steps is None else steps
+    yield from run(replace(state, history=()), ["reset_to_counts", *again], params, now)

@@ -105,7 +105,8 @@ def named(parent: str | None, step: str, params: dict, timestamp: str) -> str:
 
 def record(history: list[Commit], step: str, params: dict, timestamp: str, effect: dict | None = None, note: str = "") -> list[Commit]:
     """The history with one more commit, whose parent is the last; parameters without a value are left out."""
-    clean = {k: v for k, v in params.items() if v is not None and v != "" and v != []}
+    listed = {k: list(v) if isinstance(v, tuple) else v for k, v in params.items()}
+    clean = {k: v for k, v in listed.items() if v is not None and v != "" and v != []}
     parent = history[-1].commit_id if history else None
     return [*history, Commit(named(parent, step, clean, timestamp), parent, step, clean, timestamp, effect or {}, note)]
 
