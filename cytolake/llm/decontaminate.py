@@ -157,6 +157,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, text: str = "t
     kinds = sorted({(r["size"], min(r["size"], shingle)) for r in table.select("size").distinct().collect()})  # at most `window` rows
     tokens = spark.sparkContext.broadcast(bit_table(table.select("token").distinct(), "token"))
     counts = written(_counts(named.select("t"), sorted({q for _, q in kinds}), tokens), "shingle-counts")
+    tokens.destroy()
     counted = table.select("size", "w1", "w2", "token", "place").distinct().join(counts, "token")  # a shingle that never occurs can't be in a document
     rarest = counted.groupBy("size", "w1", "w2").agg(F.min(F.struct("n", "token", "place")).alias("m"), F.count("*").alias("found"))
     whole = rarest.filter(F.col("found") == F.col("size") - F.least(F.col("size"), F.lit(shingle)) + 1)  # all of a window's shingles must occur
@@ -165,6 +166,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, text: str = "t
     # equal texts have equal hits, so that texts are their own names
     met = _met(named.select("d1", "d2", "t"), kinds, marks).join(prefixes, ["token", "place", "size", "w1", "w2"]).select("d1", "d2", "size", "w1", "w2", "start").distinct()
     met = written(met, "benchmark-hits")
+    marks.destroy()
     owners = met.select("d1", "d2", "size", "w1", "w2").distinct().join(table.select("size", "w1", "w2", "item").distinct(), ["size", "w1", "w2"])
     items = owners.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     spans = met.groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("spans"))

@@ -525,6 +525,7 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     valid = rows.filter("id is not null")
     prefixes = _prefixes(valid, k, percent, rarity).repartition("tok")
     shared = written(prefixes.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).filter("c > 1").drop("c"), "shared")
+    rarity.destroy()  # what it was for is written; the driver holds one such table less
     rep_of = docs.join(reps, ["s1", "s2"]).select("node", "rep").distinct()
     named = shared.join(rep_of, "node").groupBy("tok", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     lists = written(_with_partner(written(named, "named"), percent), "lists")
@@ -532,6 +533,7 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     bloom = spark.sparkContext.broadcast(_bloom(wanted))
     # rows that repeat have the same name and set
     found = written(_sets(valid, k, bloom), "sets")
+    bloom.destroy()
     names = first.filter("bucket is null and id is not null").groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
     again = written(names.join(wanted, F.col("node") == F.col("rep"), "left_semi"), "names")
     if again.head(1):  # the same row twice: one of its sets is enough
