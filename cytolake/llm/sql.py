@@ -69,6 +69,63 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(covered.n, 0) a
 from dw left join covered using (k) left join items using (k)"""
 
 
+_DIVERGENCE = """
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{80}-\\x{10FFFF}]+') as ts from documents),
+w as (select k, lang, source, unnest(ts) as term from d),
+kept as (select lang, term from w group by all having count(distinct k) >= 10),
+v as (select lang, count(*) as v from kept group by lang),
+groups as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+full_ as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n from groups g join kept on g.lang = kept.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+tot as (select lang, source, sum(n) as t from full_ group by all),
+p as (select lang, source, term, n, 1 + (1000000000 * (cast(n as hugeint) + 2)) // (cast(t as hugeint) + 2 * v) as p from full_ join tot using (lang, source) join v using (lang)),
+ln as (select lang, term, sum(n) as n from c group by all),
+q as (select lang, term, 1 + (1000000000 * (cast(n as hugeint) + 2)) // (cast(t as hugeint) + 2 * v) as q from ln join (select lang, sum(n) as t from ln group by lang) using (lang) join v using (lang)),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+ from groups a join groups b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+select lang, source, part, item, value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 10"""
+
+
+def _repair() -> str:
+    """An inserted turn makes a pair with a row (deleting that row instead costs less) or with another inserted
+    one (leaving both out costs less), so the cheapest edits insert nothing and the recursion has no such step."""
+    far = 1000000000
+    more = "case when kind = 't' then 5 else 0 end"
+    kept = lambda x: f"case when x = '{x}' and kind in ('g', 't') then {more} else {far} end"
+    turned = f"case when kind in ('g', 't') then 1 + {more} else {far} end"
+    arc = lambda s, cost, letter: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}}"
+    least = lambda *arcs: f"list_sort([{', '.join(arcs)}])[1]"
+    to_user = [x for s in ("s0", "s1", "s3") for x in (arc(s, kept("u"), "K"), arc(s, turned, "R"))]
+    start = lambda cost: f"{{'c': cast({cost} as bigint), 'a': ''}}"
+    code = "list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint))"
+    bits = "list_reduce([xor(c, b)] || [cast(0 as bigint)] || [0, 0, 0, 0, 0, 0, 0], lambda z, j: xor(z >> 1, 3988292384 * (z & 1)))"
+    crc = f"xor(list_reduce([cast(4294967295 as bigint)] || {code}, lambda c, b: {bits}), 4294967295)"
+    return f"""
+with recursive k as (select dense_rank() over (order by conv_id nulls first) as k, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as f from conversations),
+d as (select k, turn, case f when 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+ unnest(range(0, case f when 0 then 0 when 3 then 2 else 1 end)) as copy from k),
+o as (select *, row_number() over (partition by k order by turn nulls first, role, text, copy) as i, left(role, 1) as x, rtrim(text, {_WS}) as b from d),
+e as (select *, row_number() over (partition by k, role, text order by i) > 1 as again, lag(x) over (partition by k order by i) as px from o),
+r as (select *, case when b = '' then 'b' when again then 'd' when right(b, 1) not in ('.', '!', '?') then 't' else 'g' end as kind from e),
+dp as (select k, cast(0 as bigint) as i, {start(0)} as s0, {start(far)} as s1, {start(far)} as s2, {start(far)} as s3 from (select distinct k from r)
+ union all
+ select dp.k, r.i, {arc("s0", 2, "D")}, {least(arc("s1", 2, "D"), arc("s0", kept("s"), "K"))}, {least(arc("s2", 2, "D"), *to_user)}, {least(arc("s3", 2, "D"), arc("s2", kept("a"), "K"), arc("s2", turned, "R"))}
+ from dp join r on r.k = dp.k and r.i = dp.i + 1),
+best as (select k, list_sort([s0, s3])[1] as z from dp join (select k, max(i) as i from r group by k) using (k, i)),
+u as (select r.*, substr(z.a, cast(r.i as int), 1) as l, z.c as cost, z.a as audit from r join best using (k)),
+v as (select *, row_number() over (partition by k order by i) - 1 as j, first(x = 's' and l = 'K') over (partition by k order by i) as s from u where l <> 'D'),
+t as (select k, string_agg(case when l = 'K' then role when (j - cast(s as int)) % 2 = 0 then 'user' else 'assistant' end || ':' || text, chr(10) order by i) as t from v group by k),
+g as (select k, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where kind = 'b') as blank, count(*) filter (where kind = 'd') as duplicate,
+ count(*) filter (where kind = 't') as truncated, count(*) filter (where px is not null and px || x not in ('su', 'ua', 'au')) as illegal, any_value(cost) as cost, any_value(audit) as audit from u group by k)
+select conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+ cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct k, conv_id from k) left join g using (k) left join t using (k)"""
+
+
 def _mixing(budget_share: float = 1.0, max_epochs: int = 4, seed: int = 17) -> str:
     """Shares by sorted capacities: below the level at which a parent's amount runs out, a child takes its capacity, above it level times weight."""
     from cytolake.llm.queries import DOMAINS, WEIGHTS
@@ -100,4 +157,4 @@ select doc_id, domain, lang, source, cast(epoch as bigint) as epoch, n_tokens fr
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_distribution_divergence": _quality(), "op5_source_mixing": _mixing(), "op7_benchmark_decontamination": _DECONTAMINATE, "op8_perspective_rotation": _CHAT}
+    return {"op4_distribution_divergence": _quality(), "op5_source_mixing": _mixing(), "op7_benchmark_decontamination": _DECONTAMINATE, "op8_perspective_rotation": _CHAT, "op12_source_divergence": _DIVERGENCE, "op13_conversation_repair": _repair()}
