@@ -14,7 +14,7 @@ from cytolake.operators import (  # noqa: F401
     stats_queries as _stats,
 )
 from cytolake.registry import QUERIES, SQL, Query
-from cytolake.sources import file_queries as _files  # noqa: F401
+from cytolake.sources import file_queries as _files, source_queries as _sources  # noqa: F401
 from cytolake.streaming import event_queries as _events  # noqa: F401
 
 
