@@ -15,8 +15,10 @@ queue of its own, whose buckets are heaps: n log n at most, whatever it repeats.
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +35,7 @@ from cytolake.llm._text import chunks
 #: Bytes from which a pre-token has a queue of its own.
 LONG = 256
 #: Bytes of text whose pre-tokens share one queue.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -108,37 +110,38 @@ def vocabulary(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
 
 
 class RankQueue:
-    """Buckets of positions by rank, chained in one table of entries, under three levels of bitmaps."""
+    """Buckets of positions by rank, as chains of runs in one table of positions, under three levels of bitmaps."""
 
     def __init__(self, ranks: int, entries: int):
         self.levels = [np.zeros((ranks >> 6 * (k + 1)) + 1, np.uint64) for k in range(3)]
         self.head = np.full(ranks, -1, np.int64)
-        self.at, self.link = np.empty(entries, np.int64), np.empty(entries, np.int64)
-        self.size = 0
+        self.at = np.empty(entries, np.int64)
+        self.start, self.stop, self.link = (np.empty(1024, np.int64) for _ in range(3))
+        self.size = self.runs = 0
 
     def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         n = len(ranks)
         if not n:
             return
         if self.size + n > len(self.at):
-            room = 2 * len(self.at) + n
-            self.at, self.link = np.resize(self.at, room), np.resize(self.link, room)
+            self.at = np.resize(self.at, 2 * len(self.at) + n)
         order = np.argsort(ranks, kind="stable")
         ranks = ranks[order]
-        entry = np.arange(self.size, self.size + n)
-        first = np.ones(n, bool)
-        first[1:] = ranks[1:] != ranks[:-1]
-        last = np.ones(n, bool)
-        last[:-1] = first[1:]
-        link = entry + 1
-        link[last] = self.head[ranks[last]]
-        self.at[self.size : self.size + n], self.link[self.size : self.size + n] = positions[order], link
+        self.at[self.size : self.size + n] = positions[order]
+        first = np.flatnonzero(np.diff(ranks, prepend=-1))
+        if self.runs + len(first) > len(self.start):
+            self.start, self.stop, self.link = (np.resize(x, 2 * len(x) + len(first)) for x in (self.start, self.stop, self.link))
+        own = slice(self.runs, self.runs + len(first))
         bit = ranks[first]
-        self.head[bit] = entry[first]
+        self.start[own] = first + self.size
+        self.stop[own] = np.append(first[1:], n) + self.size
+        self.link[own] = self.head[bit]
+        self.head[bit] = np.arange(own.start, own.stop)
         for level in self.levels:
             np.bitwise_or.at(level, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
             bit = bit >> 6
         self.size += n
+        self.runs = own.stop
 
     def pop(self) -> tuple[int, np.ndarray] | None:
         """The lowest rank that has a bucket, and the positions in it; the bucket is empty then."""
@@ -160,12 +163,13 @@ class RankQueue:
             if word:
                 break
             at >>= 6
-        found, e, link = [], int(self.head[rank]), memoryview(self.link)
-        while e >= 0:
-            found.append(e)
-            e = link[e]
+        start, stop, link = map(memoryview, (self.start, self.stop, self.link))
+        found, run = [], int(self.head[rank])
+        while run >= 0:
+            found.append(self.at[start[run] : stop[run]])
+            run = link[run]
         self.head[rank] = -1
-        return rank, self.at[found]
+        return rank, found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def merge_all(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -281,10 +285,18 @@ class Splitter:
         self.strict = regex.compile(strict, regex.V1) if v.newer else self.usual
 
     def __call__(self, text: str) -> list[str]:
-        rare = self.newer is not None and not text.isascii() and self.newer.search(text)
-        pattern = self.strict if rare else self.usual
+        pattern = self.strict if self._rare(text) else self.usual
         return [m.group() for m in pattern.finditer(text)] if pattern.groups else pattern.findall(text)
 
+    def _rare(self, text: str) -> bool:
+        if self.newer is None:
+            return False
+        try:
+            text.encode("latin-1")  # no character of Latin-1 is newer than the library
+        except UnicodeEncodeError:
+            return self.newer.search(text) is not None
+        return False
+
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The indexes start[i] … start[i] + length[i] - 1 for each i in turn."""
@@ -294,8 +306,11 @@ def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: list[str], v: Vocabulary, split: Splitter) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and how many each has."""
-    seen: dict[str, int] = {}
-    places = [[seen.setdefault(x, len(seen)) for x in split(t)] for t in texts]
+    seen: dict[str, int] = defaultdict(count().__next__)  # a word that is new gets the next number
+    words = [split(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    used = np.fromiter(map(seen.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+    del words
     whole = np.full(len(seen), -1, np.int64)
     short, long = ([], []), ([], [])
     for i, x in enumerate(seen):
@@ -323,10 +338,9 @@ def encode_texts(texts: list[str], v: Vocabulary, split: Splitter) -> tuple[np.n
     ids, order = np.concatenate(flat), np.concatenate(order)
     start = np.zeros(len(seen), np.int64)
     start[order] = np.cumsum(counts[order]) - counts[order]
-    used = np.array([i for p in places for i in p], np.int64)
-    sizes = np.array([len(p) for p in places], np.int64)
-    out = ids[gather(start[used], counts[used])]
-    ends = np.concatenate([[0], np.cumsum(counts[used])])
+    lengths = counts[used]
+    out = ids[gather(start[used], lengths)]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
     stops = ends[np.cumsum(sizes)]
     return out, np.diff(stops, prepend=0)
 
