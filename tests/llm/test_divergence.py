@@ -50,7 +50,7 @@ def test_matches_plain_integers(hard, least, ranks):
 
 def test_in_small_pieces(hard, monkeypatch):
     """Partial counts sent on at once, few cells, and sources dealt in blocks of three."""
-    for name, value in (("HELD_ROWS", 50), ("CELLS", 40), ("SOURCES", 3), ("CHUNK", 2000)):
+    for name, value in (("HELD_ROWS", 50), ("CELLS", 40), ("SHARD_ROWS", 100), ("SOURCES", 3), ("CHUNK", 2000)):
         monkeypatch.setattr(divergence, name, value)
     rows = [(r["lang"], r["source"], r["text"]) for r in hard.collect()]
     assert collected(divergence.audit(hard, least_docs=2)) == plain(rows, 2, 10)
