@@ -6,6 +6,7 @@ from cytolake.plans import provenance_queries as _provenance  # noqa: F401
 from cytolake.operators import (  # noqa: F401
     catalog_queries as _catalog,
     expression_queries as _expression,
+    fulltext_queries as _fulltext,
     graph_queries as _graph,
     ingest_queries as _ingest,
     metadata_queries as _metadata,
