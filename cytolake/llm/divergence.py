@@ -230,16 +230,13 @@ def audit(documents: DataFrame, *, lang: str = "lang", source: str = "source", t
     kept = written(kept_counts(documents, lang=lang, source=source, text=text, least_docs=least_docs), "divergence-shards")
     groups = documents.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source")).groupBy("lang", "source").agg(F.lit(0).cast("long").alias("n"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("n")).unionByName(groups).groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    terms = kept.groupBy("lang").agg(F.count_distinct("term").alias("kept"), F.count("*").alias("rows"))
-    sizes = totals.groupBy("lang").agg(F.count("*").alias("sources")).join(terms, "lang", "left").select(
-        "lang", F.floor((F.col("sources") - 1) / SOURCES).cast("int").alias("last"), F.coalesce("kept", F.lit(0)).alias("kept"),
-        F.floor(F.coalesce("rows", F.lit(0)) / SHARD_ROWS).cast("int").alias("last_shard"))
-    shard = F.pmod(F.xxhash64("term"), F.col("last_shard") + 1).cast("int")
-    blocks = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block")
+    terms = kept.groupBy("lang").agg(F.count_distinct("term").alias("kept"))
+    most = totals.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    shards, blocks = 1 + kept.count() // SHARD_ROWS, F.explode(F.sequence(F.lit(0), F.lit(max(most - 1, 0) // SOURCES))).alias("block")
     none = F.lit(None).cast("string")
-    heads = totals.join(sizes, "lang").select("lang", "source", "n", "kept", F.explode(F.sequence(F.lit(0), F.col("last_shard"))).alias("shard"), "last")
+    heads = totals.join(terms, "lang", "left").select("lang", "source", "n", F.coalesce("kept", F.lit(0)).alias("kept"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     heads = heads.select("lang", "shard", blocks, (F.col("shard") == 0).alias("first"), none.alias("term"), "source", "n", "kept")
-    rows = kept.join(sizes, "lang").select("lang", shard.alias("shard"), blocks, F.lit(False).alias("first"), "term", "source", "n", F.lit(0).cast("long").alias("kept"))
+    rows = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), blocks, F.lit(False).alias("first"), "term", "source", "n", F.lit(0).cast("long").alias("kept"))
     sorted_rows = heads.unionByName(rows).repartition("lang", "shard", "block").sortWithinPartitions("lang", "shard", "block", F.col("term").asc_nulls_first(), "source")
     found = sorted_rows.mapInArrow(_compare(ranks), "lang string, source string, part string, item string, value long")
     summed = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
