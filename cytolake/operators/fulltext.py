@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cytolake.functions.stem import STOP_WORDS, stem
-from cytolake.sources.tables import shared_folder, stored
+from cytolake.sources.tables import shared_folder
 
 # Fixed values of the rank: the weight of a word without a label, and the sum of 1/n² over all n.
 WEIGHT, LIMIT = 0.1, 1.64493406685
@@ -20,17 +23,36 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame, chunk: str = "chunk_id", text: str = "text") -> DataFrame:
-    """term, chunk, tf: how often each chunk has each stem; stop words are left out.  Null and empty texts have none."""
-    each = chunks.select(F.col(chunk).alias("chunk"), F.explode(words(F.col(text))).alias("word")).filter(~F.col("word").isin(STOP_WORDS))
-    counted = stored(each.groupBy("chunk", "word").agg(F.count("*").alias("n")), "words")
-    stems = counted.select("word").distinct().withColumn("term", stem(F.col("word")))  # a word is stemmed once
-    return counted.join(stems, "word").groupBy("term", "chunk").agg(F.sum("n").alias("tf"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk and its text as rows of its words and how often each is there: a chunk is a row, so nothing has to move for that."""
+    for b in batches:
+        lists = pc.split_pattern_regex(pc.utf8_lower(b.column(1).fill_null("")), "[^a-z0-9]+")
+        words_ = lists.flatten()
+        coded = words_.dictionary_encode()
+        keep = pc.invert(pc.is_in(words_, pa.array(["", *STOP_WORDS])))
+        each = pa.table({"row": pc.list_parent_indices(lists).filter(keep), "code": coded.indices.filter(keep)}).group_by(["row", "code"]).aggregate([([], "count_all")])
+        for part in each.to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays([b.column(0).take(part["row"]), coded.dictionary.take(part["code"]), part["count_all"].cast(pa.int64())], names=["chunk", "word", "n"])
 
 
-def write_index(found: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings as a table in folders by bucket of their term: a search reads those of its terms."""
-    found.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("chunk"), F.lit(8))).write.partitionBy("bucket").parquet(path)
+def postings(chunks: DataFrame, chunk: str = "chunk_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+    """term, chunk, tf: how often each chunk has each stem; stop words are left out.  Null and empty texts have none.
+
+    Every distinct word is stemmed once.  With `buckets` there is a column bucket too, and the rows lie by bucket (and chunk).
+    """
+    rows = chunks.select(F.col(chunk).alias("chunk"), F.col(text).cast("string").alias("text"))
+    counted = rows.mapInArrow(_counted, StructType([rows.schema["chunk"], *StructType.fromDDL("word string, n long").fields]))
+    stems = counted.select("word").distinct().withColumn("term", stem(F.col("word")))
+    found = counted.join(stems, "word").select("term", "chunk", "n")
+    if buckets is None:
+        return found.groupBy("term", "chunk").agg(F.sum("n").alias("tf"))
+    dealt = found.withColumns({"bucket": _bucket(F.col("term"), buckets), "_deal": F.pmod(F.xxhash64("chunk"), F.lit(8))}).repartition("bucket", "_deal")
+    return dealt.groupBy("bucket", "_deal", "term", "chunk").agg(F.sum("n").alias("tf")).select("term", "chunk", "tf", "bucket")
+
+
+def write_index(chunks: DataFrame, path: str, chunk: str = "chunk_id", text: str = "text", buckets: int = 64) -> None:
+    """The postings as a table in folders by bucket of their term: a search reads those of its terms."""
+    postings(chunks, chunk, text, buckets).write.partitionBy("bucket").parquet(path)
 
 
 def _bucket(term: Column, buckets: int) -> Column:

@@ -63,7 +63,6 @@ def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A question in words of the tables' texts; two have one stem, one is a stop word, one is in no text.
 QUESTION = "The heating of reations, reation and ering zzzznone"
-_TERMS = "(select distinct term from stems where word in ('heating', 'reations', 'reation', 'ering'))"
 
 
 @query(
@@ -74,7 +73,7 @@ select chunk as doc_id, round(s * 0.1 / 1.64493406685 / (select count(distinct t
 def fulltext_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of all documents for a question, from an index that is written and read by the terms' buckets."""
     path = T.new_folder(spark, "index")
-    T.write_index(T.postings(read(spark, sf_dir, "documents"), "doc_id"), path)
+    T.write_index(read(spark, sf_dir, "documents"), path, "doc_id")
     found = T.text_rank(spark.read.parquet(path), T.query_terms(spark, QUESTION))
     return found.select(F.col("chunk").alias("doc_id"), F.round("rank", 9).alias("rank"))
 

@@ -50,7 +50,7 @@ def plain(terms):
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("fulltext") / "index")
-    T.write_index(T.postings(spark.createDataFrame(CHUNKS, "chunk_id long, text string")), path)
+    T.write_index(spark.createDataFrame(CHUNKS, "chunk_id long, text string"), path)
     return spark.read.parquet(path)
 
 
