@@ -47,10 +47,25 @@ def compare(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
         counts = obs.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
         return counts.select("label", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name))  # a row a label
 
+    # a row a label in all that follows
     both = share(a, "a_pct").join(share(b, "b_pct"), "label", "full").fillna(0.0, ["a_pct", "b_pct"])
     return both.withColumn("delta", F.col("b_pct") - F.col("a_pct"))
 
 
+def by_abundance(compared: DataFrame) -> DataFrame:
+    """The labels of `compare` with their place in the order of a_pct + b_pct, the largest first; ties by label."""
+    order = Window.partitionBy().orderBy(F.desc(F.round(F.col("a_pct") + F.col("b_pct"), 9)), "label")  # a row a label
+    return compared.withColumn("place", F.row_number().over(order))
+
+
+def column_values(obs: DataFrame, column: str) -> DataFrame:
+    """cell_id, value of one column in the order of cells: numbers stay numbers, everything else is text.  An unknown column is an error."""
+    if column not in obs.columns:
+        raise ValueError(f"no column {column!r}")
+    number = obs.schema[column].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+    return obs.select("cell_id", F.col(column).cast("double" if number else "string").alias("value")).orderBy("cell_id")
+
+
 def batch_mixing(obs: DataFrame, cluster: str, batch: str) -> DataFrame:
     """cluster, n, entropy: Shannon entropy of a cluster's batches over that of even ones (1: fully mixed)."""
     counts = obs.filter(F.col(cluster).isNotNull() & F.col(batch).isNotNull()).groupBy(F.col(cluster).alias("cluster"), F.col(batch).alias("batch")).agg(F.count("*").alias("c"))

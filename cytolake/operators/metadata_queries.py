@@ -100,3 +100,22 @@ def _polygon_sql() -> str:
 def lasso_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return e.filter(M.inside_polygon(F.col("x"), F.col("y"), _POLYGON)).select(F.col("vec_id").alias("cell_id"))
+
+
+@query(
+    SQL
+    + """, a as (select cluster as label, count(*) as n from obs where batch = 'ASIA' group by 1), b as (select cluster as label, count(*) as n from obs where batch = 'EUROPE' group by 1),
+p as (select coalesce(a.label, b.label) as label, 100.0 * coalesce(a.n, 0) / (select sum(n) from a) + 100.0 * coalesce(b.n, 0) / (select sum(n) from b) as s from a full join b on a.label = b.label)
+select label, round(s, 6) as total, cast(row_number() over (order by round(s, 9) desc, label) as integer) as place from p"""
+)
+def compare_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = from_tables(spark, sf_dir).obs
+    out = M.by_abundance(M.compare(obs.filter("batch = 'ASIA'"), obs.filter("batch = 'EUROPE'"), "cluster"))
+    return out.select("label", F.round(F.col("a_pct") + F.col("b_pct"), 6).alias("total"), "place")
+
+
+@query(SQL + " select cell_id, acctbal as number, cluster as word from obs")
+def metadata_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = from_tables(spark, sf_dir).obs
+    number, word = M.column_values(obs, "acctbal"), M.column_values(obs, "cluster")
+    return number.withColumnRenamed("value", "number").join(word.withColumnRenamed("value", "word"), "cell_id")

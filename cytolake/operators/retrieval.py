@@ -116,8 +116,22 @@ def reranked(found: DataFrame, score: Column | None, k: int) -> DataFrame:
     return found.orderBy(F.desc(F.round("score" if score is None else score, 9)), "doc_id").limit(k)
 
 
-#: Words that send a question to a source.
-ROUTES = {"literature": ("paper", "study", "the of", "author"), "docs": ("how do", "tutorial", "with the", "guide"), "data": ("cluster", "gene", "of the", "cell")}
+# Words that send a question to a source.
+ROUTES = {
+    "literature": (
+        "marker", "express", "expression of", "pathway", "disease", "lupus", "cancer", "tumor", "immune", "what is known", "literature", "study", "studies", "paper", "associated with", "role of", "function of", "known to", "implicated",
+        "biology", "mechanism", "signature", "interferon", "cytokine", "receptor",
+    ),
+    "docs": (
+        "how do i", "how to", "why ", "should i", "what does", "parameter", "resolution", "normalize", "normalisation", "normalization", "log transform", "scale", "scaling", "pca", "umap", "t-sne", "tsne", "neighbors", "n_neighbors",
+        "batch correction", "harmony", "integrate", "integration", "qc", "quality control", "filter", "threshold", "doublet", "highly variable", "hvg", "workflow", "pipeline", "step", "recommend", "cluster the", "clustering", "interpret",
+        "read this", "dot plot", "violin", "heatmap",
+    ),
+    "data": (
+        "my data", "this dataset", "this cluster", "my cluster", "what cell types", "how many cells", "what did i run", "what was run", "my results", "my markers", "my umap", "this gene", "these cells", "current dataset", "annotation",
+        "what's in my", "whats in my",
+    ),
+}
 
 
 def routed(text: Column, routes: dict[str, tuple[str, ...]] | None = None) -> Column:

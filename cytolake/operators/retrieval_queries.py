@@ -61,7 +61,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "select conv_id, turn, coalesce(nullif(array_to_string(list_filter(["
-    + ", ".join("case when " + " or ".join(f"contains(lower(text), '{w}')" for w in words) + f" then '{name}' end" for name, words in sorted(R.ROUTES.items()))
+    + ", ".join("case when " + " or ".join("contains(lower(text), '" + w.replace("'", "''") + "')" for w in words) + f" then '{name}' end" for name, words in sorted(R.ROUTES.items()))
     + "], lambda x: x is not null), ','), ''), 'data') as sources from conversations where role = 'user'"
 )
 def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,22 @@ def top_markers(markers: DataFrame, n: int) -> DataFrame:
     return markers.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("z"), "gene_id"))).filter(F.col("rank") <= n)
 
 
+def markers_of(d: Dataset, column: str, n: int = 100, group: str | None = None) -> DataFrame:
+    """The n first markers of each value of any column of obs (or of one value), with their rank; fewer than two values are an error."""
+    if column not in d.obs.columns:
+        raise ValueError(f"no column {column!r}")
+    groups = d.obs.filter(F.col(column).isNotNull()).select("cell_id", F.col(column).cast("string").alias("group"))
+    if groups.select("group").distinct().limit(2).count() < 2:
+        raise ValueError(f"column {column!r} has one group only; markers need two")
+    return top_markers(rank_sums(d, groups, only=group), n)
+
+
+def search_sets(sets: DataFrame, text: str, most: int = 40) -> DataFrame:
+    """collection, set_name, n_genes of the gene sets (collection, set_name, gene_id) whose name contains a text in any case; the first `most` by name."""
+    found = sets.filter(F.contains(F.upper("set_name"), F.upper(F.lit(text))))
+    return found.groupBy("collection", "set_name").agg(F.count("*").alias("n_genes")).orderBy("collection", "set_name").limit(most)
+
+
 def log_factorial(n: Column) -> Column:
     """ln n! of whole n >= 0, by Stirling's series at n + 9 (error below 1e-12 of the value)."""
     x = n.cast("double") + 9.0

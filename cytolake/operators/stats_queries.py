@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytolake.model import SQL, from_tables
@@ -87,9 +87,7 @@ def ora_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL + " select collection, set_name, count(*) as n_genes from var where contains(upper(set_name), upper('brand#1')) group by 1, 2 order by 1, 2 limit 40")
 def geneset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    var = from_tables(spark, sf_dir).var
-    found = var.filter(F.contains(F.upper("set_name"), F.upper(F.lit("brand#1"))))
-    return found.groupBy("collection", "set_name").agg(F.count("*").alias("n_genes")).orderBy("collection", "set_name").limit(40)
+    return S.search_sets(from_tables(spark, sf_dir).var, "brand#1")
 
 
 _SCORE = (
@@ -180,3 +178,11 @@ def cell_type_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = from_tables(spark, sf_dir)
     d = d.with_x(stored(d.x, "matrix"))
     return celltypes.by_markers(d, "cluster", {t: " ".join(_genes(d, t)) for t in _TYPES} | {"alone": "G1", "absent": "x y z"})
+
+
+@query(f"{_DE} select gene_id, round(padj, 6) as padj, round(lfc, 5) as lfc, cast(row_number() over (order by padj, abs(lfc) desc, gene_id) as integer) as place from m where \"group\" = 'selection' and padj <= 1 and abs(lfc) >= 0.1 order by place limit 200")
+def de_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a selection's genes with a place for each, so that order and limit show."""
+    found = S.significant(_de(spark, sf_dir), 0.1, 1.0)
+    place = F.row_number().over(Window.partitionBy().orderBy("padj", F.desc(F.abs("lfc")), "gene_id"))  # 200 rows at most
+    return found.select("gene_id", F.round("padj", 6).alias("padj"), F.round("lfc", 5).alias("lfc"), place.alias("place"))

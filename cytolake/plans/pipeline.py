@@ -30,6 +30,7 @@ class Params:
     n_comps: int = 50
     n_neighbors: int = 15
     resolution: float = 0.5
+    layout_dims: int = 2
     batch_key: str = ""
     marker_columns: tuple[str, ...] = ()
     enrichment_n_genes: int = 100
@@ -37,7 +38,7 @@ class Params:
     annotator: Callable[[dict[str, DataFrame], str], DataFrame] | None = None
 
     #: What a user may choose.
-    BOUNDS = {"doublet_rate": (0, 0.5), "min_genes": (0, 5000), "min_cells": (0, 100), "max_pct_mt": (0, 100), "target_sum": (1e3, 1e5), "n_top_genes": (500, 10000), "n_comps": (10, 200), "n_neighbors": (5, 100), "resolution": (0.1, 3), "enrichment_n_genes": (10, 500)}  # noqa: RUF012
+    BOUNDS = {"doublet_rate": (0, 0.5), "min_genes": (0, 5000), "min_cells": (0, 100), "max_pct_mt": (0, 100), "target_sum": (1e3, 1e5), "n_top_genes": (500, 10000), "n_comps": (10, 200), "n_neighbors": (5, 100), "resolution": (0.1, 3), "layout_dims": (2, 3), "enrichment_n_genes": (10, 500)}  # noqa: RUF012
 
     def problems(self) -> list[str]:
         return [f"{k} is outside {lo} to {hi}" for k, (lo, hi) in self.BOUNDS.items() if not lo <= getattr(self, k) <= hi]
@@ -130,7 +131,7 @@ def _cluster(s: State, p: Params) -> State:
 
 
 def _layout(s: State, p: Params) -> State:
-    start = s.tables["pca"].select("cell_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+    start = s.tables["pca"].select("cell_id", *(F.col("pc")[i].alias(c) for i, c in enumerate("xyz"[: p.layout_dims])))
     return s.put(layout=graph.layout(s.tables["graph"], start))
 
 
@@ -222,6 +223,24 @@ def run(state: State, steps: list[str], params: Params | None = None, now: Calla
     yield Event("complete", state=state)
 
 
+def stored_markers(state: State, column: str, group: str | None = None, n: int = 100) -> DataFrame:
+    """The n first stored markers of each group of a column (or of one group); those of a column without any are computed."""
+    found = state.tables.get(f"markers:{column}")
+    if found is None:
+        d = state.data.with_x(state.raw) if state.raw is not None else state.data
+        return stats.markers_of(d, column, n, group)
+    return stats.top_markers(found if group is None else found.filter(F.col("group") == group), n)
+
+
+def stored_enrichment(state: State, column: str, group: str, most: int = 50) -> DataFrame:
+    """The first stored terms of a column's group; a column that has none is an error that says which have."""
+    found = state.tables.get(f"enrichment:{column}")
+    if found is None:
+        there = sorted(k.split(":", 1)[1] for k in state.tables if k.startswith("enrichment:"))
+        raise ValueError(f"no enrichment by {column!r}; there is: {', '.join(there) or 'none'}")
+    return stats.enrichment_top(found.filter(F.col("group") == group), most)
+
+
 def reprocess(state: State, params: Params | None = None, steps: list[str] | None = None, now: Callable[[], str] | None = None) -> Iterator[Event]:
     """Everything again from the counts: the steps that the history has (or those named), with new parameters."""
     again = [c.step for c in state.history] if steps is None else steps
