@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.model import Dataset
+from cytolake.sources.tables import stored
 
 #: Coefficients of a published rational approximation of erfc (fractional error below 1.2e-7).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -38,28 +44,83 @@ def benjamini_hochberg(tests: DataFrame, p: str, by: list[str], tie: str, alias:
     return ranked.withColumn(alias, F.least(F.lit(1.0), F.min("_q").over(after))).drop("_q")
 
 
+_RANKED = "part int, gene_id long, group string, m long, neg long, pos long, s double, ranks double, run double, less long"
+
+
+def _ranked_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gene_id, value, group) sorted by gene and value, as rows of _RANKED: per gene and group, what the ranks within this partition sum to.
+
+    The values at which a partition's first gene begins and its last one ends may go on in the
+    partitions beside it: those are given by themselves (run, and how many values are less here).
+    """
+    part = TaskContext.get().partitionId()
+    held: list[pa.RecordBatch] = []
+    at, first = None, True
+
+    def gene(last: bool) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        value, coded = t["value"].to_numpy(), t["group"].combine_chunks().dictionary_encode()
+        code, k = coded.indices.to_numpy(), len(coded.dictionary)
+        starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        size = np.diff(np.append(starts, len(value)))
+        run = np.repeat(np.arange(len(starts)), size)
+        apart = np.zeros(len(starts), bool)
+        apart[0] |= first
+        apart[-1] |= last
+        inner = ~apart[run]
+        sums = lambda keep, w=None: np.bincount(code[keep], None if w is None else w[keep], minlength=k)
+        rank = starts[run] + (size[run] + 1) / 2.0
+        columns = [[sums(inner), sums(inner & (value < 0)), sums(inner & (value > 0)), sums(inner, value), sums(inner, rank), [None] * k, [None] * k]]
+        for i in np.flatnonzero(apart):
+            own = run == i
+            v, m = float(value[starts[i]]), sums(own)
+            columns.append([m, m if v < 0 else 0 * m, m if v > 0 else 0 * m, m * v, 0.0 * m, [v] * k, [int(starts[i])] * k])
+        m, neg, pos, s, ranks, runs, less = (np.concatenate([np.asarray(c[j], object if j > 4 else None) for c in columns]) for j in range(7))
+        some, n = np.flatnonzero(m), len(columns)
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()
+        made = [pa.array(x[some].tolist(), kind) for x, kind in zip((m, neg, pos, s, ranks, runs, less), kinds, strict=True)]
+        groups = coded.dictionary.take(pa.array(np.tile(np.arange(k), n)[some]))
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([at] * len(some), pa.int64()), groups, *made], names=["part", "gene_id", "group", "m", "neg", "pos", "s", "ranks", "run", "less"])
+
+    for b in batches:
+        g = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s == e:
+                continue
+            if held and at != int(g[s]):
+                yield gene(False)
+                held, first = [], False
+            at = int(g[s])
+            held.append(b.slice(s, e - s))
+    if held:
+        yield gene(True)
+
+
 def rank_sums(d: Dataset, groups: DataFrame, only: str | None = None) -> DataFrame:
     """One-against-rest Wilcoxon of every gene and group: group, gene_id, z, pval, padj, lfc, pct_in, pct_out.
 
     groups: cell_id, group.  only: the one group to test.  Ranks are average ranks over all cells: stored
     values rank among themselves above (below) the block of zeros, and a
-    group's cells without a stored value take the block's rank.  Equal values are counted
-    first, so that what is ordered in a gene are its different values.  No tie
-    correction.  lfc: log2 of the ratio of mean expm1 values.
+    group's cells without a stored value take the block's rank.  Values are dealt out by ranges of gene, value and cell, so a
+    gene that all cells have, or a value that most have, is ranked by many tasks; ranks within a partition are moved up by the sizes of those before.
+    No tie correction.  lfc: log2 of the ratio of mean expm1 values.
     """
     n = groups.groupBy("group").agg(F.count("*").alias("ng"))
     cells = groups.agg(F.count("*").alias("n"))
-    counted = d.x.join(groups, "cell_id").groupBy("gene_id", "value", "group").agg(F.count("*").alias("m"))
-    # all groups of one value of a gene in a row
-    values = counted.groupBy("gene_id", "value").agg(F.sum("m").alias("t"), F.collect_list(F.struct("group", "m")).alias("by"))
+    rows = stored(d.x.join(groups, "cell_id").select("gene_id", F.col("value").cast("double").alias("value"), F.col("group").cast("string").alias("group"), "cell_id"), "values")
+    order = rows.repartitionByRange("gene_id", "value", "cell_id").sortWithinPartitions("gene_id", "value").select("gene_id", "value", "group")
+    own = order.mapInArrow(_ranked_within, _RANKED)
     gene = Window.partitionBy("gene_id")
-    placed = values.select(
-        "gene_id", "value", "by", F.sum("t").over(gene).alias("nnz"), F.sum(F.when(F.col("value") < 0, F.col("t")).otherwise(0)).over(gene).alias("neg"),
-        (F.sum("t").over(gene.orderBy("value")) - (F.col("t") - 1) / 2.0).alias("r"),
-    ).join(F.broadcast(cells)).select("gene_id", "value", "nnz", "neg", F.when(F.col("value") > 0, F.col("r") + F.col("n") - F.col("nnz")).otherwise(F.col("r")).alias("r"), F.explode("by").alias("b"))
+    before = F.coalesce(F.sum("m").over(gene.orderBy("part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = Window.partitionBy("gene_id", "run")
+    tied = F.min(F.col("before") + F.col("less")).over(same) + (F.sum("m").over(same) + 1) / 2.0
+    placed = own.withColumn("before", before).withColumn("r", F.when(F.col("run").isNull(), F.col("ranks") + F.col("before") * F.col("m")).otherwise(F.col("m") * tied))
     # the log ratio wants the mean of the values before log1p
-    part = placed.groupBy("gene_id", F.col("b.group").alias("group")).agg(F.sum(F.col("r") * F.col("b.m")).alias("rs"), F.sum("b.m").alias("nz"), F.sum(F.col("value") * F.col("b.m")).alias("s"), F.first("nnz").alias("nnz"), F.first("neg").alias("neg"))
-    total = part.groupBy("gene_id").agg(F.first("nnz").alias("nnz"), F.first("neg").alias("neg"), F.sum("s").alias("ts"))
+    sums = placed.groupBy("gene_id", "group").agg(F.sum("r").alias("rs"), F.sum("m").alias("nz"), F.sum("s").alias("s"), F.sum("neg").alias("_neg"), F.sum("pos").alias("pos"))
+    sums = sums.withColumns({"nnz": F.sum("nz").over(gene), "neg": F.sum("_neg").over(gene), "ts": F.sum("s").over(gene)}).join(F.broadcast(cells))  # cells is one row
+    part = stored(sums.select("gene_id", "group", (F.col("rs") + F.col("pos") * (F.col("n") - F.col("nnz"))).alias("rs"), "nz", "s", "nnz", "neg", "ts"), "ranks")
+    total = part.groupBy("gene_id").agg(F.first("nnz").alias("nnz"), F.first("neg").alias("neg"), F.first("ts").alias("ts"))
     if only is not None:
         n, part = n.filter(F.col("group") == only), part.filter(F.col("group") == only)
     grid = d.var.select("gene_id").join(F.broadcast(n.join(cells)))  # groups are few

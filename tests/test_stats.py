@@ -106,3 +106,40 @@ def test_merge_inner_and_outer(spark):
 @pytest.mark.parametrize(("name", "label"), [("SampleA_raw_matrix.mtx.gz", "SampleA"), ("S1_cellbender_filter_matrix", "S1"), ("Donor3_unfiltered_matrix", "Donor3"), ("matrix", "matrix")])
 def test_labels_of_files(name, label):
     assert I.clean_label(name) == label
+
+
+@pytest.mark.parametrize("digits", [None, 0])
+def test_ranks_of_one_gene_in_all_cells(spark, digits):
+    """One gene in all of 200,000 cells, with all values unlike or a few that most cells share: no task has more than twice the median."""
+    rng = np.random.default_rng(6)
+    n = 200_000
+    v = rng.normal(0.3, 1, n) if digits is None else np.round(rng.normal(0.3, 0.6, n), digits)
+    group = np.where(rng.random(n) < 0.3, "a", "b")
+    import pandas as pd
+
+    frame = pd.DataFrame({"cell_id": np.arange(n), "gene_id": 0, "value": v})
+    few = pd.DataFrame({"cell_id": [0, 1, 2], "gene_id": [1, 1, 2], "value": [2.0, 2.0, -1.0]})
+    x = spark.createDataFrame(pd.concat([frame, few])).filter("value <> 0")
+    d = Dataset(spark.range(n).withColumnRenamed("id", "cell_id"), spark.range(4).withColumnRenamed("id", "gene_id"), x)
+    groups = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(n), "group": group}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    seen = []
+    plain = S._ranked_within
+    try:
+        got = {(r["group"], r["gene_id"]): r for r in S.rank_sums(d, groups).collect()}
+        rows = x.join(groups, "cell_id").repartitionByRange("gene_id", "value", "cell_id").sortWithinPartitions("gene_id", "value").select("gene_id", "value", "group")
+        seen = [r["n"] for r in rows.mapInArrow(plain, S._RANKED).groupBy("part").agg(F.sum("m").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen) == 16 and max(seen) <= 2 * np.median(seen)
+    dense = np.zeros((3, n))
+    dense[0] = v
+    dense[1, :2], dense[2, 2] = 2.0, -1.0
+    for g in range(3):
+        order = pd.Series(dense[g]).rank(method="average").to_numpy()
+        for name in "ab":
+            m = (group == name).sum()
+            z = (order[group == name].sum() - m * (n + 1) / 2) / np.sqrt(m * (n - m) * (n + 1) / 12)
+            assert abs(got[name, g]["z"] - z) < 1e-6 * max(1, abs(z)), (g, name)
