@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cytolake.functions.stem import STOP_WORDS, stem
-from cytolake.sources.tables import shared_folder
+from cytolake.sources.tables import shared_folder, stored
 
 # Fixed values of the rank: the weight of a word without a label, and the sum of 1/n² over all n.
 WEIGHT, LIMIT = 0.1, 1.64493406685
@@ -25,7 +26,7 @@ def words(text: Column) -> Column:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk and its text as rows of its words and how often each is there: a chunk is a row, so nothing has to move for that."""
-    for b in batches:
+    for b in _pieces(batches):
         lists = pc.split_pattern_regex(pc.utf8_lower(b.column(1).fill_null("")), "[^a-z0-9]+")
         words_ = lists.flatten()
         coded = words_.dictionary_encode()
@@ -35,6 +36,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(part["row"]), coded.dictionary.take(part["code"]), part["count_all"].cast(pa.int64())], names=["chunk", "word", "n"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about `size` bytes of text (a longer text is one by itself)."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def postings(chunks: DataFrame, chunk: str = "chunk_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """term, chunk, tf: how often each chunk has each stem; stop words are left out.  Null and empty texts have none.
 
@@ -114,17 +126,19 @@ def _latest(spark: SparkSession, path: str, before: int | None = None) -> DataFr
 def ingest(pages: DataFrame, path: str, version: int, *, chunked: Callable[[Column], Column], embed=None) -> None:
     """Take in `pages` (page_id, text) as `version`: pages whose text is as it was are not chunked, embedded or written again.
 
-    A page that comes twice counts once, by its largest hash; a null text takes the page away.  Chunks are written before the pages that
+    A page that comes twice counts once, by its largest hash; a null text takes the page away (unless it comes with a text too); rows without page_id are left out.  Chunks are written before the pages that
     name them, and a version that is done again writes the same folders: after a failure nothing is there twice.
     """
     from cytolake.sources.datasets import embedded
 
     spark = pages.sparkSession
-    seen = pages.select("page_id", "text", F.sha2("text", 256).alias("hash"))
-    once = seen.withColumn("_i", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc_nulls_last("hash")))).filter("_i = 1").drop("_i")
-    known = _latest(spark, path, version).select(F.col("page_id").alias("_page"), F.col("hash").alias("_old"))
-    changed = once.join(known, F.col("page_id").eqNullSafe(F.col("_page")), "left").filter(~F.col("hash").eqNullSafe(F.col("_old")))
-    chunks = changed.filter("text is not null").select("page_id", F.posexplode(chunked(F.col("text"))).alias("chunk_idx", "content"))
+    seen = pages.filter("page_id is not null").select("page_id", "text", F.sha2("text", 256).alias("hash"))
+    # what has changed is found by hashes alone and written, so that its size is known when texts are looked up: few changes are broadcast, and no text moves
+    once = seen.groupBy("page_id").agg(F.max("hash").alias("hash"))
+    known = _latest(spark, path, version).select("page_id", F.col("hash").alias("_old"))
+    changed = stored(once.join(known, "page_id", "left").filter(~F.col("hash").eqNullSafe(F.col("_old"))).select("page_id", "hash"), "changed")
+    texts = seen.join(changed.filter("hash is not null"), ["page_id", "hash"]).groupBy("page_id", "hash").agg(F.first("text").alias("text"))
+    chunks = texts.select("page_id", F.posexplode(chunked(F.col("text"))).alias("chunk_idx", "content"))
     if embed is not None:
         chunks = embedded(chunks, "content", embed)
     chunks.withColumn("_v", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{path}/chunks/version={version}")
