@@ -1,16 +1,19 @@
-"""Main text of web pages by tag-path ratios.
+"""Main text of web pages by tag-path ratios, learned over all pages of a table.
 
 A page is read as blocks of text, each with its root-to-leaf tag path (tags with
 their class, id and role names).  Four things decide which paths are content:
 
-1. Ratios: text length, punctuation and link text are summed over all blocks of a path,
-   and per block give a length ratio log(1 + length), a punctuation ratio
-   1 + log(1 + marks) and a link share.
+1. Ratios: text length and punctuation are summed per path over the pages of a site, and over all pages.
+   Per page that has the path they give a length ratio log(1 + length) and a punctuation ratio
+   1 + log(1 + marks); what a site has of a path counts together with `PRIOR` pages of what all sites have of
+   it, that with `PRIOR` pages of what its tags and names let expect (`EXPECTED`).  So names decide where
+   nothing else is known, as for a page on its own, and mean nothing for a path of many pages.
+   The share of text in links is the page's own.
 2. Smoothing: a path's own ratio with that of all text below its parent and
    its grandparent, as weighted in `SMOOTH` (within a node by text; the body and what is above it don't count).
    So a heading or a short list goes with the paragraphs next to it.
 3. Fusing: the smoothed ratios and the share of text that isn't links are
-   multiplied, with a weight for what the path's tags and names say (`BOOST` inside of an
+   multiplied; tags and names move the product by a third at most (`BOOST` inside of an
    article or main element, `CUT` for navigation, adverts, comments and the like).
 4. Threshold: paths with at least `THRESHOLD` of the page's best score are content.
 
@@ -19,17 +22,19 @@ The text is the blocks of the content paths, in page order.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._spark import small_batches
+from cytolake.llm._spark import small_batches, written
 
 # HTML elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +60,12 @@ NAME_WORD = re.compile(r"[a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 
 #: Weights of what tags and names say, and the share of the best score that makes a path content.
-BOOST, CUT, THRESHOLD = 1.5, 0.05, 0.25
+BOOST, CUT, THRESHOLD = 4 / 3, 2 / 3, 0.3
+#: Pages that an expectation counts as, and the (length, marks) expected of content and of what isn't.
+PRIOR, EXPECTED = 4, {True: (1000.0, 20.0), False: (0.0, 0.0)}
+#: Paths of sites that are broadcast at most (8 MB); more are joined.
+MOST_PATHS = 1 << 17
+SUMS = ("n", "size", "marks", "all_n", "all_size", "all_marks")
 SMOOTH = (0.4, 0.2, 0.4)  # own, parent, grandparent
 P_SCOPE = frozenset("body article main section div td th li blockquote dd figure header footer aside nav form".split())
 
@@ -63,16 +73,17 @@ P_SCOPE = frozenset("body article main section div td th li blockquote dd figure
 class Path:
     """A node of the page's tree of tag paths, and the sums over the blocks that end in it."""
 
-    __slots__ = ("above", "boosted", "children", "cut", "label", "linked", "marks", "n", "parent", "size")
+    __slots__ = ("above", "boosted", "children", "cut", "key", "linked", "marks", "parent", "size")
 
     def __init__(self, parent: Path | None, label: str, tag: str, names: set[str]):
-        self.parent, self.label, self.children = parent, label, {}
+        self.parent, self.children = parent, {}
+        self.key = hashlib.blake2b((parent.key if parent else b"") + label.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         inside = parent is not None and parent.boosted
         self.boosted = inside or tag in CONTAINERS or "main" in names
         own = tag in PAGE_PARTS and not (inside and tag == "header") or bool(names & NAMED) and tag not in ("body", "html", *CONTAINERS) or not inside and bool(names & PAGE_NAMED)
         self.cut = own or (parent is not None and parent.cut)
         self.above = tag in ("", "html", "body")
-        self.n = self.size = self.marks = self.linked = 0
+        self.size = self.marks = self.linked = 0
 
     def child(self, tag: str, attributes: str) -> Path:
         names = {w for m in ATTRIBUTE.finditer(attributes) for w in NAME_WORD.findall((m[2] or m[3] or m[4] or "").lower())} if "=" in attributes else set()
@@ -81,8 +92,13 @@ class Path:
             self.children[label] = Path(self, label, tag, names)
         return self.children[label]
 
-    def __str__(self) -> str:
-        return f"{self.parent}/{self.label}" if self.parent else ""
+    def at(self, site: str) -> int:
+        """Name of the path on a site, in 64 bits."""
+        return _long(hashlib.blake2b(site.encode("utf-8", "surrogatepass") + b"\0" + self.key, digest_size=8).digest())
+
+
+def _long(key: bytes) -> int:
+    return int.from_bytes(key, "little", signed=True)
 
 
 class _Element:
@@ -113,7 +129,7 @@ def blocks(page: str) -> list[tuple[Path, str]]:
             words = " ".join("".join(text).split())
             if words:
                 p = where.block.path
-                p.n, p.size, p.marks, p.linked = p.n + 1, p.size + len(words), p.marks + len(PUNCTUATION.findall(words)), p.linked + min(linked, len(words))
+                p.size, p.marks, p.linked = p.size + len(words), p.marks + len(PUNCTUATION.findall(words)), p.linked + min(linked, len(words))
                 out.append((p, words))
         text, linked = [], 0
 
@@ -189,10 +205,24 @@ def blocks(page: str) -> list[tuple[Path, str]]:
     return out
 
 
-def scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
-    """The smoothed and fused score of every path that has blocks."""
+Learned = Callable[[Path], "tuple[float, ...] | None"]
+
+
+def scores(found: list[tuple[Path, str]], learned: Learned | None = None) -> dict[Path, float]:
+    """The smoothed and fused score of every path that has blocks; `learned` has the SUMS of a path, without it the page is all there is."""
     paths = list(dict.fromkeys(p for p, _ in found))
-    raw = {p: (math.log1p(p.size / p.n), 1 + math.log1p(p.marks / p.n), p.linked / p.size) for p in paths}
+
+    def means(p: Path) -> tuple[float, float]:
+        n, size, marks, all_n, all_size, all_marks = (learned and learned(p)) or (1, p.size, p.marks) * 2
+        if p.cut or p.boosted:
+            expected = EXPECTED[not p.cut]
+            all_n, all_size, all_marks = all_n + PRIOR, all_size + PRIOR * expected[0], all_marks + PRIOR * expected[1]
+        return (size + PRIOR * all_size / all_n) / (n + PRIOR), (marks + PRIOR * all_marks / all_n) / (n + PRIOR)
+
+    raw = {}
+    for p in paths:
+        size, marks = means(p)
+        raw[p] = (math.log1p(size), 1 + math.log1p(marks), p.linked / p.size)
     below: dict[Path, list[float]] = {}  # text, and ratios times text, below a node
     for p in paths:
         node = p
@@ -217,29 +247,80 @@ def scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
     return {p: smoothed(p, 0) * smoothed(p, 1) * (1 - smoothed(p, 2)) * (BOOST if p.boosted else 1.0) * (CUT if p.cut else 1.0) for p in paths}
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, learned: Learned | None = None) -> str:
     """The blocks of the content paths, joined by newlines; empty if there is none."""
     found = blocks(page or "")
-    score = scores(found)
+    score = scores(found, learned)
     if all(p.cut for p in score):
         return ""  # a page of nothing but navigation, notices and the like
     least = THRESHOLD * max(score.values())
     return "\n".join(t for p, t in found if score[p] > 0 and score[p] >= least)
 
 
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def _sums(rows: DataFrame) -> DataFrame:
+    """key (a path on a site) and its SUMS: of the site's pages and of all pages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[int, int], list[int]] = {}
+            for site, page in zip(b.column("site"), b.column("html")):
+                for p in dict.fromkeys(p for p, _ in blocks(page.as_py() or "")):
+                    s = sums.setdefault((p.at(site.as_py()), _long(p.key)), [0, 0, 0])
+                    s[0], s[1], s[2] = s[0] + 1, s[1] + p.size, s[2] + p.marks
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("key", "path", "n", "size", "marks"), zip(*((*k, *v) for k, v in sums.items())) if sums else [[]] * 5)})
+
+    of_site = rows.select("site", "html").mapInArrow(count, "key long, path long, n long, size long, marks long").groupBy("key", "path").agg(*(F.sum(c).alias(c) for c in SUMS[:3]))
+    of_site = written(of_site, "paths")
+    of_all = of_site.groupBy("path").agg(*(F.sum(c).alias(f"all_{c}") for c in SUMS[:3]))
+    salted = of_site.withColumn("salt", F.pmod("key", F.lit(16)).cast("int"))  # a path may be that of most sites
+    return written(salted.join(of_all.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["path", "salt"]).select("key", *SUMS), "path_sums")
+
+
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", most_paths: int = MOST_PATHS) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row; a null or empty page has an empty text.
 
-    Pages are worked on one by one as they are read; nothing is shuffled.  Rows
-    that repeat give rows that repeat; other columns are left out.
+    Pages are read twice: for the sums of their paths, then for the text.  Sums of up to `most_paths` paths of
+    sites are broadcast; if there are more, those of a page are joined to it by its content.
+    Pages without url are those of one site.  Pages of any length are read whole; a task holds a few of them.
+    Rows that repeat give rows that repeat, and count as often; other columns are left out.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
+    site = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), site.alias("site"))
+    sums = _sums(rows)
+    out = f"page_id {dict(rows.dtypes)['page_id']}, url {dict(rows.dtypes)['url']}, text string, n_chars long"
+
+    def batch(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    if sums.count() <= most_paths:
+        found = sums.toArrow().sort_by("key")
+        known = pages.sparkSession.sparkContext.broadcast((found["key"].to_numpy(), np.stack([found[c].to_numpy() for c in SUMS], 1)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, values = known.value
+            for b in batches:
+                yield batch(b, [main_text(x.as_py(), lambda p, s=s.as_py(): tuple(values[np.searchsorted(keys, p.at(s))].tolist())) for x, s in zip(b.column("html"), b.column("site"))])
+
+        return rows.mapInArrow(run, out)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = {(h, g, p.at(s)) for h, g, s, page in zip(*(b.column(c).to_pylist() for c in ("h", "g", "site", "html"))) for p, _ in blocks(page or "")}
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("h", "g", "key"), zip(*each) if each else [[]] * 3)})
+
+    rows = rows.withColumns({"h": F.xxhash64("site", "html"), "g": F.xxhash64("html", "site", F.lit(1))})
+    needed = rows.select("h", "g", "site", "html").mapInArrow(named, "h long, g long, key long").distinct().withColumn("salt", F.pmod("h", F.lit(16)).cast("int"))
+    salts = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    lists = needed.join(salts, ["key", "salt"]).groupBy("h", "g").agg(F.collect_list(F.struct("key", *SUMS)).alias("sums"))  # the paths of one page
+    joined = rows.join(lists, ["h", "g"], "left").select("page_id", "url", "html", "site", "sums")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts = []
+            for x, s, own in zip(b.column("html"), b.column("site"), b.column("sums")):
+                by = {r["key"]: tuple(r[c] for c in SUMS) for r in own.as_py() or ()}
+                texts.append(main_text(x.as_py(), lambda p, s=s.as_py(), by=by: by[p.at(s)]))
+            yield batch(b, texts)
 
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return joined.mapInArrow(run_joined, out)

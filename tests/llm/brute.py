@@ -205,40 +205,71 @@ class _Reader(HTMLParser):
             self.linked += len(data.strip())
 
 
-def main_text(page, boost, cut, threshold, smooth):
-    """By the definition, a block's ratios computed from all blocks of its path each time."""
-    reader = _Reader()
-    reader.feed(page)
-    reader.close()
-    reader.flush()
-    found = reader.blocks
-
-    def ratio(path, i):
-        own = [b for b in found if b[0] == path]
-        if i == 2:
-            return sum(b[2] for b in own) / sum(len(b[1]) for b in own)
-        n = sum(len(b[1]) if i == 0 else len(re.findall("[.,;:!?…。、]", b[1])) for b in own)
-        return math.log1p(n / len(own)) if i == 0 else 1 + math.log1p(n / len(own))
-
-    def score(path):
-        out = []
-        for i in range(3):
-            total, weight = smooth[0] * ratio(path, i), smooth[0]
-            for up, w in enumerate(smooth[1:], 1):
-                node = path[:-up]
-                if len(node) < 1 or node[-1][0] in ("html", "body"):
-                    break
-                near = [b for b in found if b[0][: len(node)] == node and len(b[0]) <= len(node) + len(smooth) and b[0] != node]
-                size = sum(len(b[1]) for b in near)
-                total, weight = total + w * sum(ratio(b[0], i) * len(b[1]) for b in near) / size, weight + w
-            out.append(total / weight)
-        inside = [k for k, (t, names) in enumerate(path) if t in ("article", "main") or "main" in names]
-        bad = any((t in CUT_TAGS and not (t == "header" and inside and inside[0] < k)) or (names & CUT_NAMES and t not in ("article", "main")) for k, (t, names) in enumerate(path))
-        return out[0] * out[1] * (1 - out[2]) * (boost if inside else 1.0) * (cut if bad else 1.0), bad
-
-    every = {b[0]: score(b[0]) for b in found}
-    if all(bad for _, bad in every.values()):
-        return ""
-    every = {p: s for p, (s, _) in every.items()}
-    least = threshold * max(every.values())
-    return "\n".join(b[1] for b in found if every[b[0]] > 0 and every[b[0]] >= least)
+def main_texts(pages, boost, cut, threshold, smooth, prior, expected):
+    """Texts of (site, html) by the definition, ratios computed from all blocks of all pages each time."""
+    read = []
+    for site, page in pages:
+        reader = _Reader()
+        reader.feed(page)
+        reader.close()
+        reader.flush()
+        read.append((site, reader.blocks))
+
+    by_path = {}
+    for site, found in read:
+        for path in {b[0] for b in found}:
+            own = [b for b in found if b[0] == path]
+            by_path.setdefault(path, []).append((site, sum(len(b[1]) for b in own), sum(len(re.findall("[.,;:!?…。、]", b[1])) for b in own)))
+    kinds = {}
+
+    def kind(path):
+        if path not in kinds:
+            inside = [k for k, (t, names) in enumerate(path) if t in ("article", "main") or "main" in names]
+            bad = any((t in CUT_TAGS and not (t == "header" and inside and inside[0] < k)) or (names & CUT_NAMES and t not in ("article", "main")) for k, (t, names) in enumerate(path))
+            kinds[path] = bool(inside), bad
+        return kinds[path]
+
+    means = {}
+
+    def mean(site, path, i):
+        """Length (0) or marks (1) of a page: the site's, with `prior` pages of all sites', with `prior` pages of what names say."""
+        if (site, path, i) not in means:
+            every = [x[i + 1] for x in by_path[path]]
+            own = [x[i + 1] for x in by_path[path] if x[0] == site]
+            inside, bad = kind(path)
+            if bad or inside:
+                all_mean = (sum(every) + prior * expected[not bad][i]) / (len(every) + prior)
+            else:
+                all_mean = sum(every) / len(every)
+            means[site, path, i] = (sum(own) + prior * all_mean) / (len(own) + prior)
+        return means[site, path, i]
+
+    def text(site, found):
+        def ratio(path, i):
+            if i == 2:
+                own = [b for b in found if b[0] == path]
+                return sum(b[2] for b in own) / sum(len(b[1]) for b in own)
+            return i + math.log1p(mean(site, path, i))
+
+        def score(path):
+            out = []
+            for i in range(3):
+                total, weight = smooth[0] * ratio(path, i), smooth[0]
+                for up, w in enumerate(smooth[1:], 1):
+                    node = path[:-up]
+                    if len(node) < 1 or node[-1][0] in ("html", "body"):
+                        break
+                    near = [b for b in found if b[0][: len(node)] == node and len(b[0]) <= len(node) + len(smooth) and b[0] != node]
+                    size = sum(len(b[1]) for b in near)
+                    total, weight = total + w * sum(ratio(b[0], i) * len(b[1]) for b in near) / size, weight + w
+                out.append(total / weight)
+            inside, bad = kind(path)
+            return out[0] * out[1] * (1 - out[2]) * (boost if inside else 1.0) * (cut if bad else 1.0)
+
+        every = {path: score(path) for path in dict.fromkeys(b[0] for b in found)}
+        if all(kind(path)[1] for path in every):
+            return ""
+        least = threshold * max(every.values())
+        return "\n".join(b[1] for b in found if every[b[0]] > 0 and every[b[0]] >= least)
+
+    return [text(site, found) for site, found in read]

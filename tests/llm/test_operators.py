@@ -244,11 +244,34 @@ def test_html_paths_decide_without_containers_or_names():
     assert "long block" not in html.main_text(page.replace("<table>", extra % "notice" + "<table>")) and "long block" in html.main_text(page.replace("<table>", extra % "body" + "<table>"))
 
 
-def test_html_by_brute_force(spark):
-    rows = spark.read.parquet(f"{SF}/pages.parquet").select("html").toPandas()["html"].tolist()
-    rows += [PAGE.replace("{}", f"<div class=content><h1>T</h1>{'<p>A sentence, of words.</p>' * n}</div><section class=comments><p>Nice, very nice indeed.</p></section>") for n in (0, 1, 5)]
-    for page in rows:
-        assert html.main_text(page) == brute.main_text(page, html.BOOST, html.CUT, html.THRESHOLD, html.SMOOTH)
+HTML = ("BOOST", "CUT", "THRESHOLD", "SMOOTH", "PRIOR", "EXPECTED")
+
+
+@pytest.mark.parametrize("most_paths", [1 << 17, 0])
+def test_html_by_brute_force(spark, most_paths):
+    """Sums are broadcast, or joined to each page: the same texts."""
+    given = [(r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("url", "html").collect()]
+    given += [(None, PAGE.replace("{}", f"<div class=content><h1>T</h1>{'<p>A sentence, of words.</p>' * n}</div><section class=comments><p>Nice, very nice indeed.</p></section>")) for n in (0, 1, 5)] + given[:3]
+    site = [(u or "").partition("://")[2].partition("/")[0].partition("?")[0].partition("#")[0].lower() for u, _ in given]
+    expected = brute.main_texts([(s, h) for s, (_, h) in zip(site, given)], *(getattr(html, x) for x in HTML))
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages, most_paths=most_paths).collect()}
+    assert got == dict(enumerate(expected))
+    for page in [h for _, h in given[-8:]]:
+        assert html.main_text(page) == brute.main_texts([("", page)], *(getattr(html, x) for x in HTML))[0]
+
+
+def test_html_pages_of_a_site_decide_against_names(spark):
+    """What many pages have is told by its text: an unnamed notice, menu and imprint go, parts of an article under misleading names stay."""
+    prose = "".join(f"<p>Here is sentence {i}, which goes on for a while. And another one follows, with marks, as usual.</p>" for i in range(8))
+    related = "".join(f"<p>Earlier work {i} is told of here, at length. It has sentences, and they have marks, like all others.</p>" for i in range(6))
+    page = "<body><div><p>We use cookies. Accept all of them.</p></div><div><span>Home</span> <span>About</span></div><div class=x1><div><h1>Title %d</h1>" + prose + "<div class=related-work>" + related + "</div></div></div><section><p>Printed in Town.</p></section></body>"
+    rows = [(i, f"https://Site.example/{i}?q=1", page % i) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i, text in got.items():
+        assert text.startswith(f"Title {i}\nHere is sentence 0") and "Earlier work 0" in text and text.endswith("like all others."), text[-200:]
+    # alone, little text under a telling name stays out
+    assert "Earlier" not in html.main_text((page % 0).replace(related, "<p>Earlier work.</p>"))
 
 
 def test_html_deep_and_long_pages():
