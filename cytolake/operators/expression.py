@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.model import Dataset
+from cytolake.operators.quantiles import quantiles
 
 
 def gene_list(text: str) -> list[str]:
@@ -35,8 +36,8 @@ def one_gene(d: Dataset, gene: str) -> DataFrame:
 def violin(values: DataFrame, group: str) -> DataFrame:
     """group, ordinal (by first appearance), n, mean, min, q1, median, q3, max of `value`."""
     out = values.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(
-        F.min("cell_id").alias("_f"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.percentile("value", [0.25, 0.5, 0.75]).alias("q"), F.max("value").alias("max")
-    )
+        F.min("cell_id").alias("_f"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+    ).join(quantiles(values, group, "value", [0.25, 0.5, 0.75]).withColumnRenamed(group, "group"), "group", "left")
     order = F.row_number().over(Window.partitionBy().orderBy("_f")) - 1  # a row a group
     return out.select("group", order.cast("int").alias("ordinal"), "n", "mean", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.model import Dataset
+from cytolake.operators.quantiles import quantiles
 
 
 def cell_qc(d: Dataset) -> DataFrame:
@@ -28,8 +29,7 @@ def percentiles(frame: DataFrame, metrics: list[str]) -> DataFrame:
     """metric, n, min, q1, median, q3, max, mean; what isn't finite is left out."""
     long = frame.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("s")).select("s.*")
     finite = long.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    out = finite.groupBy("metric").agg(F.count("*").alias("n"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    out = finite.groupBy("metric").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean")).join(quantiles(finite, "metric", "v", [0.25, 0.5, 0.75]), "metric")
     return out.select("metric", "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "mean")
 
 
