@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, a mixed training set out, in five stages that are written one by one.
 
 quality rules -> n-gram Jaccard join -> benchmark decontamination -> secret
-scan -> source mixing.  Each stage works on all that the stage before kept;
+scan -> source mixing.  Each stage works on all that the stage before kept, and first lets go of that one's plans and shuffles;
 all but the last return the columns of documents.  Rows with the same doc_id are documents of
 their own; null texts are empty, and an empty table stays empty.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytolake.llm import decontaminate, jaccard, mixing, quality, secrets, suffix
-from cytolake.llm._spark import table, written
+from cytolake.llm._spark import released, table, written
 from cytolake.llm.queries import WEIGHTS, domain_of
 
 
@@ -36,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows whose id isn't in a bit table of the ids that go or repeat stay where
     they are; only the others meet the decisions in a join.
     """
+    released(spark)
     rows = written(jaccard.join(docs, k=5, percent=80, nodes=True), "groups").filter("doc_id is not null and n_shingles > 0")
     each = rows.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
     stays = each.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("root", F.col("m.doc_id").alias("least_id"), F.col("m.node").alias("least"))
@@ -65,16 +66,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a contaminating share of benchmark windows."""
+    released(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by [SECRET] and n_chars counted anew."""
+    released(spark)
     return secrets.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The readings (doc_id, domain, lang, source, epoch, n_tokens) that meet the target weights."""
+    released(spark)
     return mixing.mix(docs, domain_of(), WEIGHTS, budget_share=1.0, max_epochs=4, seed=17)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,12 @@ def dropped(df: DataFrame, part: str = "") -> None:
             path.getFileSystem(conf).delete(path, False)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of finished plans on the driver: Spark deletes shuffle files and broadcasts once nothing refers to them, and the heap shrinks."""
+    gc.collect()  # Python's references to plans first
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
