@@ -143,40 +143,69 @@ def chained(rows: DataFrame, gap: timedelta) -> DataFrame:
 
 
 @contextmanager
-def _rocks(spark: SparkSession):
-    """State in RocksDB, as timers need, while a query starts and runs."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+def _rocks(spark: SparkSession, last: bool = True):
+    """State in RocksDB, as timers need, while a query starts and runs; unless it is the last run, what the watermark lets go waits for the next run's rows."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    if not last:
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _arriving(events: DataFrame, chunk: Column, chunks: int, ts: str) -> Iterator[DataFrame]:
+    """`events` by whole-number `chunk` from 0, and in the end a row of END."""
+    cut = events.withColumn("_chunk", chunk)
+    for i in range(chunks):
+        yield cut.filter(F.col("_chunk") == i).drop("_chunk")
+    yield events.sparkSession.range(1).select(*(F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields))
 
 
 def arrivals(events: DataFrame, chunk: Column, chunks: int, ts: str = "ts") -> tuple[str, StructType]:
     """A folder that `events` arrive in, by whole-number `chunk` from 0, and in the end a row of END; and the schema of its files."""
     folder = f"{shared_folder(events.sparkSession)}/arrivals-{uuid.uuid4().hex}"
-    cut = events.withColumn("_chunk", chunk)
-    for i in range(chunks):  # files are taken by age
-        cut.filter(F.col("_chunk") == i).drop("_chunk").write.mode("append").parquet(folder)
-    end = events.sparkSession.range(1).select(*(F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields))
-    end.write.mode("append").parquet(folder)
+    for part in _arriving(events, chunk, chunks, ts):  # files are taken by age
+        part.write.mode("append").parquet(folder)
     return folder, events.schema
 
 
+def _catch_up(made: DataFrame, out: str) -> None:
+    query = made.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def run(spark: SparkSession, folder: str, schema: StructType, plan, files: int = 8) -> DataFrame:
     """All that `plan` (from a stream of the folder's rows to what is appended) has given out when the stream has caught up, as a table in the shared folder.
 
-    The sink commits by batch, so a batch that is done again after a failure counts once.
+    The sink commits by batch, so a batch that is done again after a failure counts once.  A batch moves the watermark for the
+    files after it, so events must come in time by files, not only by what was written together: `run_chunks` is for those.
     """
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     with _rocks(spark):
-        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-        made = plan(source)
-        query = made.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        made = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder))
+        _catch_up(made, out)
+    return spark.read.schema(made.schema).parquet(f"{out}/rows")
+
+
+def run_chunks(events: DataFrame, chunk: Column, chunks: int, plan, ts: str = "ts") -> DataFrame:
+    """As `run`, of events that arrive as `arrivals` says: the stream catches up with each chunk before the next one comes.
+
+    A chunk is one batch in however many files it was written, so none of its events is late for others of it,
+    and there are two batches (and passes over the state) more than chunks, whatever their size.
+    """
+    spark = events.sparkSession
+    folder, out = (f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("arrivals", "stream"))
+    for i, part in enumerate(_arriving(events, chunk, chunks, ts)):
+        part.write.mode("append").parquet(folder)
+        with _rocks(spark, last=i == chunks):
+            made = plan(spark.readStream.schema(events.schema).parquet(folder))
+            _catch_up(made, out)
     return spark.read.schema(made.schema).parquet(f"{out}/rows")

@@ -2,10 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cytolake import queries
 from cytolake.streaming import sessions as K
+from tests import oracle
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "chunk int, user long, minutes double, id long, value double"
@@ -52,3 +55,22 @@ def test_what_comes_behind_the_watermark_is_dropped(spark):
     out = K.run(spark, folder, schema, lambda s: K.chained(K.keyed(s, F.col("user"), F.col("ts"), F.col("id"), F.col("value"), "10 minutes"), timedelta(hours=2)), 1).collect()
     assert {tuple(r) for r in out} == {(1, 1, None, 0), (1, 2, None, 0), (1, 3, 2, 1), (1, 5, 3, 2)}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != K.ROCKS
+
+
+@pytest.mark.parametrize("name", ["session_expiry", "history_chain", "session_windows"])
+def test_a_chunk_of_many_files_is_one_batch(spark, tmp_path, name):
+    day = F.col("id") % 30
+    ts = F.make_timestamp_ntz(F.lit(2024), F.lit(1), (day + 1).cast("int"), (F.col("id") % 24).cast("int"), (F.col("id") % 59).cast("int"), F.lit(0))
+    events = spark.range(600).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), (F.col("id") % 9).cast("double").alias("value"))
+    # as many files as would be cut into several batches, each with days of its own
+    events.repartitionByRange(30, "ts").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    sizes = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "1k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        oracle.check(spark, con, queries.queries()[name], queries.oracle_sql()[name], str(tmp_path))
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
