@@ -37,11 +37,28 @@ def two_sided_sql(z: str) -> str:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, by: list[str], tie: str, alias: str = "padj") -> DataFrame:
-    """Adjusted p-values within `by`: the least of p m / rank over this and all larger p, at most 1."""
-    m = F.count("*").over(Window.partitionBy(*by))
-    ranked = tests.withColumn("_q", F.col(p) * m / F.row_number().over(Window.partitionBy(*by).orderBy(p, tie)))
-    after = Window.partitionBy(*by).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(alias, F.least(F.lit(1.0), F.min("_q").over(after))).drop("_q")
+    """Adjusted p-values within `by`: the least of p m / rank over this and all larger p, at most 1.
+
+    Tests are dealt out by ranges of `by` and p, so those of one group are ranked by many tasks: ranks in a range are moved
+    up by the sizes of the ranges before, and the least of a range counts for those before it.
+    """
+    dealt = stored(tests.repartitionByRange(*by, p, tie).withColumn("_part", F.spark_partition_id()), "tests")
+    within = [*by, "_part"]
+
+    def joined(rows: DataFrame, parts: DataFrame) -> DataFrame:  # a row a group and range; a group may be null
+        named = parts.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(within)})
+        same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(within)]
+        return rows.join(F.broadcast(named), same).drop(*(f"_by{i}" for i in range(len(within))))
+
+    ranges = Window.partitionBy(*by).orderBy("_part")
+    sizes = dealt.groupBy(*within).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumns({"_m": F.sum("_n").over(Window.partitionBy(*by)), "_before": F.sum("_n").over(ranges) - F.col("_n")}).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*within).orderBy(p, tie)) + F.col("_before")
+    ranked = joined(dealt, sizes).withColumn("_q", F.col(p) * F.col("_m") / rank).drop("_m", "_before")
+    least = ranked.groupBy(*within).agg(F.min("_q").alias("_least"))
+    least = least.withColumn("_later", F.min("_least").over(ranges.rowsBetween(1, Window.unboundedFollowing))).drop("_least")
+    after = Window.partitionBy(*within).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    return joined(ranked.withColumn("_q", F.min("_q").over(after)), least).withColumn(alias, F.least(F.lit(1.0), "_q", "_later")).drop("_q", "_later", "_part")
 
 
 _RANKED = "part int, gene_id long, group string, m long, neg long, pos long, s double, ranks double, run double, less long"
@@ -52,49 +69,50 @@ def _ranked_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     The values at which a partition's first gene begins and its last one ends may go on in the
     partitions beside it: those are given by themselves (run, and how many values are less here).
+    The genes that end in a batch are ranked together, as there may be many of few values.
     """
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
-    at, first = None, True
-
-    def gene(last: bool) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        value, coded = t["value"].to_numpy(), t["group"].combine_chunks().dictionary_encode()
-        code, k = coded.indices.to_numpy(), len(coded.dictionary)
-        starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    first = True
+
+    def genes(rows: list[pa.RecordBatch], last: bool) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        gene, value, coded = t["gene_id"].to_numpy(), t["value"].to_numpy(), t["group"].combine_chunks().dictionary_encode("encode")
+        code, k = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        begins = np.append(True, gene[1:] != gene[:-1])
+        starts = np.flatnonzero(begins | np.append(True, value[1:] != value[:-1]))
         size = np.diff(np.append(starts, len(value)))
-        run = np.repeat(np.arange(len(starts)), size)
+        run, which, own = np.repeat(np.arange(len(starts)), size), np.cumsum(begins) - 1, np.flatnonzero(begins)
+        less = starts - own[which[starts]]
         apart = np.zeros(len(starts), bool)
         apart[0] |= first
         apart[-1] |= last
         inner = ~apart[run]
-        sums = lambda keep, w=None: np.bincount(code[keep], None if w is None else w[keep], minlength=k)
-        rank = starts[run] + (size[run] + 1) / 2.0
-        columns = [[sums(inner), sums(inner & (value < 0)), sums(inner & (value > 0)), sums(inner, value), sums(inner, rank), [None] * k, [None] * k]]
+        keys, at = np.unique((which * k + code)[inner], return_inverse=True)
+        sums = lambda w: np.bincount(at, w[inner], minlength=len(keys))
+        columns = [[gene[own[keys // k]], keys % k, np.bincount(at, minlength=len(keys)), sums(value < 0), sums(value > 0), sums(value), sums(less[run] + (size[run] + 1) / 2.0), np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)]]
         for i in np.flatnonzero(apart):
-            own = run == i
-            v, m = float(value[starts[i]]), sums(own)
-            columns.append([m, m if v < 0 else 0 * m, m if v > 0 else 0 * m, m * v, 0.0 * m, [v] * k, [int(starts[i])] * k])
-        m, neg, pos, s, ranks, runs, less = (np.concatenate([np.asarray(c[j], object if j > 4 else None) for c in columns]) for j in range(7))
-        some, n = np.flatnonzero(m), len(columns)
-        kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()
-        made = [pa.array(x[some].tolist(), kind) for x, kind in zip((m, neg, pos, s, ranks, runs, less), kinds, strict=True)]
-        groups = coded.dictionary.take(pa.array(np.tile(np.arange(k), n)[some]))
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([at] * len(some), pa.int64()), groups, *made], names=["part", "gene_id", "group", "m", "neg", "pos", "s", "ranks", "run", "less"])
+            v, all_ = value[starts[i]], np.bincount(code[run == i], minlength=k)
+            some = np.flatnonzero(all_)
+            m, one = all_[some], np.ones(len(some))
+            columns.append([np.repeat(gene[starts[i]], len(some)), some, m, m * (v < 0), m * (v > 0), m * v, 0.0 * one, v * one, np.repeat(less[i], len(some)), np.zeros(len(some), bool)])
+        *numbers, runs, lower, whole = (np.concatenate(c) for c in zip(*columns, strict=True))
+        at_gene, group, m, neg, pos, s, ranks = numbers
+        whole_numbers = [pa.array(c.astype(np.int64)) for c in (at_gene, m, neg, pos)]
+        made = [pa.array([part] * len(m), pa.int32()), whole_numbers[0], coded.dictionary.take(pa.array(group)), *whole_numbers[1:], pa.array(s), pa.array(ranks), pa.array(runs, mask=whole), pa.array(lower, mask=whole)]
+        return pa.RecordBatch.from_arrays(made, names=["part", "gene_id", "group", "m", "neg", "pos", "s", "ranks", "run", "less"])
 
     for b in batches:
+        if not b.num_rows:
+            continue
         g = b.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), b.num_rows]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if s == e:
-                continue
-            if held and at != int(g[s]):
-                yield gene(False)
-                held, first = [], False
-            at = int(g[s])
-            held.append(b.slice(s, e - s))
+        cut = int(np.searchsorted(g, g[-1]))  # the last gene may go on in the next batch
+        if cut or (held and held[-1].column(0)[-1].as_py() != int(g[0])):
+            yield genes([*held, b.slice(0, cut)], False)
+            held, first = [], False
+        held.append(b.slice(cut))
     if held:
-        yield gene(True)
+        yield genes(held, True)
 
 
 def rank_sums(d: Dataset, groups: DataFrame, only: str | None = None) -> DataFrame:

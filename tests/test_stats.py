@@ -143,3 +143,37 @@ def test_ranks_of_one_gene_in_all_cells(spark, digits):
             m = (group == name).sum()
             z = (order[group == name].sum() - m * (n + 1) / 2) / np.sqrt(m * (n - m) * (n + 1) / 12)
             assert abs(got[name, g]["z"] - z) < 1e-6 * max(1, abs(z)), (g, name)
+
+
+def test_many_genes_of_few_values_are_ranked_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "TaskContext", type("Task", (), {"get": lambda: type("T", (), {"partitionId": lambda self: 3})()}))
+    gene = np.repeat(np.arange(3000), 4)
+    value = np.tile([-1.0, 2.0, 2.0, 5.0], 3000)
+    t = pa.table({"gene_id": gene, "value": value, "group": np.tile(["a", "a", "b", "b"], 3000)})
+    out = list(S._ranked_within(t.to_batches(max_chunksize=4002)))
+    assert len(out) <= 4 and all(b.column("part").to_pylist() == [3] * b.num_rows for b in out)
+    got = {(r["gene_id"], r["group"], r["run"]): r for b in out for r in b.to_pylist()}
+    assert len(got) == sum(b.num_rows for b in out) == 6002
+    assert all((got[j, "a", None]["ranks"], got[j, "b", None]["ranks"], got[j, "a", None]["neg"], got[j, "b", None]["m"]) == (3.5, 6.5, 1, 2) for j in range(1, 2999))
+    assert got[0, "a", -1.0]["less"] == 0 and got[0, "a", None]["ranks"] == 2.5 and got[2999, "b", 5.0]["less"] == 3 and got[2999, "b", None]["ranks"] == 2.5
+
+
+def test_adjusted_p_values_of_a_group_come_from_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(4000), 2)
+    rows = [("a", i, float(v)) for i, v in enumerate(p)] + [(None, i, float(v) / 2) for i, v in enumerate(p[:7])]
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(off, "false")
+    try:
+        out = S.benjamini_hochberg(spark.createDataFrame(rows, "g string, i long, p double"), "p", ["g"], "i")
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(off)
+    for g in ("a", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))
+        q = [r[2] * len(own) / (k + 1) for k, r in enumerate(own)]
+        assert {r["i"]: r["padj"] for r in got if r["g"] == g} == {r[1]: min(1.0, *q[k:]) if q[k:][1:] else min(1.0, q[k]) for k, r in enumerate(own)}
+    tasks = [r["task"] for r in got if r["g"] == "a"]
+    assert len(tasks) == 4000 and len(set(tasks)) > 1
