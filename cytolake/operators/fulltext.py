@@ -17,6 +17,7 @@ from cytolake.sources.tables import shared_folder, stored
 
 # Fixed values of the rank: the weight of a word without a label, and the sum of 1/n² over all n.
 WEIGHT, LIMIT = 0.1, 1.64493406685
+TASK_BYTES = 8 << 20  # of texts whose postings one task joins and adds up
 
 
 def words(text: Column) -> Column:
@@ -51,14 +52,17 @@ def postings(chunks: DataFrame, chunk: str = "chunk_id", text: str = "text", buc
     """term, chunk, tf: how often each chunk has each stem; stop words are left out.  Null and empty texts have none.
 
     Every distinct word is stemmed once.  With `buckets` there is a column bucket too, and the rows lie by bucket (and chunk).
+    There is a task for each TASK_BYTES of text at least, so that what one holds doesn't grow with the texts.
     """
     rows = chunks.select(F.col(chunk).alias("chunk"), F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     counted = rows.mapInArrow(_counted, StructType([rows.schema["chunk"], *StructType.fromDDL("word string, n long").fields]))
     stems = counted.select("word").distinct().withColumn("term", stem(F.col("word")))
-    found = counted.join(stems, "word").select("term", "chunk", "n")
+    found = counted.repartition(tasks, "word").join(stems.repartition(tasks, "word").hint("merge"), "word").select("term", "chunk", "n")  # in order of words, so that what is dealt next compresses
     if buckets is None:
         return found.groupBy("term", "chunk").agg(F.sum("n").alias("tf"))
-    dealt = found.withColumns({"bucket": _bucket(F.col("term"), buckets), "_deal": F.pmod(F.xxhash64("chunk"), F.lit(8))}).repartition("bucket", "_deal")
+    dealt = found.withColumns({"bucket": _bucket(F.col("term"), buckets), "_deal": F.pmod(F.xxhash64("chunk"), F.lit(max(8, -(-2 * tasks // buckets))))}).repartition(tasks, "bucket", "_deal")
     return dealt.groupBy("bucket", "_deal", "term", "chunk").agg(F.sum("n").alias("tf")).select("term", "chunk", "tf", "bucket")
 
 

@@ -122,3 +122,14 @@ def test_pages_are_followed_across_calls(spark, tmp_path):
     follow()
     got = {(r["page_id"], r["chunk_idx"]): r["content"] for r in T.corpus(spark, path).collect()}
     assert got == {(1, 0): "on", (1, 1): "e", (2, 0): "TW", (2, 1): "O", (3, 0): "x"} and len(versions(path, "chunks")) == 2
+
+
+def test_tasks_of_postings_grow_with_the_texts(spark, monkeypatch):
+    """Four shuffle partitions, but texts for thirty: as many tasks, and the same postings."""
+    rows = spark.createDataFrame([(i, " ".join(f"word{chr(97 + (i * j) % 26)}" for j in range(50))) for i in range(200)], "chunk_id long, text string").cache()
+    size = rows.agg(F.sum(F.length("text"))).first()[0]
+    want = sorted(map(tuple, T.postings(rows).collect()))
+    monkeypatch.setattr(T, "TASK_BYTES", -(-size // 30))
+    for buckets in (None, 8):
+        assert sorted((r["term"], r["chunk"], r["tf"]) for r in T.postings(rows, buckets=buckets).collect()) == want
+    assert T.postings(rows, buckets=8).rdd.getNumPartitions() == 30
