@@ -61,14 +61,15 @@ def benjamini_hochberg(tests: DataFrame, p: str, by: list[str], tie: str, alias:
     return joined(ranked.withColumn("_q", F.min("_q").over(after)), least).withColumn(alias, F.least(F.lit(1.0), "_q", "_later")).drop("_q", "_later", "_part")
 
 
-_RANKED = "part int, gene_id long, group string, m long, neg long, pos long, s double, ranks double, run double, less long"
+_RANKED = "part int, gene_id long, group string, m long, neg long, pos long, s double, ranks double, run double, less long, cut boolean, nnz long, all_neg long, ts double"
 
 
 def _ranked_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gene_id, value, group) sorted by gene and value, as rows of _RANKED: per gene and group, what the ranks within this partition sum to.
+    """Rows (gene_id, value, group) sorted by gene, as rows of _RANKED: per gene and group, what the ranks within this partition sum to.
 
     The values at which a partition's first gene begins and its last one ends may go on in the
-    partitions beside it: those are given by themselves (run, and how many values are less here).
+    partitions beside it: those are given by themselves (run, and how many values are less here), and what is given of
+    such a gene is marked (cut); of all others nnz, all_neg and ts are the sums over groups.
     The genes that end in a batch are ranked together, as there may be many of few values.
     """
     part = TaskContext.get().partitionId()
@@ -78,7 +79,9 @@ def _ranked_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def genes(rows: list[pa.RecordBatch], last: bool) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         gene, value, coded = t["gene_id"].to_numpy(), t["value"].to_numpy(), t["group"].combine_chunks().dictionary_encode("encode")
-        code, k = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        order = np.lexsort((value, gene))
+        gene, value = gene[order], value[order]
+        code, k = coded.indices.to_numpy().astype(np.int64)[order], len(coded.dictionary)
         begins = np.append(True, gene[1:] != gene[:-1])
         starts = np.flatnonzero(begins | np.append(True, value[1:] != value[:-1]))
         size = np.diff(np.append(starts, len(value)))
@@ -90,17 +93,20 @@ def _ranked_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         inner = ~apart[run]
         keys, at = np.unique((which * k + code)[inner], return_inverse=True)
         sums = lambda w: np.bincount(at, w[inner], minlength=len(keys))
-        columns = [[gene[own[keys // k]], keys % k, np.bincount(at, minlength=len(keys)), sums(value < 0), sums(value > 0), sums(value), sums(less[run] + (size[run] + 1) / 2.0), np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)]]
+        cut = np.zeros(len(own), bool)
+        cut[0] |= first
+        cut[-1] |= last
+        of_gene = [np.bincount(which, w, minlength=len(own))[keys // k] for w in (None, value < 0, value)]
+        columns = [[gene[own[keys // k]], keys % k, np.bincount(at, minlength=len(keys)), sums(value < 0), sums(value > 0), sums(value), sums(less[run] + (size[run] + 1) / 2.0), np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.ones(len(keys), bool), cut[keys // k], *of_gene]]
         for i in np.flatnonzero(apart):
             v, all_ = value[starts[i]], np.bincount(code[run == i], minlength=k)
             some = np.flatnonzero(all_)
             m, one = all_[some], np.ones(len(some))
-            columns.append([np.repeat(gene[starts[i]], len(some)), some, m, m * (v < 0), m * (v > 0), m * v, 0.0 * one, v * one, np.repeat(less[i], len(some)), np.zeros(len(some), bool)])
-        *numbers, runs, lower, whole = (np.concatenate(c) for c in zip(*columns, strict=True))
-        at_gene, group, m, neg, pos, s, ranks = numbers
+            columns.append([np.repeat(gene[starts[i]], len(some)), some, m, m * (v < 0), m * (v > 0), m * v, 0.0 * one, v * one, np.repeat(less[i], len(some)), np.zeros(len(some), bool), np.ones(len(some), bool), *(0 * m for _ in range(3))])
+        at_gene, group, m, neg, pos, s, ranks, runs, lower, whole, cut, nnz, all_neg, ts = (np.concatenate(c) for c in zip(*columns, strict=True))
         whole_numbers = [pa.array(c.astype(np.int64)) for c in (at_gene, m, neg, pos)]
-        made = [pa.array([part] * len(m), pa.int32()), whole_numbers[0], coded.dictionary.take(pa.array(group)), *whole_numbers[1:], pa.array(s), pa.array(ranks), pa.array(runs, mask=whole), pa.array(lower, mask=whole)]
-        return pa.RecordBatch.from_arrays(made, names=["part", "gene_id", "group", "m", "neg", "pos", "s", "ranks", "run", "less"])
+        made = [pa.array([part] * len(m), pa.int32()), whole_numbers[0], coded.dictionary.take(pa.array(group)), *whole_numbers[1:], pa.array(s), pa.array(ranks), pa.array(runs, mask=whole), pa.array(lower, mask=whole), pa.array(cut), pa.array(nnz.astype(np.int64)), pa.array(all_neg.astype(np.int64)), pa.array(ts.astype(np.float64))]
+        return pa.RecordBatch.from_arrays(made, names=["part", "gene_id", "group", "m", "neg", "pos", "s", "ranks", "run", "less", "cut", "nnz", "all_neg", "ts"])
 
     for b in batches:
         if not b.num_rows:
@@ -121,14 +127,16 @@ def rank_sums(d: Dataset, groups: DataFrame, only: str | None = None) -> DataFra
     groups: cell_id, group.  only: the one group to test.  Ranks are average ranks over all cells: stored
     values rank among themselves above (below) the block of zeros, and a
     group's cells without a stored value take the block's rank.  Values are dealt out by ranges of gene, value and cell, so a
-    gene that all cells have, or a value that most have, is ranked by many tasks; ranks within a partition are moved up by the sizes of those before.
+    gene that all cells have, or a value that most have, is ranked by many tasks; ranks within a partition are moved up by the sizes of those before.  That is only for
+    the genes that a partition begins or ends with: all others are whole in it.
     No tie correction.  lfc: log2 of the ratio of mean expm1 values.
     """
     n = groups.groupBy("group").agg(F.count("*").alias("ng"))
     cells = groups.agg(F.count("*").alias("n"))
     rows = stored(d.x.join(groups, "cell_id").select("gene_id", F.col("value").cast("double").alias("value"), F.col("group").cast("string").alias("group"), "cell_id"), "values")
-    order = rows.repartitionByRange("gene_id", "value", "cell_id").sortWithinPartitions("gene_id", "value").select("gene_id", "value", "group")
-    own = order.mapInArrow(_ranked_within, _RANKED)
+    order = rows.repartitionByRange("gene_id", "value", "cell_id").sortWithinPartitions("gene_id").select("gene_id", "value", "group")
+    ranked = stored(order.mapInArrow(_ranked_within, _RANKED), "ranked")
+    own, inner = ranked.filter("cut"), ranked.filter("not cut")
     gene = Window.partitionBy("gene_id")
     before = F.coalesce(F.sum("m").over(gene.orderBy("part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     same = Window.partitionBy("gene_id", "run")
@@ -137,7 +145,10 @@ def rank_sums(d: Dataset, groups: DataFrame, only: str | None = None) -> DataFra
     # the log ratio wants the mean of the values before log1p
     sums = placed.groupBy("gene_id", "group").agg(F.sum("r").alias("rs"), F.sum("m").alias("nz"), F.sum("s").alias("s"), F.sum("neg").alias("_neg"), F.sum("pos").alias("pos"))
     sums = sums.withColumns({"nnz": F.sum("nz").over(gene), "neg": F.sum("_neg").over(gene), "ts": F.sum("s").over(gene)}).join(F.broadcast(cells))  # cells is one row
-    part = stored(sums.select("gene_id", "group", (F.col("rs") + F.col("pos") * (F.col("n") - F.col("nnz"))).alias("rs"), "nz", "s", "nnz", "neg", "ts"), "ranks")
+    lifted = (F.col("rs") + F.col("pos") * (F.col("n") - F.col("nnz"))).alias("rs")
+    cut = stored(sums.select("gene_id", "group", lifted, "nz", "s", "nnz", "neg", "ts"), "ranks")
+    inner = inner.join(F.broadcast(cells)).withColumnRenamed("ranks", "rs").select("gene_id", "group", lifted, F.col("m").alias("nz"), "s", "nnz", F.col("all_neg").alias("neg"), "ts")
+    part = cut.unionByName(inner)
     total = part.groupBy("gene_id").agg(F.first("nnz").alias("nnz"), F.first("neg").alias("neg"), F.first("ts").alias("ts"))
     if only is not None:
         n, part = n.filter(F.col("group") == only), part.filter(F.col("group") == only)
@@ -152,7 +163,7 @@ def rank_sums(d: Dataset, groups: DataFrame, only: str | None = None) -> DataFra
         "group", "gene_id", F.try_divide(r - ng * (all_ + 1) / 2.0, sd).alias("z"), F.log2((F.expm1(mean_in) + 1e-9) / (F.expm1(mean_out) + 1e-9)).alias("lfc"),
         (nz / ng).alias("pct_in"), F.try_divide(F.col("nnz") - nz, all_ - ng).alias("pct_out"),
     ).filter("z is not null").withColumn("pval", two_sided(F.col("z")))
-    return benjamini_hochberg(scored, "pval", ["group"], "gene_id")
+    return benjamini_hochberg(stored(scored, "scored"), "pval", ["group"], "gene_id")  # ranges of p are read twice
 
 
 def selection_against_rest(d: Dataset, indices: list[int] | DataFrame) -> DataFrame:

@@ -177,3 +177,17 @@ def test_adjusted_p_values_of_a_group_come_from_many_tasks(spark):
         assert {r["i"]: r["padj"] for r in got if r["g"] == g} == {r[1]: min(1.0, *q[k:]) if q[k:][1:] else min(1.0, q[k]) for k, r in enumerate(own)}
     tasks = [r["task"] for r in got if r["g"] == "a"]
     assert len(tasks) == 4000 and len(set(tasks)) > 1
+
+
+def test_whole_genes_are_ranked_where_they_are(spark):
+    """Of rows sorted by gene alone, in one partition: the first and last gene are marked, others have their sums over groups."""
+    rows = [(g, float((7 * i + g) % 5 - 1), "ab"[i % 2]) for g in range(4) for i in range(20 + g) if (7 * i + g) % 5 != 1]
+    found = spark.createDataFrame(rows, "gene_id long, value double, group string").coalesce(1).sortWithinPartitions("gene_id").mapInArrow(S._ranked_within, S._RANKED).collect()
+    assert {r["gene_id"] for r in found if r["cut"]} == {0, 3}
+    inner = {(r["gene_id"], r["group"]): r for r in found if not r["cut"]}
+    assert set(inner) == {(g, c) for g in (1, 2) for c in "ab"}
+    for (gene, group), r in inner.items():
+        of = [(v, c) for g, v, c in rows if g == gene]
+        rank = lambda v: sum(w < v for w, _ in of) + (sum(w == v for w, _ in of) + 1) / 2  # noqa: B023, E731
+        assert r["ranks"] == sum(rank(v) for v, c in of if c == group) and r["m"] == sum(c == group for _, c in of)
+        assert (r["nnz"], r["all_neg"], r["ts"]) == (len(of), sum(v < 0 for v, _ in of), sum(v for v, _ in of))
