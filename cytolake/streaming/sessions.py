@@ -23,6 +23,8 @@ from cytolake.sources.tables import shared_folder
 #: A time after all events: a row of it ends a stream that has an end.
 END = datetime(9000, 1, 1)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a stream for each partition of its state: opening and committing a partition takes a batch as long as thousands of rows, however few it has.
+STATE_ROWS = 250_000
 
 
 class Ordered(StatefulProcessor):
@@ -142,12 +144,21 @@ def chained(rows: DataFrame, gap: timedelta) -> DataFrame:
     return rows.groupBy("key").transformWithState(Chained(gap), "key long, id long, parent long, place long", "Append", "EventTime")
 
 
+def _partitions(events: DataFrame) -> int:
+    """Partitions of the state: as many as the rows ask for; of few rows one a core, or as many as the session has if these are less."""
+    spark = events.sparkSession
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(few, -(-events.count() // STATE_ROWS))
+
+
 @contextmanager
-def _rocks(spark: SparkSession, last: bool = True):
+def _rocks(spark: SparkSession, last: bool = True, partitions: int | None = None):
     """State in RocksDB, as timers need, while a query starts and runs; unless it is the last run, what the watermark lets go waits for the next run's rows."""
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}  # a count of rows reads each row before it is written
     if not last:
         settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
     before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -166,7 +177,11 @@ def _arriving(events: DataFrame, chunk: Column, chunks: int, ts: str) -> Iterato
     cut = events.withColumn("_chunk", chunk)
     for i in range(chunks):
         yield cut.filter(F.col("_chunk") == i).drop("_chunk")
-    yield events.sparkSession.range(1).select(*(F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields))
+    yield _end(events, ts)
+
+
+def _end(events: DataFrame, ts: str) -> DataFrame:
+    return events.sparkSession.range(1).select(*(F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields))
 
 
 def arrivals(events: DataFrame, chunk: Column, chunks: int, ts: str = "ts") -> tuple[str, StructType]:
@@ -196,16 +211,19 @@ def run(spark: SparkSession, folder: str, schema: StructType, plan, files: int =
 
 
 def run_chunks(events: DataFrame, chunk: Column, chunks: int, plan, ts: str = "ts") -> DataFrame:
-    """As `run`, of events that arrive as `arrivals` says: the stream catches up with each chunk before the next one comes.
+    """As `run`, of events that arrive by whole-number `chunk` from 0: the stream catches up with each chunk before the next one comes.
 
-    A chunk is one batch in however many files it was written, so none of its events is late for others of it,
-    and there are two batches (and passes over the state) more than chunks, whatever their size.
+    A chunk is one batch in however many files it was written, so none of its events is late for others of it.  The row of END comes
+    with the last chunk, as a batch moves the watermark only for those after it: there is one batch (and pass over the state) more
+    than chunks, whatever their size.  Partitions of the state follow the number of events, so that their cost does, too.
     """
     spark = events.sparkSession
     folder, out = (f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("arrivals", "stream"))
-    for i, part in enumerate(_arriving(events, chunk, chunks, ts)):
-        part.write.mode("append").parquet(folder)
-        with _rocks(spark, last=i == chunks):
+    cut, last, partitions = events.withColumn("_chunk", chunk), chunks - 1, _partitions(events)
+    for i in range(chunks):
+        part = cut.filter(F.col("_chunk") == i).drop("_chunk")
+        (part.unionByName(_end(events, ts)) if i == last else part).write.mode("append").parquet(folder)
+        with _rocks(spark, last=i == last, partitions=partitions):
             made = plan(spark.readStream.schema(events.schema).parquet(folder))
             _catch_up(made, out)
     return spark.read.schema(made.schema).parquet(f"{out}/rows")

@@ -74,3 +74,25 @@ def test_a_chunk_of_many_files_is_one_batch(spark, tmp_path, name):
     finally:
         for k in sizes:
             spark.conf.unset(k)
+
+
+def test_batches_follow_the_chunks_and_state_the_events(spark, tmp_path, monkeypatch):
+    events = spark.range(500).select(F.col("id"), (F.lit(T0) + F.make_dt_interval(F.lit(0), (F.col("id") % 40).cast("int"))).alias("ts"))
+
+    def stream(rows, name):
+        monkeypatch.setattr(K, "STATE_ROWS", rows)
+        monkeypatch.setattr(K, "shared_folder", lambda _: f"file://{tmp_path}/{name}")
+        once = lambda s: s.withWatermark("ts", "2 days").filter(F.col("ts") < F.lit(K.END)).dropDuplicatesWithinWatermark(["id"]).groupBy(F.window("ts", "1 hour")).count()
+        out = K.run_chunks(events.unionAll(events), (F.col("ts") >= F.lit(T0 + timedelta(hours=20))).cast("int"), 2, once)
+        assert sorted((r[0]["start"] - T0) / timedelta(hours=1) for r in out.collect()) == list(range(40)) and out.agg(F.sum("count")).first()[0] == 500
+        at = next((tmp_path / name).glob("stream-*/checkpoint"))
+        return len(list((at / "commits").glob("[0-9]*"))), len(list((at / "state" / "0").glob("[0-9]*")))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert stream(250_000, "few") == (3, spark.sparkContext.defaultParallelism)  # two chunks, and what is open in the end
+        assert stream(100, "many") == (3, 10)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
