@@ -145,10 +145,12 @@ def chained(rows: DataFrame, gap: timedelta) -> DataFrame:
 
 
 def _partitions(events: DataFrame) -> int:
-    """Partitions of the state: as many as the rows ask for; of few rows one a core, or as many as the session has if these are less."""
+    """Partitions of the state: as many as the rows ask for, the same for each core; of few rows two a core, or as many as the session has if these are less."""
     spark = events.sparkSession
-    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(few, -(-events.count() // STATE_ROWS))
+    cores = spark.sparkContext.defaultParallelism
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
+    asked = -(-events.count() // STATE_ROWS)
+    return few if asked <= few else -(-asked // cores) * cores
 
 
 @contextmanager

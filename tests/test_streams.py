@@ -91,8 +91,8 @@ def test_batches_follow_the_chunks_and_state_the_events(spark, tmp_path, monkeyp
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        assert stream(250_000, "few") == (3, spark.sparkContext.defaultParallelism)  # two chunks, and what is open in the end
-        assert stream(100, "many") == (3, 10)
+        assert stream(250_000, "few") == (3, 8)  # two chunks, and what is open in the end
+        assert stream(100, "many") == (3, 12)  # ten at least, the same for each of four cores
         assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
